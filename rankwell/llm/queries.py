@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding
+from . import chat, decontaminate, mixing, sharding
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op4_sharding": sharding.op4_sharding,
     "op7_mixing": mixing.op7_mixing,
+    "op9_decontamination": decontaminate.op9_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat_format": chat.SQL_OP2,
+    "op9_decontamination": decontaminate.SQL_OP9,
 }
