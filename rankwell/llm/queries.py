@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, sharding
+from . import chat, decontaminate, language, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op4_sharding": sharding.op4_sharding,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_mixing": mixing.op7_mixing,
+    "op8_quality": quality.op8_quality,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_language": language.op10_language,
 }
 
 ORACLES: dict[str, str] = {
