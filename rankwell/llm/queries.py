@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, mixing, quality, sharding, toxicity
+from . import chat, decontaminate, language, mixing, quality, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_fingerprint": simhash.op1_fingerprint,
     "op2_chat_format": chat.op2_chat_format,
     "op4_sharding": sharding.op4_sharding,
     "op5_toxicity": toxicity.op5_toxicity,

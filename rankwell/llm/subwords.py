@@ -58,23 +58,37 @@ class Subwords:
                 yield ((h * np.uint32(0x85EBCA6B)) >> shift).astype(np.int32), owner[:n]
         if not self.words and not self.repeats:
             return
+        word, of = self._words(c, owner)
+        if self.words:
+            yield (word >> np.uint64(64 - self.bits)).astype(np.int32), of
+        if self.repeats and len(word) > 1:
+            same = (word[1:] == word[:-1]) & (of[1:] == of[:-1])
+            # the only features that say how a text goes on, so each counts four times
+            yield np.repeat(np.where(same, 0, 1).astype(np.int32), 4), np.repeat(of[1:], 4)
+
+    def _words(self, c: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit hash of each run of code points above 32, and its text's index.
+
+        The polynomial of a run is the difference of two running sums, moved to power 0 by
+        the inverse of the base, which is odd and so has one.
+        """
         solid = c > 32
         edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
         begin, end = edge[0::2], edge[1::2]
-        if not len(begin):
-            return
         p, q = self._powers(len(c))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c.astype(np.uint64) * p, dtype=np.uint64)])
         word = (total[end] - total[begin]) * q[begin]
         word ^= word >> np.uint64(29)
         word *= np.uint64(0xBF58476D1CE4E5B9)
-        of = owner[begin]
-        if self.words:
-            yield (word >> np.uint64(64 - self.bits)).astype(np.int32), of
-        if self.repeats and len(word) > 1:
-            same = (word[1:] == word[:-1]) & (of[1:] == of[:-1])
-            # the only features that say how a text goes on, so each counts four times
-            yield np.repeat(np.where(same, 0, 1).astype(np.int32), 4), np.repeat(of[1:], 4)
+        word ^= word >> np.uint64(32)
+        return word, owner[begin]
+
+    def word_hashes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words of all texts in their order, and the index of each one's text."""
+        c, starts = self._points(texts)
+        owner = np.zeros(len(c), np.int32)
+        owner[starts[1:]] = 1
+        return self._words(c, np.cumsum(owner, dtype=np.int32))
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The buckets of one text and how often each occurs."""
