@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_text, language, mixing, quality, sharding, simhash, toxicity
+from . import chat, decontaminate, html_text, language, mixing, neardup, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_fingerprint": simhash.op1_fingerprint,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_sharding": sharding.op4_sharding,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_html_text": html_text.op6_html_text,

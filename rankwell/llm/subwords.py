@@ -7,6 +7,7 @@ are told apart and none spans two texts. Every n-gram and every word hashes to a
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -16,11 +17,20 @@ PIECE = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Which code points are letters or digits; those beyond the basic plane count as such."""
+    out = np.array([chr(i).isalnum() for i in range(0x10000)])
+    out[0xFFFF] = True
+    return out
+
+
 class Subwords:
     """Buckets for n-grams of the lengths ``ns``, for words, and for words said twice in a row."""
 
-    def __init__(self, bits: int = 16, ns: tuple[int, ...] = (2, 3, 4), words: bool = True, repeats: bool = False, lower: bool = False):
+    def __init__(self, bits: int = 16, ns: tuple[int, ...] = (2, 3, 4), words: bool = True, repeats: bool = False, lower: bool = False, letters: bool = False):
         self.bits, self.ns, self.words, self.repeats, self.lower = bits, ns, words, repeats, lower
+        self.letters = letters  # words are runs of letters and digits, not of what isn't white space
         self.buckets = 1 << bits
         self._pow = self._inv = None
 
@@ -72,7 +82,7 @@ class Subwords:
         The polynomial of a run is the difference of two running sums, moved to power 0 by
         the inverse of the base, which is odd and so has one.
         """
-        solid = c > 32
+        solid = _letters()[np.minimum(c, 0xFFFF)] if self.letters else c > 32
         edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
         begin, end = edge[0::2], edge[1::2]
         p, q = self._powers(len(c))
