@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwell.llm import sharding, mixing
+from rankwell.llm import decontaminate, mixing, neardup, quality, sharding
 from rankwell.llm.common import table, written
 
 STAGES = [
+    ("quality classifier", quality.stage),
+    ("MinHash near-dedup", neardup.stage),
+    ("benchmark decontamination", decontaminate.stage),
     ("mixing sources to target weights", mixing.stage),
     ("sharding", sharding.stage),
 ]
