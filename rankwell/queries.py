@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import base, selection  # noqa: F401
+
+QUERIES = base.QUERIES
+ORACLES = base.ORACLES
