@@ -167,10 +167,10 @@ def first_k_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.first_k_groups(table(spark, sf_dir, "part"), "p_brand", "p_partkey", 4).select("p_partkey", "p_brand")
 
 
-@query("paged_list", "SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND n_name ILIKE '%an%' ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 20")
+@query("paged_list", "SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND n_name ILIKE '%nation_1%' ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 20")
 def paged_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    both = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).filter((F.col("c_mktsegment") == "BUILDING") & F.col("n_name").ilike("%an%"))
+    both = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).filter((F.col("c_mktsegment") == "BUILDING") & F.col("n_name").ilike("%nation_1%"))
     return S.page(both, [F.desc("c_acctbal"), F.asc("c_custkey")], 2, 20).select("c_custkey", "c_name", "n_name")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, selection  # noqa: F401
+from .plans import base, relational, selection  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES
