@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import vocabulary as V
 
@@ -75,7 +77,7 @@ def html_to_text(raw: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_html(raw: pd.Series) -> pd.Series:
     return raw.map(html_to_text)
 
@@ -134,7 +136,7 @@ def undo_encoding(text: str | None) -> str | None:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _undo_encoding(x: pd.Series) -> pd.Series:
     return x.map(undo_encoding)
 
@@ -149,21 +151,35 @@ def repair_mojibake(x: Column | str) -> Column:
 
 
 def fold_text(text: str | None) -> str:
+    """The fold in Python, by which the table for the JVM is made."""
     low = (text or "").lower()
     for a, b in V.TRANSLITERATE:
         low = low.replace(a, b)
     return "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
-def _fold(x: pd.Series) -> pd.Series:
-    return x.map(fold_text)
+@lru_cache(maxsize=2)
+def _bases(lower: bool) -> tuple[str, str]:
+    """Letters of the basic plane whose decomposition is one letter and marks, and that letter."""
+    pairs = []
+    for i in (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0xFFFE)):
+        c = chr(i)
+        if 0xD800 <= i < 0xE000 or unicodedata.combining(c):
+            continue
+        base = "".join(x for x in unicodedata.normalize("NFKD", c.lower() if lower else c) if not unicodedata.combining(x))
+        if len(base) == 1 and base != c:
+            pairs.append((c, base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def fold(x: Column | str) -> Column:
-    """Lower case without diacritics. ASCII texts, which are most, stay in the JVM."""
-    x = F.coalesce(_col(x), F.lit(""))
-    return F.when(x.rlike(r"\A[\x00-\x7f]*\z"), F.lower(x)).otherwise(_fold(x))
+    """Lower case without diacritics, in built-in expressions."""
+    x = F.lower(F.coalesce(_col(x), F.lit("")))
+    plain = x
+    for a, b in V.TRANSLITERATE:
+        plain = F.replace(plain, F.lit(a), F.lit(b))
+    plain = F.regexp_replace(F.translate(plain, *_bases(True)), r"\p{M}+", "")
+    return F.when(x.rlike(r"\A[\x00-\x7f]*\z"), x).otherwise(plain)
 
 
 def words(folded: Column | str) -> Column:
@@ -175,15 +191,10 @@ def slug(folded: Column | str) -> Column:
     return F.regexp_replace(_col(folded), "[^a-z0-9]", "")
 
 
-@F.pandas_udf("string")
-def _ascii(x: pd.Series) -> pd.Series:
-    return x.map(lambda t: unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode())
-
-
 def ascii_only(x: Column | str) -> Column:
     """Decomposed, and what isn't ASCII then dropped (ł goes, unlike in ``fold``)."""
     x = F.coalesce(_col(x), F.lit(""))
-    return F.when(x.rlike(r"\A[\x00-\x7f]*\z"), x).otherwise(_ascii(x))
+    return F.when(x.rlike(r"\A[\x00-\x7f]*\z"), x).otherwise(F.regexp_replace(F.translate(x, *_bases(False)), r"[^\x00-\x7f]", ""))
 
 
 def identity_key(x: Column | str) -> Column:
@@ -303,7 +314,7 @@ def key_value_lines(x: Column | str, keys: tuple[str, ...] = CONSTRAINT_KEYS) ->
 
 
 def percent(x: Column | str) -> Column:
-    return F.when(_col(x).isNull(), "").otherwise(F.format_string("%.1f%%", _col(x).cast("double")))
+    return F.when(_col(x).isNull(), "").otherwise(F.format_string("%.1f%%", F.bround(_col(x).cast("double"), 1)))
 
 
 def tokens(x: Column | str, least: int = 5) -> Column:

@@ -7,6 +7,7 @@ from urllib.parse import parse_qsl, urlencode
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import vocabulary as V
 from .text import _col, strip
@@ -35,7 +36,7 @@ def apply_channel(url: Column | str) -> Column:
     return F.when(raw.startswith("mailto:"), "email").when(host(url).isin(*CHAT_HOSTS), "telegram").otherwise("form")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _query(q: pd.Series) -> pd.Series:
     return q.map(lambda s: urlencode(sorted(parse_qsl(s or "", keep_blank_values=True))))
 

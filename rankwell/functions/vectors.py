@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from .text import _col
 
@@ -83,12 +84,12 @@ def from_bytes(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.float32)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def unpack(blob: pd.Series) -> pd.Series:
     return blob.map(lambda b: None if b is None else from_bytes(b))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def pack(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else to_bytes(x))
 
