@@ -1,0 +1,38 @@
+"""The whole way: judge, embed, score, select."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import urls as U
+from ..functions import vectors as X
+from ..operators import rules
+from ..operators import select as S
+from ..settings import Settings
+
+
+def match(jobs: DataFrame, profile: str, encoder: Callable[[], X.Encoder] = X.hashing_encoder, settings: Settings = Settings()) -> DataFrame:
+    """Jobs with passed, blocked, embedding, score and percentile.
+
+    Rules first, since they are cheap; vectors only for jobs that pass and have none; scores
+    over all that pass, and null for the rest.
+    """
+    judged = jobs.withColumn("passed", rules.passes()).withColumn("blocked", U.is_blocked("url"))
+    have = judged.filter(F.col("embedding").isNotNull() | ~F.col("passed"))
+    need = judged.filter(F.col("embedding").isNull() & F.col("passed")).withColumn("_text", T.embedding_text("title", "company", "description")).drop("embedding")
+    made = X.embed(need, "_text", encoder, batch=settings.embed_batch).drop("_text")
+    both = have.unionByName(made)
+    vector = [float(x) for x in encoder()([profile])[0]]
+    target = jobs.sparkSession.createDataFrame([(vector,)], "profile array<double>")
+    scored = X.centred_cosine(both.filter("passed"), target).select("id", F.col("score").alias("_score"))
+    out = both.drop("score", "percentile").join(scored, "id", "left").withColumnRenamed("_score", "score")
+    return X.percentile(out)
+
+
+def shortlist(matched: DataFrame, handled: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    s = settings
+    return S.shortlist(matched, handled, s.top_n, s.floor, s.remote_bonus, s.per_company, s.least_body, s.fold_company)
