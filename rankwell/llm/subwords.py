@@ -72,9 +72,10 @@ class Subwords:
         if self.words:
             yield (word >> np.uint64(64 - self.bits)).astype(np.int32), of
         if self.repeats and len(word) > 1:
-            same = (word[1:] == word[:-1]) & (of[1:] == of[:-1])
+            within = of[1:] == of[:-1]
+            said = np.where(word[1:] == word[:-1], 0, 1).astype(np.int32)[within]
             # the only features that say how a text goes on, so each counts four times
-            yield np.repeat(np.where(same, 0, 1).astype(np.int32), 4), np.repeat(of[1:], 4)
+            yield np.repeat(said, 4), np.repeat(of[1:][within], 4)
 
     def _words(self, c: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A 64-bit hash of each run of code points above 32, and its text's index.
