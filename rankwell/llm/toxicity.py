@@ -33,6 +33,7 @@ TRAIN_ROWS = 8000
 LEXICON = 2000
 STEM_CHARS = (4, 5, 6, 7)
 WINDOW = 5
+MARK = "^"  # no letter and no digit, so in no word
 WORDS = r"[^\p{L}\p{N}]+"
 WORD = re.compile(r"[^\W_]+")
 KINDS = ("word", "stem", "misspelled")
@@ -237,7 +238,7 @@ def _longer(k: int):
 
 
 def _stem(k: int):
-    return lambda w: F.struct(F.lit(True).alias("stem"), F.substring(w, 1, k).alias("term"))
+    return lambda w: F.concat(F.lit(MARK), F.substring(w, 1, k))
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
@@ -248,9 +249,11 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     n0, n1 = (per.filter(F.col("y") == k).count() for k in (0, 1))
     if not n1 or not n0:
         return Model()
+    # terms are strings, stems with a mark before them, so that repeats go by hashing
     stems = [F.transform(F.filter("w", _longer(k)), _stem(k)) for k in STEM_CHARS]
-    terms = F.concat(F.transform("w", lambda w: F.struct(F.lit(False).alias("stem"), w.alias("term"))), *stems)
-    tally = per.select("y", F.explode(F.array_distinct(terms)).alias("t")).groupBy("t.term", "t.stem").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    terms = F.array_distinct(F.concat("w", *stems))
+    tally = per.select("y", F.explode(terms).alias("t")).groupBy("t").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    tally = tally.select(F.regexp_replace("t", r"^\^", "").alias("term"), F.col("t").startswith(MARK).alias("stem"), "a", "b")
     often = tally.filter(F.col("a") + F.col("b") >= 3)
     held = often.count()
     # what reaches the driver is bounded: the terms most bound to one side
