@@ -169,3 +169,39 @@ def test_reports(spark):
     assert reports.note(reports.tally(apps, "status"), "status").first().note == "2 unreachable, 1 sent"
     assert [r.id for r in reports.listing(jobs, ["id"], search="ADZUNA", within=("url",)).collect()] == [1, 2]
     assert schema.REPLYABLE == ("sent", "interview", "rejected")
+
+
+def test_scan(spark):
+    from rankwell.operators import scan
+
+    apps = spark.createDataFrame([(1, "Acme", "Dev", "sent", None, ts(1), None), (2, "Globex", "Ops", "sent", "t2", ts(1), ts(20)), (3, "Gone", "X", "drafted", None, None, None)], "id long, company string, title string, status string, thread_id string, sent_at timestamp, reply_at timestamp")
+    mail = [
+        ("m1", "ta", "HR <hr@acme.com>", "Interview", "let us schedule an interview, next step", ts(3)),
+        ("m2", "ta", "x@gmail.com", "Update", "unfortunately we regret: other candidates", ts(5)),
+        ("m3", "t2", "x@gmail.com", "Update", "unfortunately we regret", ts(6)),
+        ("m4", "t9", "x@shop.com", "Sale", "buy now", ts(6)),
+        ("m5", "t8", "jobs@linkedin.com", "New jobs", "interview tips", ts(6)),
+        ("m6", "t7", "x@y.com", "old", "seen", ts(6)),
+    ]
+    done = spark.createDataFrame([("m6",)], "message_id string")
+    got = scan.scan(spark.createDataFrame(mail, MAIL), apps, done, done.limit(0))
+    replies = {r.message_id: r for r in got.replies.collect()}
+    assert set(replies) == {"m1", "m2", "m3", "m5"} and replies["m5"].reply_type is None
+    assert replies["m2"].strategy == "thread" and replies["m2"].application_id == 1  # by the thread m1 taught
+    assert {r.id: (r.status, r.thread_id) for r in got.applications.collect()} == {1: ("rejected", "ta"), 2: ("sent", "t2"), 3: ("drafted", None)}
+    assert [r.message_id for r in got.skipped.collect()] == ["m4"] and [r.id for r in got.clear.collect()] == [1]
+    assert scan.unbounded_query("from:x newer_than:30d label:y") == "from:x label:y"
+
+
+def test_notices_and_records(spark):
+    from rankwell.operators import scan
+
+    apps = spark.createDataFrame([(1, "Acme", "https://hh.ru/vacancy/9"), (2, "Globex", "https://hh.ru/vacancy/8")], "id long, company string, url string")
+    n = spark.createDataFrame([("a", "rejection", "9", None), ("b", "vacancy_message", "7", "Globex"), ("c", "chat", None, None), ("d", "rejection", "5", "Acme")], "message_id string, kind string, vacancy_id string, company string")
+    assert {r.message_id: (r.application_id, r.route, r.conclusive) for r in scan.route_notices(n, apps).collect()} == {"a": (1, "rejection", True), "b": (2, "message", False), "c": (None, "clear", False), "d": (None, "clear", False)}
+    jobs = spark.createDataFrame([(5, "ACME ", "dev", 1), (6, "Acme", "Dev", 9)], "id long, company string, title string, source_id long")
+    old = spark.createDataFrame([(70, 6)], "id long, job_id long")
+    replies = spark.createDataFrame([("x", ts(2), "t", None, "Acme", "Dev"), ("y", ts(1), "u", None, " acme", "DEV"), ("z", ts(1), "v", None, "New", None), ("w", ts(1), "v", None, None, "Dev")], "message_id string, received_at timestamp, thread_id string, application_id long, detected_company string, detected_role string")
+    links, plan = scan.record_applications(replies, jobs, old, 9)
+    assert {(r.job_id, r.application_id, r.thread_id, r.new_job, r.new_application) for r in plan.collect()} == {(6, 70, "u", False, False), (None, None, "v", True, True)}
+    assert links.count() == 3
