@@ -50,7 +50,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = C
         .withColumn("_left", F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(fill), F.lit(0.0)))
         # the level if this source and those after it stay below their caps; the first holds
         .withColumn("_level", (F.col("_total") - F.col("_full")) / F.col("_left"))
-        .withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_at"), F.struct("_at", "_level"))).over(whole)["_level"])
+        .withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_at"), F.struct("_at", F.col("source").isNull().alias("_none"), "source", "_level"))).over(whole)["_level"])
         .withColumn("target", F.when(F.col("_level").isNull() | (F.col("_at") <= F.col("_level")), F.lit(float(cap)) * F.col("source_size")).otherwise(F.col("_level") * F.col("_w")))
         .select("source", "source_size", "target")
     )
