@@ -229,8 +229,8 @@ def model(n: int = html_pages.PAGES) -> Boosted:
 MIXED = 0.7  # what it costs to leave an element's children free
 
 
-def decode(dom: Dom, logit: np.ndarray) -> np.ndarray:
-    """True for the elements whose own text is kept."""
+def states(dom: Dom, logit: np.ndarray) -> np.ndarray:
+    """0 (dropped), 1 (kept) or 2 (mixed) for each element: the consistent choice of the largest score."""
     n = len(dom.tag)
     own = np.zeros(n)
     for i, _, data in dom.texts:
@@ -242,7 +242,7 @@ def decode(dom: Dom, logit: np.ndarray) -> np.ndarray:
         keep[p] += max(keep[i], drop[i])
         drop[p] += drop[i]
         mixed[p] += max(keep[i], drop[i], mixed[i])
-    out, state = np.zeros(n, bool), np.zeros(n, np.int8)  # 0 drop, 1 keep, 2 mixed
+    state = np.zeros(n, np.int8)
     state[0] = 2
     for i in range(1, n):
         above = state[dom.parent[i]]
@@ -250,8 +250,13 @@ def decode(dom: Dom, logit: np.ndarray) -> np.ndarray:
             state[i] = int(np.argmax((drop[i], keep[i], mixed[i])))
         elif above == 1:
             state[i] = int(keep[i] >= drop[i])
-        out[i] = state[i] == 1 or (state[i] == 2 and own[i] > 0 and logit[i] > 0)
-    return out
+    return state
+
+
+def decode(dom: Dom, logit: np.ndarray) -> np.ndarray:
+    """True for the elements whose own text is kept; that of mixed ones is by their own odds."""
+    state = states(dom, logit)
+    return (state == 1) | ((state == 2) & (logit > 0) & (np.arange(len(state)) > 0))
 
 
 def render(dom: Dom, kept: np.ndarray) -> str:
