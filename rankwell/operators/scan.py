@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 from ..settings import Settings
 from ..streaming import fold
 from . import guards, resolve, sets
@@ -44,9 +45,9 @@ def match_to_fixpoint(messages: DataFrame, applications: DataFrame, rounds: int
     by the threads that the round before has learned; it ends when nothing new matches."""
     found, open_ = None, messages
     for _ in range(rounds):
-        got = resolve.match_replies(open_, applications)
+        got = cut(resolve.match_replies(open_, applications))
         found = got if found is None else found.unionByName(got)
-        applications = learn_from_matches(got, open_, applications)
+        applications = cut(learn_from_matches(got, open_, applications))
         open_ = open_.join(got.select("message_id"), "message_id", "left_anti")
         if got.isEmpty():
             break
@@ -61,14 +62,14 @@ def scan(messages: DataFrame, applications: DataFrame, recorded: DataFrame, skip
     that answers no application isn't), and dropped as unrelated if it isn't about a job and
     matched by no thread. The states of the applications are folded from the related ones.
     """
-    fresh = fold.consume(messages, recorded, skipped)
+    fresh = cut(fold.consume(messages, recorded, skipped))
     live = applications.filter(F.col("status").isin(*fold.REPLYABLE))
     matched, learned = match_to_fixpoint(fresh, live)
     both = fresh.join(matched, "message_id", "left")
     bulk = resolve.is_board_sender("from_address") & F.col("application_id").isNull()
     told = guards.classify(both.filter(~bulk), classifier)
     quiet = both.filter(bulk).withColumn("verdict", F.lit(None).cast(told.schema["verdict"].dataType))
-    all_ = told.unionByName(quiet)
+    all_ = cut(told.unionByName(quiet))
     by_thread = F.coalesce(F.col("strategy") == "thread", F.lit(False))
     unrelated = F.coalesce(~F.col("verdict.job_related") & ~by_thread, F.lit(False))
     replies = all_.filter(~unrelated).select("message_id", "thread_id", "from_address", "subject", "body", "received_at", "application_id", "strategy", F.coalesce("conclusive", F.lit(False)).alias("conclusive"), "verdict.reply_type", "verdict.confidence", "verdict.reasoning", F.col("verdict.company").alias("detected_company"), F.col("verdict.role").alias("detected_role"))

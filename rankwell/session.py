@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -26,3 +26,11 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("rankwell", os.path.relpath(full, root)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder (spark.checkpoint.dir; where unset, a temporary one)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rankwell-"))
+    return df.checkpoint()
