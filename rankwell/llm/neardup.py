@@ -10,10 +10,10 @@ gamma, one uniform) from a table of 2**16; the shingle with the least a = c / (y
 sample. Two texts have the same sample with a probability equal to their weighted Jaccard
 similarity. Samples are joined to BANDS of ROWS; texts that agree in a band are candidates.
 
-Verification: within a bucket, texts are compared with its leader, not with each other. What
-isn't like the leader is compared with the whole bucket, if it has up to SMALL texts; of larger
-ones it is split by a second band and gets leaders of its own, until nothing is left. Pairs that are connected already aren't compared again. So the copies
-of a large group take a comparison each, and no bucket is cut.
+Verification: within a bucket, texts are compared with its leader. Those that are then not
+connected to the leader are compared with all texts of the bucket, in blocks, the ones that
+the leader has taken included. So every two texts that share a bucket end up connected or
+compared, in buckets of any size; the copies of a large group take a comparison each.
 
 Texts, not documents, are compared: equal texts are one. Classes are the connected parts of
 the links between texts, found by contraction in tables; nothing about single documents
@@ -42,8 +42,8 @@ IDF = 0.25
 COUNTERS_BITS = 18
 #: Weights are powers of STEP.
 STEP, LEVELS = 1.05, 128
-#: Groups in which all pairs are compared.
-SMALL = 48
+#: Texts, and bytes of their packed sets, in a block of a bucket; buckets have as many blocks as they need.
+BLOCK_TEXTS, BLOCK_BYTES = 256, 1 << 20
 #: Ids up to this number may be broadcast (8 bytes each).
 BROADCAST_IDS = 200_000
 BATCH = 300_000
@@ -237,41 +237,90 @@ class _Parts:
         self.of = written(old.unionByName(new), "parts")
 
 
+def linked(ids: list[int], packed: list[bytes], part: list[int], block: list[int], i: int, j: int, threshold: float) -> list[tuple[int, int]]:
+    """Links between the texts of block ``i`` and those of block ``j`` (or among those of one
+    block) that connect all of these parts which any such link connects."""
+    got = [unpack(p) for p in packed]
+    sizes = np.array([len(h) for h, _ in got])
+    number = np.unique(np.concatenate([h for h, _ in got]), return_inverse=True)[1]
+    cut = np.concatenate([[0], np.cumsum(sizes)])
+    label = np.unique(part, return_inverse=True)[1]
+    sums = np.array([w.sum() for _, w in got])
+    at, own = np.array(block), np.zeros(len(number))
+    right = np.flatnonzero(at == j)
+    out: list[tuple[int, int]] = []
+    if not len(right):
+        return out
+    shingles = np.concatenate([number[cut[y] : cut[y + 1]] for y in right])
+    weights = np.concatenate([got[y][1] for y in right])
+    starts = np.concatenate([[0], np.cumsum(sizes[right])[:-1]])
+    for x in np.flatnonzero(at == i):
+        if (label[right] == label[x]).all():
+            continue
+        mine = number[cut[x] : cut[x + 1]]
+        own[mine] = got[x][1]
+        both = np.add.reduceat(np.minimum(weights, own[shingles]), starts)
+        own[mine] = 0
+        alike = both >= (threshold - 1e-9) * (sums[x] + sums[right] - both)
+        for y in right[alike]:
+            if label[y] != label[x]:
+                out.append((ids[x], ids[y]))
+                label[label == label[y]] = label[x]
+    return out
+
+
+def among(rows: DataFrame, far: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links of the ``far`` texts (bucket, t) with all texts of their buckets (``rows`` with
+    their part c): enough of them to connect what any of these links connects.
+
+    Far and other texts of a bucket are dealt to blocks by hash; each block of far ones meets
+    all blocks. Two texts that aren't far are connected to the leader both, and don't meet.
+    """
+    mark = far.select("bucket", "t", F.lit(True).alias("far"))
+    members = rows.join(far.select("bucket").distinct(), "bucket", "left_semi").join(mark, ["bucket", "t"], "left").withColumn("far", F.coalesce("far", F.lit(False)))
+    held = written(members.join(sets, "t"), "members")
+    blocks = lambda own: F.ceil(F.greatest(F.sum(own.cast("long")) / BLOCK_TEXTS, F.sum(F.when(own, F.octet_length("packed")).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    size = held.groupBy("bucket").agg(blocks(F.col("far")).alias("kf"), blocks(~F.col("far")).alias("kn"))
+    draw = F.xxhash64("t", F.lit("block"))
+    place = F.when(F.col("far"), F.pmod(draw, "kf")).otherwise(F.col("kf") + F.pmod(draw, F.greatest("kn", F.lit(1)))).cast("int")
+    placed = held.join(size, "bucket").withColumn("block", place)
+    others = F.sequence(F.lit(0), F.when(F.col("far"), F.col("kf") + F.col("kn")).otherwise(F.col("kf")) - 1)
+    meets = placed.withColumn("other", F.explode(others)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def run(key: tuple, x: pa.Table) -> pa.Table:
+        got = linked(*(x.column(c).to_pylist() for c in ("t", "packed", "c", "block")), key[1].as_py(), key[2].as_py(), threshold)
+        return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
+
+    meets = meets.select("bucket", "i", "j", "block", "t", "c", "packed")
+    return written(meets.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long"), "linked")
+
+
 def links(rows: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
     """``t, c`` for the texts that are like another. ``rows`` are (bucket, t) of the buckets
     with more than one text, ``sets`` the packed sets.
 
     The leader of a bucket is the text of the least hash of text and bucket, so that a large
     group of like texts has another leader in each band. First each text is compared with the
-    leader it shares most buckets with; that settles most. Texts that then are apart from a
-    leader are compared with all texts of the bucket, if it has up to SMALL, else with the
-    leader. What is left of larger buckets is grouped by pairs of buckets (texts as alike as
-    the threshold share five on average), and after that by the same bucket without its leader.
+    leader it shares most buckets with; that settles most. Texts that then are apart from
+    leaders are compared with the one they share most buckets with of these, and with the
+    other text of buckets of two. Those that are still apart from the leader of a larger
+    bucket are compared with all its texts. That settles every pair that shares a bucket: it
+    is compared, or both are connected to the leader.
     """
-    parts, level = _Parts(), 1
-    while True:
-        lead = rows.groupBy("bucket").agg(F.min_by("t", F.xxhash64("t", "bucket")).alias("b"), F.count(F.lit(1)).alias("n"))
-        led = written(rows.join(lead, "bucket").filter("t <> b").select("bucket", F.col("t").alias("a"), "b", "n"), "led")
-        if level == 1:
-            best = led.groupBy("a", "b").count().groupBy("a").agg(F.max(F.struct("count", F.col("b")))["b"].alias("b"))
-            parts.add(verify(written(best, "pairs"), sets, threshold))
-        apart = written(parts.apart(led), "apart")
-        if apart.isEmpty():
-            return parts.of
-        few = apart.filter(F.col("n") <= SMALL).select("bucket", "a")
-        among = few.join(rows.select("bucket", F.col("t").alias("b")), "bucket").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = parts.apart(apart.select("a", "b").unionByName(among).distinct())
-        parts.add(verify(written(pairs, "pairs"), sets, threshold))
-        many = written(parts.apart(apart.filter(F.col("n") > SMALL)).select("bucket", F.col("a").alias("t")), "many")
-        if many.isEmpty():
-            return parts.of
-        if level == 1:
-            other = many.select("t", F.col("bucket").alias("other"))
-            many = many.join(other, "t").filter("bucket < other").select(F.xxhash64("bucket", "other").alias("bucket"), "t")
-        rows = written(many.join(many.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket", "left_semi"), "rows")
-        level += 1
-        if rows.isEmpty():
-            return parts.of
+    parts = _Parts()
+    lead = rows.groupBy("bucket").agg(F.min_by("t", F.xxhash64("t", "bucket")).alias("b"), F.count(F.lit(1)).alias("n"))
+    led = written(rows.join(lead, "bucket").filter("t <> b").select("bucket", F.col("t").alias("a"), "b", "n"), "led")
+    best = lambda df: df.groupBy("a", "b").count().groupBy("a").agg(F.max(F.struct("count", F.col("b")))["b"].alias("b"))
+    parts.add(verify(written(best(led), "pairs"), sets, threshold))
+    apart = written(parts.apart(led), "apart")
+    if apart.isEmpty():
+        return parts.of
+    pairs = best(apart.filter("n > 2")).unionByName(apart.filter("n = 2").select("a", "b")).distinct()
+    parts.add(verify(written(pairs, "pairs"), sets, threshold))
+    far = written(parts.apart(apart.filter("n > 2")).select("bucket", F.col("a").alias("t")), "far")
+    if not far.isEmpty():
+        parts.add(among(parts.root(rows, "t", "c"), far, sets, threshold))
+    return parts.of
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -121,3 +121,39 @@ def test_components(spark):
         x, y = sorted((root(a), root(b)))
         up[y] = x
     assert got == {x: root(x) for x in up}
+
+
+def test_star_is_whole(spark):
+    """An original and copies that are like it but not like each other: none that shares a band with it is lost."""
+    r = random.Random(5)
+    base = sentence(r, 300).split()
+    texts = [" ".join(base)]
+    for _ in range(1050):
+        copy = base[:]
+        for k in r.sample(range(300), 5):
+            copy[k] = sentence(r, 1) + "x"
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)
+    counters, n = neardup.document_frequencies(df)
+    sets = neardup.shingle_hashes(texts)
+    keys = neardup.band_keys(sets, counters, n)
+    packed = [neardup.pack(h, neardup.levels(h, c, counters, n)) for h, c in sets]
+    like = [k for k in range(1, len(texts)) if (keys[k] == keys[0]).any() and neardup.similarity(packed[0], packed[k]) >= neardup.THRESHOLD]
+    assert len(like) > 900
+    got = {x.doc_id: x.class_id for x in neardup.near_duplicates(df).collect()}
+    assert [k for k in like if got[k] != 0] == []
+
+
+def test_blocks_settle_all_pairs(spark, monkeypatch):
+    """One bucket, small blocks: the parts are those of all pairs."""
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 7)
+    r = random.Random(6)
+    texts = [t for _ in range(6) for t in family(r, sentence(r, 60), [0, 0.01, 0.02, 0.02, 0.03, 0.03, 0.04, 0.1])]
+    sets = neardup.shingle_hashes(texts)
+    counters = np.zeros(1 << neardup.COUNTERS_BITS, np.int64)
+    packed = [neardup.pack(h, neardup.levels(h, c, counters, 10)) for h, c in sets]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if neardup.similarity(packed[i], packed[j]) >= neardup.THRESHOLD]
+    want = {x.t: x.c for x in neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    rows = spark.createDataFrame([(1, k) for k in range(len(texts))], "bucket long, t long")
+    got = {x.t: x.c for x in neardup.links(rows, spark.createDataFrame(list(enumerate(packed)), "t long, packed binary")).collect()}
+    assert {k: c for k, c in got.items()} == want and len(want) > 20
