@@ -40,7 +40,8 @@ SAMPLES = BANDS * ROWS
 IDF = 0.25
 #: Counters for document frequencies; rarer shingles than one in so many of all look alike.
 COUNTERS_BITS = 18
-#: Weights are powers of STEP.
+#: Draws take weights as powers of STEP, verification takes them as they are. The draws of the first LEVELS powers are
+#: held in a table, those of higher ones are computed.
 STEP, LEVELS = 1.05, 128
 #: Texts, and bytes of their packed sets, in a block of a bucket; buckets have as many blocks as they need.
 BLOCK_TEXTS, BLOCK_BYTES = 256, 1 << 20
@@ -110,25 +111,41 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, int(n[at < 0].sum())
 
 
-def levels(hashes: np.ndarray, times: np.ndarray, counters: np.ndarray, documents: int) -> np.ndarray:
-    """The weight of each shingle as a power of STEP."""
+def weights(hashes: np.ndarray, times: np.ndarray, counters: np.ndarray, documents: int) -> np.ndarray:
+    """The weight of each shingle."""
     df = counters[(hashes >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64)]
     idf = np.log((documents + 1) / np.minimum(df + 1, documents + 1)) / np.log(documents + 2)
-    return np.clip(np.rint(np.log(times * (1 + IDF * idf)) / np.log(STEP)), 0, LEVELS - 1).astype(np.int64)
+    return times * (1 + IDF * idf)
+
+
+def levels(hashes: np.ndarray, times: np.ndarray, counters: np.ndarray, documents: int) -> np.ndarray:
+    """The weight of each shingle as the nearest power of STEP, for the draws."""
+    return np.rint(np.log(weights(hashes, times, counters, documents)) / np.log(STEP)).astype(np.int64)
 
 
 @lru_cache(maxsize=1)
-def draws() -> tuple[np.ndarray, np.ndarray]:
-    """ln a of each table entry at each level, in an order-preserving code of 32 bits; and the
-    multipliers that pick the entries of the draws."""
+def variables() -> tuple[np.ndarray, ...]:
+    """The random variables r, c and b of each table entry, and the multipliers that pick the entries of the draws."""
     rng = np.random.default_rng(2010)
     r, c, b = rng.gamma(2, 1, 1 << 16), rng.gamma(2, 1, 1 << 16), rng.random(1 << 16)
+    return r, c, b, rng.integers(1 << 62, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def coded(level: int | np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """ln a of the entries ``at`` at their levels, in an order-preserving code of 32 bits."""
+    r, c, b = (x[at] for x in variables()[:3])
+    t = np.floor(level * np.log(STEP) / r + b)
+    a = (np.log(c) - r * (t - b) - r).astype(np.float32).view(np.uint32)
+    return np.where(a >> 31, ~a, a | np.uint32(1 << 31))
+
+
+@lru_cache(maxsize=1)
+def draws() -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all entries at the first LEVELS levels, and the multipliers."""
     code = np.empty((LEVELS, 1 << 16), np.uint32)
     for level in range(LEVELS):
-        t = np.floor(level * np.log(STEP) / r + b)
-        a = (np.log(c) - r * (t - b) - r).astype(np.float32).view(np.uint32)
-        code[level] = np.where(a >> 31, ~a, a | np.uint32(1 << 31))
-    return code, rng.integers(1 << 62, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        code[level] = coded(level)
+    return code, variables()[3]
 
 
 def band_keys(sets: list[tuple[np.ndarray, np.ndarray]], counters: np.ndarray, documents: int) -> np.ndarray:
@@ -141,11 +158,14 @@ def band_keys(sets: list[tuple[np.ndarray, np.ndarray]], counters: np.ndarray, d
     h = np.concatenate([sets[i][0] for i in some])
     level = levels(h, np.concatenate([sets[i][1] for i in some]), counters, documents)
     starts = np.concatenate([[0], np.cumsum([len(sets[i][0]) for i in some])[:-1]])
-    flat, base = code.ravel(), level << 16
+    flat, base, above = code.ravel(), np.minimum(level, LEVELS - 1) << 16, np.flatnonzero(level >= LEVELS)
     low = (h ^ (h >> np.uint64(29))) & np.uint64(0xFFFFFFFF)
     for k in range(SAMPLES):
         at = ((h * multipliers[k]) >> np.uint64(48)).astype(np.int64)
-        key = np.minimum.reduceat((flat[base + at].astype(np.uint64) << np.uint64(32)) | low, starts)
+        drawn = flat[base + at]
+        if len(above):
+            drawn[above] = coded(level[above], at[above])
+        key = np.minimum.reduceat((drawn.astype(np.uint64) << np.uint64(32)) | low, starts)
         band = k // ROWS
         mixed = (out[some, band] ^ key) * np.uint64(0x9E3779B97F4A7C15)
         out[some, band] = mixed ^ (mixed >> np.uint64(32))
@@ -162,15 +182,16 @@ def similarity(a: bytes, b: bytes) -> float:
     return float(both / whole) if whole else 0.0
 
 
-def pack(hashes: np.ndarray, level: np.ndarray) -> bytes:
-    return (hashes >> np.uint64(16)).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + level.astype(np.uint8).tobytes()
+def pack(hashes: np.ndarray, weight: np.ndarray) -> bytes:
+    """Six bytes of each hash, then four of each weight."""
+    return (hashes >> np.uint64(16)).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + weight.astype(np.float32).tobytes()
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 7
+    n = len(blob) // 10
     six = np.zeros((n, 8), np.uint8)
     six[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(n, 6)
-    return six.view(np.uint64).ravel(), STEP ** np.frombuffer(blob, np.uint8, n, 6 * n).astype(np.float64)
+    return six.view(np.uint64).ravel(), np.frombuffer(blob[6 * n :], np.float32).astype(np.float64)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -252,14 +273,14 @@ def linked(ids: list[int], packed: list[bytes], part: list[int], block: list[int
     if not len(right):
         return out
     shingles = np.concatenate([number[cut[y] : cut[y + 1]] for y in right])
-    weights = np.concatenate([got[y][1] for y in right])
+    theirs = np.concatenate([got[y][1] for y in right])
     starts = np.concatenate([[0], np.cumsum(sizes[right])[:-1]])
     for x in np.flatnonzero(at == i):
         if (label[right] == label[x]).all():
             continue
         mine = number[cut[x] : cut[x + 1]]
         own[mine] = got[x][1]
-        both = np.add.reduceat(np.minimum(weights, own[shingles]), starts)
+        both = np.add.reduceat(np.minimum(theirs, own[shingles]), starts)
         own[mine] = 0
         alike = both >= (threshold - 1e-9) * (sums[x] + sums[right] - both)
         for y in right[alike]:
@@ -364,7 +385,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for batch in batches:
                 texts = batch.column("text").to_pylist()
                 for lo, hi in groups_of(texts):
-                    sets = [pack(h, levels(h, n, counters, documents)) for h, n in shingle_hashes(texts[lo:hi])]
+                    sets = [pack(h, weights(h, n, counters, documents)) for h, n in shingle_hashes(texts[lo:hi])]
                     yield pa.RecordBatch.from_arrays([batch.column("t").slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["t", "packed"])
 
         sets = written(one.mapInArrow(make, "t long, packed binary"), "sets")

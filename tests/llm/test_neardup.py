@@ -137,7 +137,7 @@ def test_star_is_whole(spark):
     counters, n = neardup.document_frequencies(df)
     sets = neardup.shingle_hashes(texts)
     keys = neardup.band_keys(sets, counters, n)
-    packed = [neardup.pack(h, neardup.levels(h, c, counters, n)) for h, c in sets]
+    packed = [neardup.pack(h, neardup.weights(h, c, counters, n)) for h, c in sets]
     like = [k for k in range(1, len(texts)) if (keys[k] == keys[0]).any() and neardup.similarity(packed[0], packed[k]) >= neardup.THRESHOLD]
     assert len(like) > 900
     got = {x.doc_id: x.class_id for x in neardup.near_duplicates(df).collect()}
@@ -151,9 +151,30 @@ def test_blocks_settle_all_pairs(spark, monkeypatch):
     texts = [t for _ in range(6) for t in family(r, sentence(r, 60), [0, 0.01, 0.02, 0.02, 0.03, 0.03, 0.04, 0.1])]
     sets = neardup.shingle_hashes(texts)
     counters = np.zeros(1 << neardup.COUNTERS_BITS, np.int64)
-    packed = [neardup.pack(h, neardup.levels(h, c, counters, 10)) for h, c in sets]
+    packed = [neardup.pack(h, neardup.weights(h, c, counters, 10)) for h, c in sets]
     pairs = [(i, j) for i in range(len(texts)) for j in range(i) if neardup.similarity(packed[i], packed[j]) >= neardup.THRESHOLD]
     want = {x.t: x.c for x in neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     rows = spark.createDataFrame([(1, k) for k in range(len(texts))], "bucket long, t long")
     got = {x.t: x.c for x in neardup.links(rows, spark.createDataFrame(list(enumerate(packed)), "t long, packed binary")).collect()}
     assert {k: c for k, c in got.items()} == want and len(want) > 20
+
+
+def test_weights_are_not_capped(spark):
+    """A line repeated 600 times and 2,500 times: similarity 0.24; 2,500 and 2,600 times: 0.96."""
+    r = random.Random(7)
+    line, other = sentence(r, 8), sentence(r, 8)
+    texts = [" ".join([line] * 600), " ".join([line] * 2500), " ".join([other] * 2500), " ".join([other] * 2600)]
+    counters = np.zeros(1 << neardup.COUNTERS_BITS, np.int64)
+    packed = [neardup.pack(h, neardup.weights(h, c, counters, 4)) for h, c in neardup.shingle_hashes(texts)]
+    assert neardup.similarity(packed[0], packed[1]) == pytest.approx(0.24, abs=0.001)
+    assert neardup.similarity(packed[2], packed[3]) == pytest.approx(2500 / 2600, abs=0.001)
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)
+    assert {x.doc_id: x.class_id for x in neardup.near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 2}
+    assert sorted(x.doc_id for x in neardup.stage(spark, df, "").collect()) == [0, 1, 2]
+
+
+def test_draws_above_the_table_go_on():
+    code, _ = neardup.draws()
+    at = np.arange(0, 1 << 16, 7)
+    assert (neardup.coded(np.full(len(at), neardup.LEVELS - 1), at) == code[-1][at]).all()
+    assert (neardup.coded(np.full(len(at), neardup.LEVELS + 40), at) < code[-1][at]).mean() > 0.5
