@@ -412,7 +412,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_t")), "kept")
     ident = F.xxhash64(F.md5(text_of().cast("binary")), F.octet_length(text_of()))
     rows = docs.withColumn("_x", ident)
-    left = rows.join(found.distinct(), rows["_x"].eqNullSafe(found["_t"]) & rows["doc_id"].eqNullSafe(found["_id"]), "left_semi").drop("_x").select(*cols)
+    left = rows.join(found.distinct(), rows["_x"].eqNullSafe(found["_t"]) & rows["doc_id"].eqNullSafe(found["_id"]), "left_semi").select(*cols, "_x")
     # rows that repeat doc_id and text: one of them
     repeated = found.groupBy("_id", "_t").count().filter("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])
+    return (left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "_x"])).drop("_x")

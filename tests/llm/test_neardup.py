@@ -173,6 +173,17 @@ def test_weights_are_not_capped(spark):
     assert sorted(x.doc_id for x in neardup.stage(spark, df, "").collect()) == [0, 1, 2]
 
 
+def test_stage_keeps_texts_of_equal_ids(spark):
+    """Texts without an id, or with the same, stay where another row is repeated."""
+    r = random.Random(9)
+    texts = [sentence(r, 40) for _ in range(12)]
+    rows = [(None, t) for t in texts[:5]] + [(1, t) for t in texts[5:8]] + [(k, t) for k, t in enumerate(texts[8:], 2)] + [(2, texts[8])]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], DOCS)
+    left = neardup.stage(spark, df, "")
+    assert left.columns == df.columns
+    assert sorted((str(x.doc_id), x.text) for x in left.collect()) == sorted((str(k), t) for k, t in rows[:-1])
+
+
 def test_draws_above_the_table_go_on():
     code, _ = neardup.draws()
     at = np.arange(0, 1 << 16, 7)
