@@ -4,7 +4,8 @@ The lexicon is learned from labelled rows: words, and stems that words begin wit
 toxic documents hold significantly more often than others (log likelihood ratio, Dunning
 1993). Words are read by the intersection of the lexicon's trie with the Levenshtein
 automata of its entries, determinized as it is used: a state is the set of trie nodes that
-the letters read so far may stand for, each with the edits that this takes. So one walk over
+the letters read so far may stand for, each with the edits that this takes. Stems take no
+edits; the words below them do, which are read where the stem isn't. So one walk over
 a word's letters finds the entries within reach, and most words die after a few letters.
 
 A match counts by its kind (word, stem, misspelling) and by its window of words around:
@@ -197,7 +198,10 @@ def evidence(matches: list[tuple[str, int, float]]) -> np.ndarray:
 
 
 def lexicon(terms: list[tuple[str, bool, int, int]], n1: int, n0: int) -> tuple[list[str], list[str]]:
-    """Words and stems from (term, is a stem, toxic documents, other documents with it)."""
+    """Words and stems from (term, is a stem, toxic documents, other documents with it).
+
+    Words below a stem stay, for their misspellings: a stem is matched as it is.
+    """
     held = max(1, len(terms))
 
     def ratio(a: int, b: int) -> float:
@@ -219,7 +223,9 @@ def lexicon(terms: list[tuple[str, bool, int, int]], n1: int, n0: int) -> tuple[
         if any(x != t and x.startswith(t) and len(x) <= len(t) + (1 if s else 99) and b >= 0.95 * a for (x, s), b in good.items()):
             continue
         stems.append(t)
-    return sorted(w for w in words if not any(w.startswith(s) for s in stems))[:LEXICON], stems[:LEXICON]
+    stems = stems[:LEXICON]
+    below = {w for w in words if any(w.startswith(s) for s in stems)}
+    return sorted([*sorted(words - below)[:LEXICON], *below]), stems
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:

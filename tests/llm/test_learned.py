@@ -212,3 +212,14 @@ def test_broken_pages(spark):
     assert len(got) == 9 and all(r.text is not None and r.n_chars == len(r.text) for r in got)
     assert next(r.text for r in got if r.page_id == 7) == ""
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_misspelled_words_of_a_learned_stem():
+    """A stem that wins by inflections leaves its words their misspellings."""
+    terms = [("idiot", False, 60, 0), ("idiots", False, 20, 0), ("idiotic", False, 20, 0), ("idiot", True, 100, 0), ("idio", True, 100, 0), ("scumbag", False, 50, 0)]
+    words, stems = toxicity.lexicon(terms, 200, 2000)
+    assert stems and "idiot".startswith(stems[0])
+    auto = toxicity.Automaton(words, stems)
+    assert auto.kind("idiot") == auto.kind("idiotically") == 1
+    assert auto.kind("1diot") == auto.kind("1diots") == auto.kind("idjotic") == 2
+    assert auto.kind("scumbag") == 0 and auto.kind("scumbg") == 2 and auto.kind("riot") == -1
