@@ -27,7 +27,9 @@ from .trees import Boosted, boost
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their text is never text of the page.
-SILENT = frozenset("head script style noscript template iframe object svg math canvas audio video select textarea button title datalist".split())
+SILENT = frozenset("head script style noscript template iframe object svg canvas audio video select textarea button title datalist".split())
+#: What may stand in a head; anything else, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("html body caption tbody td tfoot th thead tr option legend".split())
 #: A start tag that ends an open element of these, unless one of the second is between.
@@ -79,7 +81,15 @@ class Dom(HTMLParser):
             if tag in walls:
                 return
 
+    def _end_head(self) -> None:
+        if self.tag[self.open[-1]] == "head":
+            self._close(len(self.open) - 1)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body":
+            self._end(frozenset(["head"]), frozenset(["body"]))
+        elif tag not in IN_HEAD:
+            self._end_head()
         if tag in CLOSES_P:
             self._end(frozenset(["p"]), frozenset(["table", "td", "th", "button", "body"]))
         if tag in IMPLIED:
@@ -117,6 +127,8 @@ class Dom(HTMLParser):
             self._end(frozenset([tag]), frozenset() if tag in BLOCK else frozenset(["td", "th", "body"]))
 
     def handle_data(self, data: str) -> None:
+        if not data.isspace():
+            self._end_head()
         if not self.silent:
             self.texts.append((self.open[-1], self.block, data))
 
@@ -289,7 +301,8 @@ def extract_pages(pages: DataFrame, html: str = "html", n_made: int = html_pages
     """``pages`` without ``html``, with text and n_chars of the main text.
 
     A null or empty page, or one without an article, gives an empty text. Broken markup is
-    read as browsers do in the main points: missing end tags are implied, stray ones ignored.
+    read as browsers do in the main points: missing end tags are implied, that of the head
+    included, stray ones ignored. Formulas (math) count as text, with their annotations.
     Repeated rows give equal texts; an empty table stays empty; columns named text or n_chars
     are replaced. Pages go through Python in small groups, each page whole.
     """

@@ -223,3 +223,20 @@ def test_misspelled_words_of_a_learned_stem():
     assert auto.kind("idiot") == auto.kind("idiotically") == 1
     assert auto.kind("1diot") == auto.kind("1diots") == auto.kind("idjotic") == 2
     assert auto.kind("scumbag") == 0 and auto.kind("scumbg") == 2 and auto.kind("riot") == -1
+
+
+def test_pages_without_end_of_head(tables):
+    """</head> may be left out, before <body>, before other elements and before text."""
+    pages = [r.html for r in tables["pages"].filter("html LIKE '%</head>%'").orderBy("page_id").limit(20).collect()]
+    trees = html_text.model()
+    want = html_text.extract(pages, trees)
+    assert all(want)
+    assert html_text.extract([p.replace("</head>", "") for p in pages], trees) == want
+    for page in ("<head><title>t</title><p>One <b>two</b>.", "<head><title>t</title>One <b>two</b>.", "<html><head><meta charset=x>\n<style>p {}</style><noscript>n</noscript><body>One <b>two</b>.", "<head><script>x</script><title>t</title></head> <body><p>One <b>two</b>."):
+        dom = html_text.parse(page)
+        assert html_text.render(dom, np.ones(len(dom.tag), bool)) == "One two."
+
+
+def test_math_is_text():
+    dom = html_text.parse("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>")
+    assert html_text.render(dom, np.ones(len(dom.tag), bool)) == "So x=1 holds."
