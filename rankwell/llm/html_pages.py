@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import random
 
-PAGES = 500
+PAGES = 600
 LETTERS = "aeiouaeionrtlsdmcbgvfhpáéñüö"
 
 
@@ -122,8 +122,8 @@ class Maker:
         parts += [self.paragraph() for _ in range(r.choice([1, 2, 3, 5, 8, 13, 20]))]
         if r.random() < 0.3:  # what interrupts an article
             parts.insert(r.randint(1, len(parts)), r.choice([self.advert, self.sidebar, self.notice])())
-        if r.random() < 0.15:
-            parts.append(r.choice([self.comments, self.sidebar, self.form])())
+        if r.random() < 0.25:
+            parts.append(r.choice([self.comments, self.comments, self.sidebar, self.form])())
         kind = r.random()
         if kind < 0.5:
             return self.tag("article", "".join(parts), "1", self.attrs(["article", "post", "entry"], 0.3))
@@ -131,7 +131,33 @@ class Maker:
             return self.tag("main", "".join(parts), "1")
         return self.tag(r.choice(["div", "section"]), "".join(parts), "1", self.attrs(["content", "post", "entry-content", "article-body", "story", "text", "post-body", "main"], 0.85))
 
+    def bare(self) -> str:
+        """Nothing but an article, in the body itself."""
+        r = self.r
+        k = r.random()
+        if k < 0.3:
+            inner = r.choice(["<br>", "<br><br>", "\n\n"]).join(self.sentences(1, 6) for _ in range(r.randint(1, 6)))
+        else:
+            inner = "".join(self.paragraph() for _ in range(r.choice([1, 2, 3, 5, 8])))
+            if r.random() < 0.5:
+                inner = f"<h1>{self.words(1, 8)}</h1>" + inner
+        return f'<body data-truth="1">{inner}</body>'
+
+    def tabled(self, top: list[str], middle: str, end: list[str]) -> str:
+        """A page laid out as a table: a cell for each part."""
+        cell = lambda x: f"<td>{x}</td>"
+        rows = "".join(f"<tr>{cell(x)}</tr>" for x in top) + "<tr>" + (cell(self.sidebar()) if self.r.random() < 0.6 else "") + cell(middle) + "</tr>" + "".join(f"<tr>{cell(x)}</tr>" for x in end)
+        return f"<table>{rows}</table>"
+
     def page(self) -> str:
+        """One page; some leave out end tags that HTML lets them leave out."""
+        html = self.bare() if self.r.random() < 0.06 else self.whole()
+        if self.r.random() < 0.12:
+            for tag in ("p", "li", "td", "tr", "dd"):
+                html = html.replace(f"</{tag}>", "")
+        return html
+
+    def whole(self) -> str:
         r = self.r
         body = []
         top = [f() for f, p in ((self.header, 0.5), (self.menu, 0.8), (self.notice, 0.3), (self.advert, 0.5), (self.form, 0.2)) if r.random() < p]
@@ -144,7 +170,7 @@ class Maker:
             if r.random() < 0.5 and end:
                 middle += end.pop(0)
             middle = self.tag(r.choice(["div", "div", "main", "section"]), middle, "", self.attrs(["wrapper", "container", "page", "main", "row", "layout"], 0.7))
-        body = [*top, middle, *end]
+        body = [self.tabled(top, middle, end)] if r.random() < 0.08 else [*top, middle, *end]
         return f"<html><head><title>{self.words(1, 6)}</title></head><body>{''.join(body)}</body></html>"
 
 

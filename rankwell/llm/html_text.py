@@ -28,6 +28,7 @@ from .trees import Boosted, boost
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their text is never text of the page.
 SILENT = frozenset("head script style noscript template iframe object svg canvas audio video select textarea button title datalist".split())
+FOREIGN = frozenset(["svg", "math"])
 #: What may stand in a head; anything else, or text, ends it.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -82,13 +83,16 @@ class Dom(HTMLParser):
                 return
 
     def _end_head(self) -> None:
+        """What can't stand in a head ends it; outside a body it begins one."""
         if self.tag[self.open[-1]] == "head":
             self._close(len(self.open) - 1)
+        if self.tag[self.open[-1]] in ("#root", "html"):
+            self.open.append(self._add("body", []))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "body":
             self._end(frozenset(["head"]), frozenset(["body"]))
-        elif tag not in IN_HEAD:
+        elif tag not in IN_HEAD and tag != "frameset":
             self._end_head()
         if tag in CLOSES_P:
             self._end(frozenset(["p"]), frozenset(["table", "td", "th", "button", "body"]))
@@ -107,7 +111,11 @@ class Dom(HTMLParser):
             self.silent += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        """The slash ends drawings and formulas, and what is inside them; elsewhere it says nothing."""
+        foreign = tag in FOREIGN or any(self.tag[i] in FOREIGN for i in self.open)
         self.handle_starttag(tag, attrs)
+        if foreign and tag not in VOID:
+            self._close(len(self.open) - 1)
 
     def _add(self, tag: str, attrs: list) -> int:
         said, truth = "", ""
@@ -302,7 +310,8 @@ def extract_pages(pages: DataFrame, html: str = "html", n_made: int = html_pages
 
     A null or empty page, or one without an article, gives an empty text. Broken markup is
     read as browsers do in the main points: missing end tags are implied, that of the head
-    included, stray ones ignored. Formulas (math) count as text, with their annotations.
+    included, and so is the body, so that a page of plain text has one; stray end tags are
+    ignored. Formulas (math) count as text, with their annotations.
     Repeated rows give equal texts; an empty table stays empty; columns named text or n_chars
     are replaced. Pages go through Python in small groups, each page whole.
     """
