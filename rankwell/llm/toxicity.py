@@ -8,9 +8,11 @@ the letters read so far may stand for, each with the edits that this takes. Stem
 edits; the words below them do, which are read where the stem isn't. So one walk over
 a word's letters finds the entries within reach, and most words die after a few letters.
 
-A match counts by its kind (word, stem, misspelling) and by its window of words around:
-quotation marks on both sides or a word of reporting before it take weight from it, words of
-address give weight to it. A logistic function of the sums gives the score.
+A match counts by its kind (word, stem, misspelling) and by its window of words around: it is
+quoted (between two marks that belong together), reported (a word of reporting before it),
+said to someone (a word of address near it) or plain. Each kind in each window has a weight of
+its own in a logistic function, learned from the labelled rows and drawn to what is given in
+PRIOR, where quotation and report count less than abuse that is said to someone.
 """
 
 from __future__ import annotations
@@ -25,23 +27,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .labelled import held_out, sample, scored
 
 #: Most labelled rows that lexicon and weights are learned from.
 TRAIN_ROWS = 8000
-#: Most entries of the lexicon.
-LEXICON = 2000
+#: Most entries of the lexicon, those most bound to toxic documents.
+LEXICON = 20_000
 STEM_CHARS = (4, 5, 6, 7)
 WINDOW = 5
 MARK = "^"  # no letter and no digit, so in no word
 WORDS = r"[^\p{L}\p{N}]+"
 WORD = re.compile(r"[^\W_]+")
 KINDS = ("word", "stem", "misspelled")
-#: Weights before any row is seen: bias, word, stem, misspelling; and how much rows it takes to move them.
-PRIOR, PRIOR_ROWS = np.array([-3.0, 4.0, 4.0, 3.5]), 4.0
-QUOTED, REPORTED, ADDRESSED = 0.25, 0.5, 1.25
-OPEN, CLOSE = "\"“„«‹‘", "\"”“»›’"
+WINDOWS = ("plain", "quoted", "reported", "said to someone")
+#: Weights before any row is seen: bias, then each kind in each window; and how many rows it takes to move them.
+BIAS, BY_KIND, BY_WINDOW = -3.0, (4.0, 4.0, 3.5), (1.0, 0.25, 0.5, 1.25)
+PRIOR, PRIOR_ROWS = np.array([BIAS, *(k * w for k in BY_KIND for w in BY_WINDOW)]), 4.0
+#: Marks that open and close a quotation, within a line.
+QUOTATION = re.compile(r'"[^"\n]*"|“[^“”\n]*”|„[^„“”\n]*[“”]|«[^«»\n]*»|»[^«»\n]*«|‹[^‹›\n]*›|‘[^‘’\n]*’')
 #: Words of reporting and of address; English, German, French, Spanish.
 REPORTS = frozenset("said says called calls wrote writes quoted word sagte nannte schrieb wort dit appelle mot dijo llamó escribió palabra".split())
 ADDRESSES = frozenset("you your du dich dein sie tu toi vous votre usted eres tú".split())
@@ -53,7 +57,10 @@ def reach(entry: str) -> int:
 
 
 class Automaton:
-    """The intersection, as a deterministic automaton that grows as words are read."""
+    """The intersection, as a deterministic automaton that grows as words are read; it starts
+    anew when it has STATES states."""
+
+    STATES = 200_000
 
     def __init__(self, words: list[str], stems: list[str]):
         self.kids: list[dict[str, int]] = [{}]
@@ -76,6 +83,9 @@ class Automaton:
                 self.stem[node] = True
             else:
                 self.word[node] = k
+        self._forget()
+
+    def _forget(self) -> None:
         self.states: list[tuple] = []
         self.ids: dict[tuple, int] = {}
         self.steps: list[dict[str, int]] = []
@@ -113,6 +123,8 @@ class Automaton:
 
     def kind(self, word: str) -> int:
         """0: a word of the lexicon, 1: begins with a stem, 2: a misspelling, -1: none."""
+        if len(self.states) >= self.STATES:
+            self._forget()
         state = self.start
         for ch in word:
             to = self.steps[state].get(ch)
@@ -161,46 +173,45 @@ class Reader:
             k = self.known[word] = -1 if k == 2 and word in self.model.clean else k
         return k
 
-    def matches(self, text: str) -> list[tuple[str, int, float]]:
-        """(word, kind, weight by its window) of each match."""
+    def matches(self, text: str) -> list[tuple[str, int, int]]:
+        """(word, kind, window) of each match, numbers of KINDS and WINDOWS."""
         low = text.lower()
-        tokens = WORD.findall(low)
         kind = self.kind
-        hits = {w for w in set(tokens) if kind(w) >= 0}
+        hits = {w for w in set(WORD.findall(low)) if kind(w) >= 0}
         if not hits:
             return []
         out = []
         spans = list(WORD.finditer(low))
+        quoted = np.array([q.span() for q in QUOTATION.finditer(low)], np.int64).reshape(-1, 2)
         for i, m in enumerate(spans):
             w = m.group()
             if w not in hits:
                 continue
             before, after = spans[max(0, i - WINDOW) : i], spans[i + 1 : i + 1 + WINDOW]
-            left = low[before[0].start() if before else 0 : m.start()]
-            right = low[m.end() : after[-1].end() if after else len(low)]
-            weight = 1.0
-            if any(q in left for q in OPEN) and any(q in right for q in CLOSE):
-                weight *= QUOTED
-            if any(b.group() in REPORTS for b in before):
-                weight *= REPORTED
-            if any(x.group() in ADDRESSES for x in (*before, *after)):
-                weight *= ADDRESSED
-            out.append((w, kind(w), weight))
+            at = np.searchsorted(quoted[:, 0], m.start(), side="right") - 1
+            if at >= 0 and m.end() <= quoted[at, 1]:
+                window = 1
+            elif any(b.group() in REPORTS for b in before):
+                window = 2
+            else:
+                window = 3 if any(x.group() in ADDRESSES for x in (*before, *after)) else 0
+            out.append((w, kind(w), window))
         return out
 
 
-def evidence(matches: list[tuple[str, int, float]]) -> np.ndarray:
-    """A one, and for each kind the root of the weights of its matches."""
-    sums = np.zeros(len(KINDS))
-    for _, k, weight in matches:
-        sums[k] += weight
-    return np.concatenate([[1.0], np.minimum(np.sqrt(sums), 3.0)])
+def evidence(matches: list[tuple[str, int, int]]) -> np.ndarray:
+    """A one, and for each kind in each window log2(1 + matches)."""
+    sums = np.zeros((len(KINDS), len(WINDOWS)))
+    for _, k, window in matches:
+        sums[k, window] += 1
+    return np.concatenate([[1.0], np.log2(1 + sums).ravel()])
 
 
 def lexicon(terms: list[tuple[str, bool, int, int]], n1: int, n0: int) -> tuple[list[str], list[str]]:
     """Words and stems from (term, is a stem, toxic documents, other documents with it).
 
-    Words below a stem stay, for their misspellings: a stem is matched as it is.
+    Words below a stem stay, for their misspellings: a stem is matched as it is. Of more than
+    LEXICON words, or stems, those stay that are most significant.
     """
     held = max(1, len(terms))
 
@@ -214,7 +225,8 @@ def lexicon(terms: list[tuple[str, bool, int, int]], n1: int, n0: int) -> tuple[
     for term, stem, a, b in terms:
         if a / max(n1, 1) >= 20 * (b + 0.2) / max(n0 + 1, 1) and ratio(a, b) > 2 * math.log(held) + 2:
             good[term, stem] = a
-    words = {t for t, stem in good if not stem}
+    rank = {(t, stem): (-ratio(a, b), t) for t, stem, a, b in terms if (t, stem) in good}
+    words = {t for t, stem in sorted((x for x in good if not x[1]), key=rank.__getitem__)[:LEXICON]}
     stems: list[str] = []
     for (t, stem), a in sorted(good.items(), key=lambda x: (len(x[0][0]), x[0])):
         if not stem or any(t.startswith(s) for s in stems):
@@ -223,19 +235,20 @@ def lexicon(terms: list[tuple[str, bool, int, int]], n1: int, n0: int) -> tuple[
         if any(x != t and x.startswith(t) and len(x) <= len(t) + (1 if s else 99) and b >= 0.95 * a for (x, s), b in good.items()):
             continue
         stems.append(t)
-    stems = stems[:LEXICON]
-    below = {w for w in words if any(w.startswith(s) for s in stems)}
-    return sorted([*sorted(words - below)[:LEXICON], *below]), stems
+    return sorted(words), sorted(sorted(stems, key=lambda t: rank[t, True])[:LEXICON])
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic weights by Newton's method, drawn to PRIOR."""
     w = PRIOR.copy()
-    for _ in range(25):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - y) + PRIOR_ROWS * (w - PRIOR)
         h = (x * (p * (1 - p))[:, None]).T @ x + PRIOR_ROWS * np.eye(len(w))
-        w = w - np.linalg.solve(h, g)
+        step = np.linalg.solve(h, g)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
     return w
 
 
@@ -249,7 +262,8 @@ def _stem(k: int):
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """Lexicon and weights from at most ``rows`` labelled documents that aren't held out."""
-    some = sample(docs, labels, target, rows).withColumn("y", (F.col("y") > 0).cast("int"))
+    # bounded by ``rows``; written, since it is read more than once
+    some = written(sample(docs, labels, target, rows).withColumn("y", (F.col("y") > 0).cast("int")), "labelled")
     words = F.array_distinct(F.filter(F.split(F.lower("text"), WORDS), lambda w: F.length(w) > 2))
     per = some.select("y", words.alias("w"))
     n0, n1 = (per.filter(F.col("y") == k).count() for k in (0, 1))
@@ -260,10 +274,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     terms = F.array_distinct(F.concat("w", *stems))
     tally = per.select("y", F.explode(terms).alias("t")).groupBy("t").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     tally = tally.select(F.regexp_replace("t", r"^\^", "").alias("term"), F.col("t").startswith(MARK).alias("stem"), "a", "b")
-    often = tally.filter(F.col("a") + F.col("b") >= 3)
+    often = written(tally.filter(F.col("a") + F.col("b") >= 3), "terms")
     held = often.count()
     # what reaches the driver is bounded: the terms most bound to one side
-    top = often.filter((F.col("a") >= 3) & (F.col("a") * n0 >= F.col("b") * (20 * n1))).orderBy(F.desc("a"), "term", "stem").limit(20 * LEXICON).collect()
+    top = often.filter((F.col("a") >= 3) & (F.col("a") * n0 >= F.col("b") * (20 * n1))).orderBy(F.desc("a"), "term", "stem").limit(2 * LEXICON).collect()
     found = [(r["term"], r["stem"], r["a"], r["b"]) for r in top]
     model = Model()
     model.words, model.stems = lexicon([*found, *[("", False, 0, 0)] * max(0, held - len(found))], n1, n0)
@@ -273,11 +287,11 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
         for batch in batches:
             got = [reader.matches(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), pa.array([[m[0] for m in g] for g in got], pa.list_(pa.string())), pa.array([[m[1] for m in g] for g in got], pa.list_(pa.int32())), pa.array([[m[2] for m in g] for g in got], pa.list_(pa.float64()))],
+                [batch.column("doc_id"), batch.column("y"), pa.array([[m[0] for m in g] for g in got], pa.list_(pa.string())), pa.array([[m[1] for m in g] for g in got], pa.list_(pa.int32())), pa.array([[m[2] for m in g] for g in got], pa.list_(pa.int32()))],
                 names=["doc_id", "y", "w", "k", "c"],
             )
 
-    got = some.select("doc_id", "y", "text").mapInArrow(read, "doc_id long, y int, w array<string>, k array<int>, c array<double>").toArrow().sort_by("doc_id").to_pylist()
+    got = some.select("doc_id", "y", "text").mapInArrow(read, "doc_id long, y int, w array<string>, k array<int>, c array<int>").toArrow().sort_by("doc_id").to_pylist()
     model.clean = frozenset(w for r in got if not r["y"] for w, k in zip(r["w"], r["k"], strict=True) if k == 2)
     x = np.array([evidence([m for m in zip(r["w"], r["k"], r["c"], strict=True) if not (m[1] == 2 and m[0] in model.clean)]) for r in got])
     model.weights = fit(x, np.array([r["y"] for r in got], float))
