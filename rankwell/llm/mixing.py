@@ -10,7 +10,10 @@ convex dual has one multiplier a source, and its solution is an exponential tilt
 r_i = min(CAP, exp(lambda_s * z_i)), with z_i = (1 + size_i / (size_i + mean_s)) / 2, so that
 long documents answer to the multiplier up to twice as much as short ones. Newton's method
 finds lambda_s: the gradient and the curvature of the dual are sums over the documents, taken
-over the (source, size) histogram into which the rows are aggregated before any shuffle.
+in each iteration by partial aggregates over the (source, size) histogram, into which the rows
+are aggregated before any shuffle, so that no source is summed in one task. Each step stays in
+a bracket that is known to hold the solution (else it halves it), and the iterations end when
+every source meets its target.
 
 The rates become whole copies: along the sizes of a source the running sum of rates is
 rounded, which makes the count of copies of each size; what then is missing or too much in
@@ -26,7 +29,10 @@ from pyspark.sql import functions as F
 from .common import n_chunks, table, text_of, written
 
 CAP = 3
-NEWTON_STEPS = 10
+#: Iterations at most; a few suffice, and halving the bracket alone would take 60.
+NEWTON_STEPS = 100
+#: How near the words of the rates have to be to the target, as a share of it.
+MET = 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,28 +62,52 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = C
     )
 
 
-def balance(hist: DataFrame, cap: int = CAP, steps: int = NEWTON_STEPS) -> DataFrame:
-    """``hist`` (source, size, n, source_size, target) with the ``rate`` of each size.
+def multipliers(hist: DataFrame, cap: int = CAP, steps: int = NEWTON_STEPS, met: float = MET) -> DataFrame:
+    """``source, lam``: the multiplier of each source that has words and whose target is below its cap.
 
-    Rows of one source come together, of which there are at most as many as sizes differ.
+    ``hist``: source, size, n, source_size, target, z; a written table. With r = target /
+    source_size and z from 1/2 to 1, lam is between ln r and 2 ln r. One row a source is
+    written in each iteration. Sums are decimal, so that their order doesn't matter.
     """
-    # ordered, so that the sums are added up in the same order in every run
-    by = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    limit = float(cap)
-    mean = F.sum(F.col("size") * F.col("n")).over(by) / F.sum("n").over(by)
-    got = hist.withColumn("_z", F.when(F.col("size") > 0, (1 + F.col("size") / (F.col("size") + mean)) / 2).otherwise(F.lit(0.5)))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    got = got.withColumn("_lam", F.log(F.greatest(ratio, F.lit(1e-12))) / F.lit(0.75))
+    ratio = F.col("target") / F.col("source_size")
+    ends = F.log(ratio), 2 * F.log(ratio)
+    able = (F.col("source_size") > 0) & (F.col("target") > 0) & (F.col("target") < float(cap) * F.col("source_size"))
+    cells = hist.filter(able & (F.col("size") > 0))
+    first = cells.select("source", "source_size", "target").distinct().select("source", "target", F.least(*ends).alias("lo"), F.greatest(*ends).alias("hi"), (F.log(ratio) / 0.75).alias("lam"), F.lit(False).alias("done"))
+    state = written(first, "newton")
+    exact = lambda x: F.sum(x.cast("decimal(38,9)")).cast("double")
     for _ in range(steps):
-        tilt = F.exp(F.least(F.col("_lam") * F.col("_z"), F.lit(50.0)))
-        words = F.col("size") * F.col("n") * F.least(tilt, F.lit(limit))
-        slope = F.when(tilt < limit, F.col("size") * F.col("n") * F.col("_z") * tilt).otherwise(F.lit(0.0))
-        got = got.withColumn("_g", F.sum(words).over(by) - F.col("target")).withColumn("_s", F.sum(slope).over(by))
-        move = F.when(F.col("_s") > 0, F.col("_g") / F.greatest(F.col("_s"), F.lit(1e-9))).otherwise(F.when(F.col("_g") > 0, F.lit(0.5)).otherwise(F.lit(-0.5)))
-        got = got.withColumn("_lam", F.col("_lam") - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), move)))
-    done = F.col("target") >= limit * F.col("source_size")
-    rate = F.when(done, F.lit(limit)).otherwise(F.least(F.exp(F.least(F.col("_lam") * F.col("_z"), F.lit(50.0))), F.lit(limit)))
-    return got.withColumn("rate", rate).drop("_z", "_lam", "_g", "_s")
+        open_ = state.filter("NOT done").withColumnRenamed("target", "_target")
+        at = cells.alias("c").join(open_.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")))
+        tilt = F.exp(F.col("lam") * F.col("z"))
+        words = F.col("size") * F.col("n") * F.least(tilt, F.lit(float(cap)))
+        slope = F.when(tilt < cap, F.col("size") * F.col("n") * F.col("z") * tilt).otherwise(F.lit(0.0))
+        sums = at.groupBy("c.source", "_target", "lo", "hi", "lam").agg((exact(words) - F.col("_target")).alias("g"), exact(slope).alias("s"))
+        sums = sums.withColumn("lo", F.when(F.col("g") <= 0, F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("g") > 0, F.col("lam")).otherwise(F.col("hi")))
+        newton, middle = F.col("lam") - F.col("g") / F.col("s"), (F.col("lo") + F.col("hi")) / 2
+        step = F.when((F.col("s") > 0) & (newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise(middle)
+        done = (F.abs("g") <= met * F.col("_target")) | (F.col("hi") - F.col("lo") <= 1e-15 * F.abs("lam"))
+        moved = sums.select("source", F.col("_target").alias("target"), "lo", "hi", F.when(done, F.col("lam")).otherwise(step).alias("lam"), done.alias("done"))
+        state = written(state.filter("done").unionByName(moved), "newton")
+        if state.filter("NOT done").isEmpty():
+            break
+    return state.select("source", "lam")
+
+
+def balance(hist: DataFrame, cap: int = CAP) -> DataFrame:
+    """``hist`` (source, size, n, source_size, target) with the ``rate`` of each size.
+
+    A source whose target is its cap has the rate ``cap``, one without words 1, one with the
+    target 0 has 0.
+    """
+    mean = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("_mean")).withColumnRenamed("source", "_s")
+    z = F.when(F.col("size") > 0, (1 + F.col("size") / (F.col("size") + F.col("_mean"))) / 2).otherwise(F.lit(0.5))
+    hist = written(hist.join(mean, F.col("source").eqNullSafe(F.col("_s"))).withColumn("z", z).drop("_mean", "_s"), "histogram")
+    found = multipliers(hist, cap).withColumnRenamed("source", "_s")
+    full, none = F.col("target") >= float(cap) * F.col("source_size"), F.col("source_size") == 0
+    tilt = F.least(F.exp(F.col("lam") * F.col("z")), F.lit(float(cap)))
+    rate = F.when(none, F.lit(1.0)).when(full, F.lit(float(cap))).otherwise(F.coalesce(tilt, F.lit(0.0)))
+    return hist.join(found, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("rate", rate).drop("_s", "lam", "z")
 
 
 def whole_copies(rated: DataFrame, cap: int = CAP) -> DataFrame:
@@ -108,24 +138,16 @@ def whole_copies(rated: DataFrame, cap: int = CAP) -> DataFrame:
     return both.select("source", "size", "n", "source_size", "target", (F.col("_c") + F.coalesce(F.col("_d"), zero)).alias("copies"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``key, size, source_size, target, copies, taken`` for every row of ``docs``, and ``carry``.
-
-    ``size`` counts the words of the text (null: none), ``taken`` = size * copies are the words
-    the mix takes. A null source is a source of its own; texts without words take 0 words
-    (their copies follow the tilt). Repeated rows are documents of their own; equal rows may
-    swap copies, which changes no row of the result. A source without words has the target 0.
-    An empty table gives no rows. Other columns than
-    those named in ``carry``, also of the names made here, are left out.
-    """
+def _mixed(docs: DataFrame, key: str, weights: tuple[int, ...], cap: int, carry: list[str]) -> DataFrame:
+    """``_key, _size, _source_size, _target, _copies`` for every row, and ``carry`` as _carry_0, _carry_1, ..."""
     spark = docs.sparkSession
     body = text_of()
     rows = docs.select(
-        F.col(key),
+        F.col(key).alias("_key"),
         F.col("source"),
         F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(F.col(key), body).alias("_h"),
-        *[F.col(c).alias(f"_carry_{c}") for c in carry],
+        *[F.col(f"`{c}`").alias(f"_carry_{k}") for k, c in enumerate(carry)],
     )
     rows = written(rows, "mix")  # the words of a text are counted once
     chunks = n_chunks(spark, rows.count())
@@ -143,12 +165,24 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = (1, 2,
         .join(copies.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")))
         .select("a.source", "a.size", "a._c", "_first", "source_size", "target", F.floor(F.col("copies") / F.col("n")).cast("long").alias("_base"), (F.col("copies") % F.col("n")).alias("_odd"))
     )
-    rank = Window.partitionBy("source", "size", "_c").orderBy("_h", key)
+    rank = Window.partitionBy("source", "size", "_c").orderBy("_h", "_key")
     placed = rows.withColumn("_k", F.row_number().over(rank))
     both = placed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")) & (F.col("d._c") == F.col("p._c")))
     n = F.col("_base") + F.when(F.col("_first") + F.col("_k") <= F.col("_odd"), 1).otherwise(0)
-    kept = [F.col(f"_carry_{c}").alias(c) for c in carry]
-    return both.select(F.col(f"d.{key}").alias(key), F.col("d.size").alias("size"), "source_size", "target", n.alias("copies"), (F.col("d.size") * n).alias("taken"), *kept)
+    return both.select("_key", F.col("d.size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), n.alias("_copies"), *[f"_carry_{k}" for k in range(len(carry))])
+
+
+def mix(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
+    """``key, size, source_size, target, copies, taken`` for every row of ``docs``.
+
+    ``size`` counts the words of the text (null: none), ``taken`` = size * copies are the words
+    the mix takes. A null source is a source of its own; texts without words take 0 words
+    (their copies follow the tilt). Repeated rows are documents of their own; equal rows may
+    swap copies, which changes no row of the result. A source without words has the target 0.
+    An empty table gives no rows. Other columns, also of the names made here, are left out.
+    """
+    got = _mixed(docs, key, weights, cap, [])
+    return got.select(F.col("_key").alias(key), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +191,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it; those it doesn't take go."""
-    cols = ("doc_id", "text", "lang", "source", "n_chars")
-    taken = mix(docs, carry=cols[1:])
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*cols)
+    """Pipeline stage: each document, with all its columns, as often as the mix takes it; those it
+    doesn't take go."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    taken = _mixed(docs, "doc_id", (1, 2, 3), CAP, rest)
+    names = {"doc_id": "_key"} | {c: f"_carry_{k}" for k, c in enumerate(rest)}
+    copy = F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))
+    return taken.withColumn("_copy", copy).select(*[F.col(names[c]).alias(c) for c in docs.columns])
