@@ -141,8 +141,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a window of a benchmark item go."""
     found = matches(docs, table(spark, sf_dir, "benchmark")).filter(F.col("start").isNotNull())
     found = found.select(F.col("doc_id").alias("_id"), "_h").distinct()
-    rows = docs.withColumn("_t", F.xxhash64(text_of()))
-    return rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["_t"] == found["_h"]), "left_anti").select(*docs.columns)
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["_h"]), "left_anti")
 
 
 SQL_OP9 = r"""
