@@ -2,8 +2,9 @@
 
 A text is the weighted set of its shingles of five words: the weight of a shingle is its
 occurrences in the text times an inverse document frequency, which is counted over all
-documents in a table of hashed counters and damped (see ``IDF``), so that documents of a
-group of thousands of copies, whose shingles are frequent, still count as alike.
+documents in a table of hashed counters, less what other shingles add to a counter on
+average, so that a fixed table does for any corpus. It is damped (see ``IDF``), so that
+documents of a group of thousands of copies, whose shingles are frequent, still count as alike.
 
 Sampling: for each of SAMPLES draws, a hash of the shingle picks its random variables (two
 gamma, one uniform) from a table of 2**16; the shingle with the least a = c / (y e^r) is the
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import table, text_of, unused, written
 from .subwords import Subwords
 
 WORDS, THRESHOLD = 5, 0.8
@@ -38,7 +39,7 @@ BANDS, ROWS = 20, 6
 SAMPLES = BANDS * ROWS
 #: A shingle weighs from 1 (in all documents) to 1 + IDF (in one).
 IDF = 0.25
-#: Counters for document frequencies; rarer shingles than one in so many of all look alike.
+#: Counters for document frequencies.
 COUNTERS_BITS = 18
 #: Draws take weights as powers of STEP, verification takes them as they are. The draws of the first LEVELS powers are
 #: held in a table, those of higher ones are computed.
@@ -108,7 +109,12 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     at, n = np.asarray(got.column("bin")), np.asarray(got.column("n"))
     out = np.zeros(width, np.int64)
     out[at[at >= 0]] = n[at >= 0]
-    return out, int(n[at < 0].sum())
+    return less_load(out), int(n[at < 0].sum())
+
+
+def less_load(counters: np.ndarray) -> np.ndarray:
+    """The counters less their mean, which is about what the other shingles of a counter add to it."""
+    return np.maximum(counters - int(counters.sum()) // len(counters), 0)
 
 
 def weights(hashes: np.ndarray, times: np.ndarray, counters: np.ndarray, documents: int) -> np.ndarray:
@@ -408,11 +414,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class one document stays, that of the least doc_id."""
-    cols = docs.columns
     found = written(near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_t")), "kept")
-    ident = F.xxhash64(F.md5(text_of().cast("binary")), F.octet_length(text_of()))
-    rows = docs.withColumn("_x", ident)
-    left = rows.join(found.distinct(), rows["_x"].eqNullSafe(found["_t"]) & rows["doc_id"].eqNullSafe(found["_id"]), "left_semi").select(*cols, "_x")
+    ident = F.xxhash64(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")), F.octet_length(F.coalesce(docs["text"], F.lit(""))))
+    left = docs.join(found.distinct(), ident.eqNullSafe(found["_t"]) & docs["doc_id"].eqNullSafe(found["_id"]), "left_semi")
     # rows that repeat doc_id and text: one of them
-    repeated = found.groupBy("_id", "_t").count().filter("count > 1")
-    return (left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "_x"])).drop("_x")
+    if found.groupBy("_id", "_t").count().filter("count > 1").isEmpty():
+        return left
+    text = unused(docs, "_text_id")
+    return left.withColumn(text, F.xxhash64(F.md5(text_of().cast("binary")), F.octet_length(text_of()))).dropDuplicates(["doc_id", text]).drop(text)
