@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,21 +23,23 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> DataFr
     """``doc_id, text, y`` of at most ``rows`` labelled documents that aren't held out.
 
     Of all of them, those with the least hash of doc_id. Null targets aren't labels; of
-    several labels of a document the most frequent counts (ties: the largest).
+    several labels of a document the most frequent counts (ties: the largest), of several
+    texts of a doc_id that with the least hash, so that no doc_id gives more than one row.
     """
     one = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id", F.col(target).alias("_y")).count()
     one = one.groupBy("doc_id").agg(F.max(F.struct("count", "_y"))["_y"].alias("y"))
     one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(one), "doc_id")
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(one), "doc_id")
+    return some.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")).select("doc_id", "text", "y")
 
 
-def counted(rows: DataFrame, features: Subwords) -> tuple[list[np.ndarray], list[np.ndarray], list]:
-    """Buckets and counts of each text, made on the executors, and its y; in the order of doc_id.
+def learned(rows: DataFrame, features: Subwords, fit: Callable[[list[np.ndarray], list[np.ndarray], list], object]) -> object:
+    """What ``fit`` makes of the buckets, the counts and the y of all rows of a ``sample``.
 
-    What reaches the driver is bounded by the sample and the number of buckets.
+    The features are made in parallel and brought to one task, which the sample bounds; ``fit``
+    runs there, with the rows in the order of doc_id, and only its result comes to the driver.
     """
-    y_type = rows.schema["y"].dataType
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.FloatType())), T.StructField("y", y_type)])
+    count_schema = T.StructType([rows.schema["doc_id"], T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.FloatType())), rows.schema["y"]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,9 +49,19 @@ def counted(rows: DataFrame, features: Subwords) -> tuple[list[np.ndarray], list
                 names=["doc_id", "at", "n", "y"],
             )
 
-    got = rows.select("doc_id", "text", "y").mapInArrow(count, schema).toArrow().sort_by("doc_id")
-    as_arrays = lambda c: [np.asarray(x.values) for x in got.column(c)]
-    return as_arrays("at"), as_arrays("n"), got.column("y").to_pylist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, at, n, y = [], [], [], []
+        for x in batches:
+            ids += x.column("doc_id").to_pylist()
+            at += [np.array(a.values) for a in x.column("at")]
+            n += [np.array(a.values) for a in x.column("n")]
+            y += x.column("y").to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: ids[i])
+        made = fit([at[i] for i in order], [n[i] for i in order], [y[i] for i in order])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["model"])
+
+    got = rows.select("doc_id", "text", "y").mapInArrow(count, count_schema).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit([], [], [])
 
 
 def scored(docs: DataFrame, score: Callable[[list[str]], dict[str, np.ndarray | list]], schema: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .labelled import counted, held_out, sample, scored
+from .labelled import held_out, learned, sample, scored
 from .subwords import Subwords
 
 #: Most documents with a known language that the models learn from.
@@ -133,8 +133,8 @@ def predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learned from at most ``rows`` documents with a language that aren't held out."""
-    at, n, y = counted(sample(docs, docs, "lang", rows), features())
-    return fit(at, n, y, features().buckets)
+    f = features()
+    return learned(sample(docs, docs, "lang", rows), f, lambda at, n, y: fit(at, n, y, f.buckets))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

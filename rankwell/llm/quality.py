@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings (Joulin et al., 2016).
 
-Each hashed word and character n-gram has a learned vector; a document is the average of
-its vectors, and a softmax over a linear layer gives the class. Vectors and layer are trained
+Each hashed word, pair of words and character n-gram has a learned vector; a document is the
+average of its vectors (words and pairs, of which there are fewer, count WORD_TIMES each), and a softmax over a linear layer gives the class. Vectors and layer are trained
 by stochastic gradient descent in numpy, on a bounded sample of labelled rows. In scoring,
 vectors and layer are multiplied out first, so a feature adds a single number.
 """
@@ -12,25 +12,29 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .labelled import counted, held_out, sample, scored
+from .common import table, unused
+from .labelled import held_out, learned, sample, scored
 from .subwords import Subwords
 
 #: Most labelled rows that the model learns from.
 TRAIN_ROWS = 4000
 DIM, EPOCHS, RATE = 8, 6, 0.5
+#: Steps at least, so that a small sample is gone through more often.
+STEPS = 3000
+WORD_TIMES = 8
 THRESHOLD = 0.3
 
 
 def features() -> Subwords:
-    return Subwords(bits=16, ns=(2, 3, 4), words=True, repeats=True)
+    return Subwords(bits=16, ns=(2, 3, 4), words=True, pairs=True, times=WORD_TIMES)
 
 
 def fit(at: list[np.ndarray], n: list[np.ndarray], y: list[int], buckets: int, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> np.ndarray:
     """The weight of each bucket in the log odds of class 1, and the bias as a last row.
 
     Steps are scaled by the running squares of the gradients (AdaGrad). Without rows the
-    odds are even; with one class they follow its share, smoothed by one row.
+    odds are even; with one class they follow its share, smoothed by one row. A sample too
+    small for STEPS steps in ``epochs`` rounds takes more of them.
     """
     y = np.asarray(y, dtype=np.int64)
     out = np.zeros((buckets + 1, 1), np.float32)
@@ -42,6 +46,7 @@ def fit(at: list[np.ndarray], n: list[np.ndarray], y: list[int], buckets: int, d
     layer, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     v2, l2, b2 = np.full(buckets, 1e-8, np.float32), np.full((dim, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     share = [c / c.sum() for c in n]
+    epochs = max(epochs, -(-STEPS // len(y)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(y)):
@@ -67,8 +72,7 @@ def fit(at: list[np.ndarray], n: list[np.ndarray], y: list[int], buckets: int, d
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights learned from at most ``rows`` labelled documents that aren't held out."""
     f = features()
-    at, n, y = counted(sample(docs, labels, target, rows), f)
-    return fit(at, n, y, f.buckets)
+    return learned(sample(docs, labels, target, rows), f, lambda at, n, y: fit(at, n, y, f.buckets))
 
 
 def score_texts(texts: list[str], weights: np.ndarray) -> np.ndarray:
@@ -100,5 +104,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
-    weights = train(docs, table(spark, sf_dir, "labels"))
-    return classify(docs, weights).filter(F.col("predicted") == 1).select(*docs.columns)
+    held = spark.sparkContext.broadcast(train(docs, table(spark, sf_dir, "labels")))
+    name = unused(docs, "_score")
+    got = scored(docs, lambda texts: {name: score_texts(texts, held.value)}, f"{name} double")
+    return got.filter(F.col(name) >= THRESHOLD).select(*docs.columns)

@@ -6,15 +6,19 @@ are told apart and none spans two texts. Every n-gram and every word hashes to a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 
 PAD = 4
-#: Code points that are handled at a time; longer texts are cut there and count as joined.
+#: Code points that are handled at a time; longer texts go in pieces, see ``pieces``.
 PIECE = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
+_SPACE = re.compile(r"[\x00-\x20]+")
+#: Blanks and two words, of four code points or more together, which the next blank ends.
+_TWO = re.compile(r"[\x00-\x20]+[^\x00-\x20]+[\x00-\x20]+[^\x00-\x20]+[\x00-\x20]+[^\x00-\x20]+(?=[\x00-\x20])")
 
 
 @lru_cache(maxsize=1)
@@ -26,10 +30,11 @@ def _letters() -> np.ndarray:
 
 
 class Subwords:
-    """Buckets for n-grams of the lengths ``ns``, for words, and for words said twice in a row."""
+    """Buckets for n-grams of the lengths ``ns``, for words, and for pairs of words in a row."""
 
-    def __init__(self, bits: int = 16, ns: tuple[int, ...] = (2, 3, 4), words: bool = True, repeats: bool = False, lower: bool = False, letters: bool = False):
-        self.bits, self.ns, self.words, self.repeats, self.lower = bits, ns, words, repeats, lower
+    def __init__(self, bits: int = 16, ns: tuple[int, ...] = (2, 3, 4), words: bool = True, pairs: bool = False, lower: bool = False, letters: bool = False, times: int = 1):
+        self.bits, self.ns, self.words, self.pairs, self.lower = bits, ns, words, pairs, lower
+        self.times = times  # how often a word or pair counts, of which there are fewer than n-grams
         self.letters = letters  # words are runs of letters and digits, not of what isn't white space
         self.buckets = 1 << bits
         self._pow = self._inv = None
@@ -52,8 +57,8 @@ class Subwords:
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         return c, starts
 
-    def streams(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(buckets, text index of each) for each kind of feature."""
+    def streams(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(buckets, text index of each, times) for each kind of feature."""
         c, starts = self._points(texts)
         n = len(c) - PAD
         owner = np.zeros(len(c), np.int32)
@@ -65,17 +70,18 @@ class Subwords:
             h = (h ^ c[k - 1 : k - 1 + n]) * np.uint32(0x01000193)
             h ^= h >> np.uint32(15)
             if k in self.ns:
-                yield ((h * np.uint32(0x85EBCA6B)) >> shift).astype(np.int32), owner[:n]
-        if not self.words and not self.repeats:
+                yield ((h * np.uint32(0x85EBCA6B)) >> shift).astype(np.int32), owner[:n], 1
+        if not self.words and not self.pairs:
             return
         word, of = self._words(c, owner)
+        top = np.uint64(64 - self.bits)
         if self.words:
-            yield (word >> np.uint64(64 - self.bits)).astype(np.int32), of
-        if self.repeats and len(word) > 1:
+            yield (word >> top).astype(np.int32), of, self.times
+        if self.pairs and len(word) > 1:
             within = of[1:] == of[:-1]
-            said = np.where(word[1:] == word[:-1], 0, 1).astype(np.int32)[within]
-            # the only features that say how a text goes on, so each counts four times
-            yield np.repeat(said, 4), np.repeat(of[1:][within], 4)
+            # a word said again has one bucket for all words, since no text shares such a pair with another
+            pair = np.where(word[1:] == word[:-1], np.uint64(_BASE), pair_hashes(word))
+            yield (pair[within] >> top).astype(np.int32), of[1:][within], self.times
 
     def _words(self, c: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A 64-bit hash of each run of code points above 32, and its text's index.
@@ -104,9 +110,9 @@ class Subwords:
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The buckets of one text and how often each occurs."""
         bins = np.zeros(self.buckets, np.int64)
-        for piece in pieces(text):
-            for b, _ in self.streams([piece]):
-                bins += np.bincount(b, minlength=self.buckets)
+        for piece, sign in pieces(text):
+            for b, _, times in self.streams([piece]):
+                bins += sign * times * np.bincount(b, minlength=self.buckets)
         at = np.flatnonzero(bins)
         return at.astype(np.int32), bins[at].astype(np.float32)
 
@@ -116,25 +122,26 @@ class Subwords:
         out, number = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts))
         group: list[str] = []
         of: list[int] = []
+        signs: list[int] = []
 
         def flush() -> None:
             if not group:
                 return
-            ids = np.array(of)
+            ids, sign = np.array(of), np.array(signs)
             m = len(group)
-            for b, owner in self.streams(group):
-                number[:] += np.bincount(ids[np.arange(m)], np.bincount(owner, minlength=m), minlength=len(texts))
+            for b, owner, times in self.streams(group):
+                np.add.at(number, ids, sign * times * np.bincount(owner, minlength=m))
                 for j in range(weights.shape[1]):
-                    part = np.bincount(owner, weights[b, j], minlength=m)
-                    np.add.at(out[:, j], ids, part)
-            group.clear()
-            of.clear()
+                    np.add.at(out[:, j], ids, sign * times * np.bincount(owner, weights[b, j], minlength=m))
+            for held in (group, of, signs):
+                held.clear()
 
         size = 0
         for i, t in enumerate(texts):
-            for piece in pieces(t):
+            for piece, sign in pieces(t):
                 group.append(piece)
                 of.append(i)
+                signs.append(sign)
                 size += len(piece)
                 if size > PIECE // 4:
                     flush()
@@ -143,5 +150,30 @@ class Subwords:
         return out, number
 
 
-def pieces(text: str) -> list[str]:
-    return [text[i : i + PIECE] for i in range(0, len(text), PIECE)] or [""]
+def pair_hashes(word: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each two neighbours in an array of word hashes."""
+    h = (word[:-1] * np.uint64(_BASE)) ^ word[1:]
+    h = h * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def pieces(text: str) -> list[tuple[str, int]]:
+    """Parts of a long text whose features, added up with their signs, are those of the whole.
+
+    Neighbours overlap by two words at least, and the overlap counts once more with the sign
+    -1: a feature in the overlap counts 1 + 1 - 1 times, and the features at a part's ends
+    cancel against the overlap's own. Parts begin and end where a word does, so a word is never
+    cut, however long it is.
+    """
+    out, lo = [], 0
+    while len(text) - lo > 2 * PIECE:
+        # two words before the end of the part, and the blank before them
+        cut = _SPACE.search(text, lo + PIECE)
+        over = _TWO.match(text, cut.start()) if cut else None
+        if not over or over.end() >= len(text):
+            break
+        begin, end = cut.end(), over.end()
+        out += [(text[lo:end], 1), (text[begin:end], -1)]
+        lo = begin
+    out.append((text[lo:], 1))
+    return out
