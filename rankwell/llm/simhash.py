@@ -8,7 +8,8 @@ language.
 
 Two fingerprints within radius r of each other differ in at most r of r + 2 blocks of bits,
 so they agree in at least two of them: for each choice of two blocks, a table holds the
-fingerprints under those two. All that agree with a query in some table are compared with it.
+fingerprints under those two. All that agree with a query in some table are compared with it;
+a pair that agrees in several tables counts in the first of them.
 """
 
 from __future__ import annotations
@@ -24,13 +25,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_chunks, table, text_of, written
-from .subwords import Subwords
+from .common import table, text_of, written
+from .subwords import Subwords, pair_hashes
 
 BITS = 64
 WORD_WEIGHT = 0.5
 #: Code points that are hashed at a time.
 BATCH = 400_000
+#: Terms that vote at a time.
+SLICE = 1 << 15
+#: Bytes of text that a task takes.
+TASK_BYTES = 32 << 20
+#: Of the documents whose id is divisible by QUERY_EVERY, those within RADIUS are counted.
+QUERY_EVERY, RADIUS = 50, 3
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
@@ -55,14 +62,14 @@ def fingerprints(texts: list[str]) -> np.ndarray:
 
 def _vote(words: np.ndarray) -> np.uint64:
     single, n1 = np.unique(words, return_counts=True)
-    pair = (words[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ words[1:]
-    pair *= np.uint64(0x94D049BB133111EB)
-    pair ^= pair >> np.uint64(31)
-    double, n2 = np.unique(pair, return_counts=True)
+    double, n2 = np.unique(pair_hashes(words), return_counts=True)
     terms = np.concatenate([single, double])
     weights = np.concatenate([WORD_WEIGHT * (1 + np.log(n1)), 1 + np.log(n2)]).astype(np.float32)
-    bits = np.unpackbits(terms.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
-    votes = 2 * (weights @ bits) - weights.sum()
+    votes = np.zeros(BITS, np.float64)
+    for lo in range(0, len(terms), SLICE):  # 64 numbers a term are held for a slice only
+        part = weights[lo : lo + SLICE]
+        bits = np.unpackbits(terms[lo : lo + SLICE].view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
+        votes += 2 * (part @ bits) - part.sum()
     return np.packbits(votes > 0).view(np.uint64)[0]
 
 
@@ -98,7 +105,7 @@ def _rows(ids: list, texts: list[str], fps: np.ndarray, after: list[str], after_
     ]
 
 
-def fingerprint_edits(docs: DataFrame, per_partition: int = 4000) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness; see ``RESULT``.
 
     The next document is the one with the next smaller doc_id (null the smallest); of equal
@@ -108,14 +115,17 @@ def fingerprint_edits(docs: DataFrame, per_partition: int = 4000) -> DataFrame:
     out.
 
     The rows are dealt to ranges of doc_id and sorted there, which is the one shuffle of the
-    texts. What follows the last row of a range is the first of the next range: those two
-    rows of each range are written with their texts and joined afterwards.
+    texts; rows that repeat doc_id and text are parted by a number of their own, so that no
+    range has to hold them all. What follows the last row of a range is the first of the next
+    range: those two rows of each range, of ``task_bytes`` of text, are written with their
+    texts and joined afterwards.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
-    rows = docs.select("doc_id", text_of().alias("text"), F.xxhash64(text_of()).alias("_h"))
-    parts = max(spark.sparkContext.defaultParallelism, n_chunks(spark, docs.count(), per_partition))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("_h").desc()]
+    rows = docs.select("doc_id", text_of().alias("text"), F.xxhash64(text_of()).alias("_h"), F.monotonically_increasing_id().alias("_n"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // task_bytes))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("_h").desc(), F.col("_n")]
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     schema = f"part int, place string, {RESULT.format(id=kind.simpleString())}, text string"
 
@@ -177,29 +187,67 @@ def fingerprint_column(docs: DataFrame, out: str = "fingerprint") -> DataFrame:
     return docs.withColumn(out, make(F.col("text")))
 
 
+def _edges(radius: int) -> list[tuple[int, int]]:
+    """First bit and width of each of the radius + 2 blocks."""
+    cut = [BITS * i // (radius + 2) for i in range(radius + 3)]
+    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+
+
 def tables(fp: Column, radius: int) -> Column:
-    """An array with the key of each permuted table: its number and the bits of its two blocks."""
-    blocks = radius + 2
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    block = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
-    return F.array(*[F.struct(F.lit(k).alias("table"), block[i].alias("a"), block[j].alias("b")) for k, (i, j) in enumerate(combinations(range(blocks), 2))])
+    """An array with the entry of each permuted table: which two blocks, as a mask, and their bits."""
+    block = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << n) - 1)) for a, n in _edges(radius)]
+    return F.array(*[F.struct(F.lit(1 << i | 1 << j).alias("table"), block[i].alias("a"), block[j].alias("b")) for i, j in combinations(range(radius + 2), 2)])
+
+
+def first_table(a: Column, b: Column, radius: int) -> Column:
+    """The first table in which two fingerprints agree, as its mask."""
+    x = a.bitwiseXOR(b)
+    same = F.lit(0)
+    for k, (at, n) in enumerate(_edges(radius)):
+        same = same.bitwiseOR(F.when(F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << n) - 1)) == 0, 1 << k).otherwise(0))
+    low = same.bitwiseAND(-same)
+    rest = same.bitwiseXOR(low)
+    return low.bitwiseOR(rest.bitwiseAND(-rest))
+
+
+def _keyed(df: DataFrame, radius: int, name: str) -> DataFrame:
+    return df.withColumn("_x", F.explode(tables(F.col(name), radius))).select(*df.columns, F.col("_x.table").alias("_table"), F.col("_x.a").alias("_a"), F.col("_x.b").alias("_b"))
 
 
-def search(queries: DataFrame, all_rows: DataFrame, radius: int = 3, fp: str = "fingerprint") -> DataFrame:
-    """``query, fingerprint, distance``: all distinct fingerprints within ``radius`` of each
-    distinct query fingerprint, itself included if it is among ``all_rows``.
+def search(queries: DataFrame, all_rows: DataFrame, radius: int = RADIUS, fp: str = "fingerprint") -> DataFrame:
+    """``query, fingerprint, distance, n``: all distinct fingerprints within ``radius`` of each
+    distinct query fingerprint, itself included if it is among ``all_rows``, and of how many rows.
 
-    Exact: no bucket is cut. Null fingerprints match nothing; rows of a fingerprint count once,
-    and join to the result by it.
+    Exact: no bucket is cut. Null fingerprints match nothing. The distance is tested in the join
+    itself, so what leaves it are the pairs that are found, each once.
     """
     if not 0 <= radius <= 14:
         raise ValueError("radius must be from 0 to 14")
-    keyed = lambda df, name: df.select(F.col(fp).alias(name)).filter(F.col(name).isNotNull()).distinct().withColumn("_t", F.explode(tables(F.col(name), radius)))
-    both = keyed(queries, "query").join(keyed(all_rows, "fingerprint"), "_t")
-    near = F.bit_count(F.col("query").bitwiseXOR(F.col("fingerprint")))
-    return both.select("query", "fingerprint", near.alias("distance")).filter(F.col("distance") <= radius).distinct()
+    q = queries.select(F.col(fp).alias("query")).filter("query IS NOT NULL").distinct()
+    f = all_rows.select(F.col(fp).alias("fingerprint")).filter("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    a, b = _keyed(q, radius, "query").alias("q"), _keyed(f, radius, "fingerprint").alias("f")
+    distance = F.bit_count(F.col("query").bitwiseXOR(F.col("fingerprint")))
+    same = (F.col("q._table") == F.col("f._table")) & (F.col("q._a") == F.col("f._a")) & (F.col("q._b") == F.col("f._b"))
+    once = first_table(F.col("query"), F.col("fingerprint"), radius) == F.col("q._table")
+    return a.join(b, same & (distance <= radius) & once).select("query", "fingerprint", distance.alias("distance"), "n")
+
+
+def with_neighbours(rows: DataFrame, radius: int = RADIUS, every: int = QUERY_EVERY, out: str = "n_near") -> DataFrame:
+    """``rows`` (doc_id, fingerprint as hex digits, ...; a written table) with the number of rows whose
+    fingerprint is within ``radius`` of theirs, themselves included, where doc_id is divisible by
+    ``every``; null elsewhere."""
+    # 16 digits are more than a signed number of 64 bits holds: two halves
+    half = lambda k: F.conv(F.substring("fingerprint", k, 8), 16, 10).cast("long")
+    slim = rows.select("doc_id", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("fingerprint"))
+    asked = slim.filter(F.col("doc_id") % every == 0)
+    found = search(asked, slim, radius).groupBy("query").agg(F.sum("n").alias(out))
+    text = F.lpad(F.lower(F.hex("query")), 16, "0")
+    got = rows.filter(F.col("doc_id") % every == 0).join(found.select(text.alias("fingerprint"), out), "fingerprint", "left")
+    rest = rows.filter(F.coalesce(F.col("doc_id") % every != 0, F.lit(True))).withColumn(out, F.lit(None).cast("long"))
+    return got.select(*rows.columns, out).unionByName(rest)
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents and their edited texts, fingerprinted."""
-    return fingerprint_edits(table(spark, sf_dir, "documents"))
+    """All documents and their edited texts, fingerprinted; for ids divisible by 50, how many
+    documents have a fingerprint within 3 bits of theirs (n_near), found in the block tables."""
+    return with_neighbours(written(fingerprint_edits(table(spark, sf_dir, "documents")), "fingerprints"))
