@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rankwell.llm import decontaminate, mixing, neardup, quality, sharding
-from rankwell.llm.common import table, written
+from rankwell.llm.common import drop_written, scratch, table, written
 
 STAGES = [
     ("quality classifier", quality.stage),
@@ -23,10 +23,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over all documents; each is written as Parquet and reread as the next one's docs."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over all documents; each is written as Parquet and reread as the next one's docs.
+
+    When a stage is written, the tables it made on its way go, and so does the input it read.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (name, apply) in enumerate(STAGES):
-        docs = apply(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name.split()[0])
+        if k == len(STAGES) - 1:
+            return apply(spark, docs, sf_dir)
+        with scratch(spark) as made:
+            docs = written(apply(spark, docs, sf_dir), name.split()[0])
+            output = made.pop()
+        drop_written(spark, before)
+        before = [output]
     return docs
