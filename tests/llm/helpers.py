@@ -40,7 +40,7 @@ def clashing(df: DataFrame) -> DataFrame:
     """With columns of the names that operators make."""
     from pyspark.sql import functions as F
 
-    for c in ("score", "predicted", "shard", "size", "key", "copies", "kept", "fingerprint", "lang_pred", "t", "_h"):
+    for c in ("score", "predicted", "shard", "size", "key", "copies", "kept", "fingerprint", "lang_pred", "t", "_h", "_t", "_id", "_x", "_c", "_key", "_copy", "_carry_0", "n_near", "text_id"):
         df = df.withColumn(c, F.lit("x"))
     return df
 

@@ -120,6 +120,62 @@ def test_targets_are_brute_force(spark):
             assert got[s] == pytest.approx(w)
 
 
+def plain_multiplier(sizes, target, mean, cap=3.0):
+    """lam by halving, from plain sums."""
+    z = [(1 + s / (s + mean)) / 2 for s in sizes]
+    lo, hi = -200.0, 200.0
+    for _ in range(300):
+        lam = (lo + hi) / 2
+        lo, hi = (lo, lam) if sum(s * min(cap, math.exp(lam * x)) for s, x in zip(sizes, z, strict=True)) > target else (lam, hi)
+    return lam
+
+
+def test_rates_solve_the_dual(spark):
+    """Rates against a plain solution, sources that shrink, grow, reach their caps, and a null one."""
+    import random
+
+    r = random.Random(17)
+    docs = {}
+    for s, n in (("a", 200), ("b", 3), ("c", 40), (None, 25), ("e", 1)):
+        docs[s] = [r.choice([0, 1, 5, 30, 300, 4000]) + 1 for _ in range(n)] + [0]
+    rows = [(s, size, docs[s].count(size), sum(docs[s])) for s in docs for size in sorted(set(docs[s]))]
+    for share in (0.02, 0.4, 1.0, 1.7, 2.999, 3.0):
+        hist = spark.createDataFrame([(*x, share * x[3]) for x in rows], "source string, size long, n long, source_size long, target double")
+        got = {(x.source, x.size): x.rate for x in mixing.balance(hist).collect()}
+        for s, sizes in docs.items():
+            total, mean = sum(sizes), sum(sizes) / len(sizes)
+            met = sum(k * got[s, k] for k in sizes)
+            assert met == pytest.approx(share * total, rel=1e-6)
+            if share < 3:
+                lam = plain_multiplier([k for k in sizes if k], share * total, mean)
+                for k in set(sizes):
+                    z = (1 + k / (k + mean)) / 2 if k else 0.5
+                    assert got[s, k] == pytest.approx(min(3, math.exp(lam * z)), rel=1e-5)
+
+
+def test_mix_stage_carries_all_columns(spark):
+    docs = clashing(hard_docs(spark)).drop("lang")
+    left = mixing.stage(spark, docs, "")
+    assert left.columns == docs.columns
+    known = {tuple(x) for x in docs.collect()}
+    assert {tuple(x) for x in left.collect()} <= known
+
+
+def test_decontaminate_stage_on_hard_rows(spark, tmp_path):
+    items = spark.createDataFrame([(1, "Ünïcödé ß 😀 ñ"), (2, None), (3, "")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = clashing(hard_docs(spark))
+    left = decontaminate.stage(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted(str(x.doc_id) for x in left.collect()) == sorted(str(x.doc_id) for x in docs.collect() if x.doc_id != 9)
+
+
+def test_shard_stage_on_hard_rows(spark):
+    docs = clashing(hard_docs(spark))
+    got = sharding.stage(spark, docs, "").collect()
+    assert len(got) == 12 and all(0 <= x.shard < 8 for x in got) and len({x.shard for x in got if x.doc_id == 9}) == 1
+
+
 def test_mix_meets_targets(spark, sf):
     rows = mixing.op7_mixing(spark, sf).collect()
     by = {}

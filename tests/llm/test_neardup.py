@@ -16,7 +16,8 @@ def brute(rows):
     for _, t in rows:
         h = sets[texts.index(t or "")][0]
         counters += np.bincount((h >> np.uint64(64 - neardup.COUNTERS_BITS)).astype(np.int64), minlength=len(counters))
-    weights = [dict(zip(h.tolist(), (neardup.STEP ** neardup.levels(h, n, counters, len(rows)).astype(float)).tolist(), strict=True)) for h, n in sets]
+    counters = neardup.less_load(counters)
+    weights = [dict(zip(h.tolist(), neardup.weights(h, n, counters, len(rows)).tolist(), strict=True)) for h, n in sets]
     up = list(range(len(texts)))
 
     def root(i):
@@ -51,7 +52,7 @@ def test_classes_are_brute_force(spark):
     r = random.Random(8)
     texts = [sentence(r, 60) for _ in range(30)]
     big = sentence(r, 150)
-    # far more than SMALL texts in a group: some like each other, many like none
+    # a large group: some like each other, many like none
     texts += family(r, big, [0.004] * 30 + [0.02] * 40 + [0.06] * 60)
     texts += [big] * 10 + family(r, sentence(r, 90), [0.005] * 10)
     passage = sentence(r, 40)

@@ -1,11 +1,12 @@
 """Each stage against what it promises, on the stage's own input."""
 
+import os
 from collections import Counter
 
 import corpus_pipeline
 from rankwell.llm import decontaminate, mixing, neardup, quality, sharding
 
-from .helpers import empty_docs
+from .helpers import clashing, empty_docs, hard_docs
 from .test_native import jump, windows_brute
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -55,6 +56,27 @@ def test_run(spark, sf):
     assert got.columns == [*COLUMNS, "shard"] and got.count() > 0
 
 
+def test_quality_and_near_dedup_stages_on_hard_rows(spark, sf):
+    docs = clashing(hard_docs(spark))
+    known = Counter(map(tuple, docs.collect()))
+    for stage in (quality.stage, neardup.stage):
+        left = stage(spark, docs, sf)
+        assert left.columns == docs.columns and not Counter(map(tuple, left.collect())) - known
+    # of the rows that repeat doc_id and text, one stays
+    assert sum(x.doc_id == 9 for x in left.collect()) == 1
+
+
+def test_used_up_tables_go(spark, sf):
+    """A stage's own tables and what it read go when its output is written; the last input stays."""
+    from rankwell.llm import common
+
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    got = corpus_pipeline.run(spark, sf)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and got.count() > 0
+
+
 def test_empty_tables(spark, sf):
     docs = empty_docs(spark)
     for _, stage in corpus_pipeline.STAGES:
