@@ -25,6 +25,35 @@ def matches(x: Column | str, pattern: str) -> Column:
     return F.coalesce(_col(x), F.lit("")).rlike("(?iU)" + pattern)
 
 
+def matches_hinted(x: Column | str, pattern: str, hints: tuple[str, ...]) -> Column:
+    """The same for patterns that every match of holds one of the ``hints`` (in lower case): the search
+    for plain words is fast, and the pattern is tried only on texts that have one."""
+    x = F.coalesce(_col(x), F.lit(""))
+    low, hit = F.lower(x), F.lit(False)
+    for h in hints:
+        hit = hit | F.contains(low, F.lit(h))
+    return hit & x.rlike("(?iU)" + pattern)
+
+
+def matches_any(x: Column | str, pattern: str) -> Column:
+    """The same for a pattern of alternatives that are words or parts of words: parts are searched for
+    as they are, and words (between \\b) by the pattern where they occur at all."""
+    alternatives = pattern.split("|")
+    part = lambda a: re.fullmatch(r"[^\W\d_]+(?: [^\W\d_]+)*", a)
+    word = lambda a: re.fullmatch(r"\\b([^\W\d_]+)\\b", a)
+    low, hit, rest = F.lower(F.coalesce(_col(x), F.lit(""))), F.lit(False), []
+    for a in alternatives:
+        if part(a):
+            hit = hit | F.contains(low, F.lit(a.lower()))
+        else:
+            rest.append(a)
+    if not rest:
+        return hit
+    named = [word(a) for a in rest]
+    slow = matches_hinted(x, "|".join(rest), tuple(m[1].lower() for m in named)) if all(named) else matches(x, "|".join(rest))
+    return hit | slow
+
+
 def strip(x: Column | str) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(_col(x), r"(?U)^\s+|\s+$", "")
@@ -317,6 +346,24 @@ def percent(x: Column | str) -> Column:
     return F.when(_col(x).isNull(), "").otherwise(F.format_string("%.1f%%", F.bround(_col(x).cast("double"), 1)))
 
 
+def _escaped(x: Column) -> Column:
+    for a, b in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;"), ("'", "&#39;"), ('"', "&#34;")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+def link(x: Column | str) -> Column:
+    """An address as a link that opens on its own; empty without one."""
+    safe = _escaped(_col(x))
+    return F.when(F.coalesce(_col(x), F.lit("")) == "", "").otherwise(F.concat(F.lit('<a href="'), safe, F.lit('" target="_blank" rel="noopener">'), safe, F.lit("</a>")))
+
+
+def multiline(x: Column | str) -> Column:
+    """A text that keeps its lines; null is empty."""
+    box = '<div style="white-space: pre-wrap; overflow-wrap: anywhere; max-width: 60rem">'
+    return F.when(_col(x).isNull(), "").otherwise(F.concat(F.lit(box), _escaped(_col(x)), F.lit("</div>")))
+
+
 def tokens(x: Column | str, least: int = 5) -> Column:
     """The set of words of ``least`` letters or more, in lower case."""
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(_col(x), F.lit(""))), r"(?U)[^\w]+"), lambda w: F.length(w) >= least))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+from functools import lru_cache
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,3 +48,34 @@ def from_wall_clock(x: Column | str, zone: str) -> Column:
 
 
 reinterpret_zone = from_wall_clock
+
+
+@lru_cache
+def _names(zone: str) -> tuple[tuple[int, str], ...]:
+    """Offsets of a zone in minutes, and what they are called, by now."""
+    year, z = datetime.now(UTC).year, ZoneInfo(zone)
+    days = [datetime(year, m, 15, 12, tzinfo=z) for m in range(1, 13)]
+    return tuple(sorted({(int(d.utcoffset().total_seconds() // 60), d.tzname()) for d in days}))
+
+
+def zone_name(utc: Column | str, zone: str) -> Column:
+    """What the zone is called at that time (CET or CEST)."""
+    local = F.from_utc_timestamp(_col(utc), zone)
+    minutes = ((F.unix_seconds(local) - F.unix_seconds(_col(utc))) / 60).cast("int")
+    return F.create_map(*[F.lit(x) for pair in _names(zone) for x in pair])[minutes]
+
+
+def show_wall_clock(utc: Column | str, zone: str) -> Column:
+    """``2026-08-04 21:00 CEST``."""
+    return F.concat_ws(" ", F.date_format(to_wall_clock(utc, zone), "yyyy-MM-dd HH:mm"), zone_name(utc, zone))
+
+
+def parse_wall_clock(text: Column | str, zone: str) -> Column:
+    """A time by the clock of ``zone`` as UTC, with seconds or without. A zone's name behind it has to
+    be the one that the zone has at that time, else the result is null."""
+    t = F.trim(_col(text))
+    name = F.regexp_extract(t, r"\s([A-Za-z]+)$", 1)
+    bare = F.trim(F.regexp_replace(t, r"\s[A-Za-z]+$", ""))
+    local = F.coalesce(F.try_to_timestamp(bare, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(bare, F.lit("yyyy-MM-dd HH:mm")))
+    utc = from_wall_clock(local, zone)
+    return F.when((name == "") | (name == zone_name(utc, zone)), utc)

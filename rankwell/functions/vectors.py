@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
+from ..session import cut
 from .text import _col
 
 
@@ -47,13 +48,27 @@ def centred_cosine(df: DataFrame, profile: DataFrame, vector: str = "embedding",
     return got.withColumn(out, cosine(subtract(vector, "_centre"), subtract("_profile", "_centre"))).drop("_centre", "_profile")
 
 
+def scores_of(rows: DataFrame, queries: DataFrame, vector: str, query: str, out: str = "score", block: int = 1000) -> DataFrame:
+    """Every row with every query (a stated set) and the cosine of their vectors, the queries broadcast
+    in blocks of ``block``."""
+    blocks = max(1, -(-queries.count() // block))
+    found = None
+    for k in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == k) if blocks > 1 else queries
+        got = rows.crossJoin(F.broadcast(part)).withColumn(out, cosine(query, vector))
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
 def percentile(df: DataFrame, score: str = "score", out: str = "percentile", ranges: int = 64) -> DataFrame:
     """100 * (rows strictly below) / rows, exactly, without a window over all rows.
 
-    Approximate quantiles cut the distinct scores into ranges; only within a range they are
-    sorted, and a range starts from the counts of the ranges before it. Null scores get null.
+    The distinct scores with their counts are written once; approximate quantiles cut them into
+    ranges, only within a range they are sorted, and a range starts from the counts of the
+    ranges before it. Null scores get null; in the join they are dealt to ``ranges`` salts,
+    since there may be many.
     """
-    counts = df.filter(F.col(score).isNotNull()).groupBy(score).count()
+    counts = cut(df.filter(F.col(score).isNotNull()).groupBy(score).count())
     cuts = sorted(set(counts.approxQuantile(score, [i / ranges for i in range(1, ranges)], 0.01)))
     place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(score))) if cuts else F.lit(0)
     ranged = counts.withColumn("_p", place)
@@ -62,8 +77,9 @@ def percentile(df: DataFrame, score: str = "score", out: str = "percentile", ran
     starts = starts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     within = Window.partitionBy("_p").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("_below", F.coalesce(F.sum("count").over(within), F.lit(0))).join(F.broadcast(starts), "_p")
-    placed = placed.select(F.col(score), (F.lit(100.0) * (F.col("_start") + F.col("_below")) / F.col("_all")).alias(out))
-    return df.join(placed, score, "left")
+    placed = placed.select(F.col(score).alias("_at"), F.lit(0).alias("_salt0"), (F.lit(100.0) * (F.col("_start") + F.col("_below")) / F.col("_all")).alias(out))
+    salted = df.withColumn("_salt", F.when(F.col(score).isNull(), (F.rand(0) * ranges).cast("int")).otherwise(0))
+    return salted.join(placed, (F.col(score) == F.col("_at")) & (F.col("_salt") == F.col("_salt0")), "left").drop("_at", "_salt", "_salt0")
 
 
 def percentile_window(score: Column | str) -> Column:
@@ -113,15 +129,19 @@ def hashing_encoder(dim: int = 64) -> Encoder:
 
 
 def embed(df: DataFrame, text: str, encoder: Callable[[], Encoder] = hashing_encoder, out: str = "embedding", prefix: str = "", batch: int = 16) -> DataFrame:
-    """``df`` with vectors of its texts. ``encoder`` is called once in each Python worker and
-    returns the function that encodes a list; ``batch`` texts at a time."""
+    """``df`` with vectors of its texts. ``encoder`` is called once for each task and returns the
+    function that encodes a list, ``batch`` texts at a time; if that has a ``close``, it is called
+    when the task ends, so that a model's memory is given back."""
 
     @F.pandas_udf("array<float>")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder()
-        for s in series:
-            texts = [prefix + (t or "") for t in s]
-            rows = [v for lo in range(0, len(texts), batch) for v in encode(texts[lo : lo + batch])]
-            yield pd.Series(rows, index=s.index)
+        try:
+            for s in series:
+                texts = [prefix + (t or "") for t in s]
+                rows = [v for lo in range(0, len(texts), batch) for v in encode(texts[lo : lo + batch])]
+                yield pd.Series(rows, index=s.index)
+        finally:
+            getattr(encode, "close", lambda: None)()
 
     return df.withColumn(out, run(F.col(text)))

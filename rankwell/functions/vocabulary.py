@@ -11,17 +11,20 @@ VOLATILE_PARAMS = ("se", "ref", "referer", "referrer", "src", "gclid", "fbclid",
 TRANSLITERATE = (("ł", "l"), ("đ", "d"), ("ø", "o"), ("ħ", "h"), ("ı", "i"), ("þ", "th"), ("ß", "ss"), ("æ", "ae"), ("œ", "oe"))
 
 # Words of company names that identify nobody.
-COMPANY_NOISE = tuple(
-    "inc llc ltd limited gmbh bv nv ab oy as sa srl spa plc co corp corporation company group holding holdings "
-    "technologies technology tech labs lab software solutions systems digital studio studios games the sp spzoo "
-    "zoo oo ooo z o spolka fundacja doo dooel sro kft ag kg oyj aps asa".split()
-)
+COMPANY_NOISE = (
+    "inc", "llc", "ltd", "limited", "gmbh", "bv", "nv", "ab", "oy", "as", "sa", "srl", "spa", "plc", "co", "corp",
+    "corporation", "company", "group", "holding", "holdings", "technologies", "technology", "tech", "labs", "lab",
+    "software", "solutions", "systems", "digital", "studio", "studios", "games", "the", "sp", "spzoo", "zoo", "oo",
+    "ooo", "z", "o", "spolka", "fundacja", "doo", "dooel", "sro", "kft", "ag", "kg", "oyj", "aps", "asa",
+)
 
 # Labels at the end of a domain that aren't its name.
-SUFFIXES = tuple(
-    "com net org edu gov biz info io co ai dev app me xyz tech jobs eu uk us ru de fr nl se no fi dk pl cz es it pt "
-    "ch at be ie ca au nz br jp cn in sg il ge rs ua by kz tr gr hu ro bg hr si".split()
-)
+SUFFIXES = (
+    "com", "net", "org", "edu", "gov", "biz", "info", "io", "co", "ai", "dev", "app", "me", "xyz", "tech", "jobs",
+    "eu", "uk", "us", "ru", "de", "fr", "nl", "se", "no", "fi", "dk", "pl", "cz", "es", "it", "pt", "ch", "at", "be",
+    "ie", "ca", "au", "nz", "br", "jp", "cn", "in", "sg", "il", "ge", "rs", "ua", "by", "kz", "tr", "gr", "hu", "ro",
+    "bg", "hr", "si",
+)
 
 # Sender domains that name a platform, not an employer.
 GENERIC_DOMAINS = (
@@ -172,3 +175,23 @@ RELOCATION = (
 PROGRAMMING = r"java|python|\.\s?net|c#|c\+\+|javascript|typescript|php|ruby|golang|kotlin|swift|scala"
 LANGUAGE_SOUP = r"(?:\b(?:" + PROGRAMMING + r")\b[\s,/]+){3,}(?:(?:and|or)\s+)?\b(?:" + PROGRAMMING + r"|similar)\b"
 BOILERPLATE = r"write clean(?:,?\s+(?:and\s+)?(?:efficient|readable|maintainable))?\s+code|develop,?\s+test,?\s+and maintain software"
+
+# What a teletype post's first line has to hold to be its place, how much of it is kept, and
+# where its id stands.
+GEO_LINE = r"\b(?:remote|relocation|on-?site|hybrid|only)\b"
+GEO_LENGTH = 200
+REMOTE_WORD = r"\bremote\b"
+POST_SLUG = r"teletype\.in/@[^/]+/([^/?#]+)"
+
+# Lines of job alerts that are no place, company or title, and the words that mark others.
+HH_PAY = r"^(от|до)\s|^[\d\s.,]+[₽$€]?$|^[₽$€]$|^за\s+(месяц|год|час|день|смену)$"
+HH_END = "Посмотреть вакансию"
+REMOTE_RU = "Можно удал"
+LINKEDIN_NOISE = r"actively recruiting|school alum|be an early applicant|easy apply|promoted|viewed|your profile|response"
+GLASSDOOR_NOISE = r"Employer est\.|Easy Apply|Just posted|^\d+[hdwm]$|See more jobs|Want more"
+BADGES = ("Actively Hiring", "Our take", "Learn more")
+DETAIL_KINDS = (
+    ("pay", r"[$¢£¤¥\u20a0-\u20cf]|(?i:\d\s*%|no equity)"),
+    ("experience", r"years of exp"),
+    ("type", r"^(?:Full-time|Part-time|Contract|Internship)$"),
+)

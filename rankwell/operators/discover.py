@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..session import cut
 from ..streaming.fold import next_counter
 from . import select as S
 
@@ -48,6 +53,35 @@ def confirms(company: Column | str, slug: Column | str, titles: Column | str, bo
     return F.coalesce(same, F.lit(False)) | F.arrays_overlap(fold(titles), fold(board_titles))
 
 
+def probe(companies: DataFrame, board: Callable[[str, str], dict | None], providers: tuple[str, ...] = tuple(V.SLUG_PATTERNS)) -> tuple[DataFrame, DataFrame]:
+    """(boards, misses) of ``companies`` (key, company, titles): the guesses at each company's slug are tried
+    with each provider, and the first board that is the company's counts.
+
+    ``board(provider, slug)`` gives its company and titles, or nothing; what it raises counts as
+    nothing. The answers are written once, since they come from outside.
+    """
+    tries = companies.select("key", "company", "titles", F.posexplode(T.slug_candidates("company")).alias("_guess", "slug"))
+    tries = tries.select("*", F.posexplode(F.array(*[F.lit(p) for p in providers])).alias("_p", "provider"))
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in parts:
+            rows = []
+            for p, s in zip(x["provider"], x["slug"], strict=True):
+                try:
+                    got = board(p, s) or {}
+                except Exception:  # noqa: BLE001  (a board that can't be read isn't found)
+                    got = {}
+                rows.append((got.get("company"), list(got.get("titles", []))))
+            yield x.assign(board_company=[c for c, _ in rows], board_titles=[t for _, t in rows])
+
+    told = cut(tries.mapInPandas(ask, StructType([*tries.schema, StructField("board_company", StringType()), StructField("board_titles", ArrayType(StringType()))])))
+    own = told.filter(confirms("company", "slug", "titles", "board_company", "board_titles"))
+    first = own.groupBy("key").agg(F.min_by(F.struct("provider", "slug"), F.struct("_guess", "_p")).alias("b"))
+    boards = first.select("b.provider", "b.slug", F.col("key").alias("discovered_from"))
+    probed = companies.select("key", "company").join(first.select("key", F.lit(True).alias("found")), "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return boards, misses(probed)
+
+
 def misses(probed: DataFrame) -> DataFrame:
     """What is remembered of companies without a board, so that they are probed once."""
     return probed.filter(~F.col("found")).select(F.lit("miss").alias("provider"), T.miss_slug("company").alias("slug"), T.probe_key("company").alias("discovered_from"))

@@ -49,7 +49,7 @@ def unsupported_claims(constraints: Column | str, letter: Column | str) -> Colum
     """The claims of residence or eligibility that the constraints don't carry."""
     hay = F.lower(F.coalesce(F.col(constraints) if isinstance(constraints, str) else constraints, F.lit("")))
     text = F.coalesce(F.col(letter) if isinstance(letter, str) else letter, F.lit(""))
-    spans = lambda p: F.transform(F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(0)), F.trim)
+    spans = lambda p: F.transform(F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(0)), lambda c: T.strip(c))
     foreign = lambda c: F.exists(F.regexp_extract_all(c, F.lit(PLACE), F.lit(0)), lambda w: ~F.contains(hay, F.lower(w)))
     filed = F.exists(F.array(*[F.lit(w) for w in ON_FILE]), lambda w: F.contains(hay, w))
     residence = F.filter(spans(RESIDENCE), foreign)
@@ -60,16 +60,21 @@ def unsupported_claims(constraints: Column | str, letter: Column | str) -> Colum
 Classifier = Callable[[str, str, str], dict]
 
 
+REJECTION_WORDS = ("unfortunately", "not moving forward", "other candidates", "regret", "к сожалению")
+INTERVIEW_WORDS = ("interview", "schedule", "call with", "next step", "собеседован")
+JOB_WORDS = ("application", "applied", "role", "position", "отклик")
+
+
 def keyword_classifier(subject: str, sender: str, body: str) -> dict:
     """A deterministic stand-in for a model: reply type by words, confidence by how many."""
     text = f"{subject}\n{body}".lower()
     votes = {
-        "rejection": sum(w in text for w in ("unfortunately", "not moving forward", "other candidates", "regret", "к сожалению")),
-        "interview": sum(w in text for w in ("interview", "schedule", "call with", "next step", "собеседован")),
+        "rejection": sum(w in text for w in REJECTION_WORDS),
+        "interview": sum(w in text for w in INTERVIEW_WORDS),
     }
     best = max(votes, key=lambda k: (votes[k], k))
     kind = best if votes[best] else "no_reply"
-    job_related = bool(votes[best]) or any(w in text for w in ("application", "applied", "role", "position", "отклик"))
+    job_related = bool(votes[best]) or any(w in text for w in JOB_WORDS)
     return {"reply_type": kind, "confidence": min(1.0, 0.6 + 0.2 * votes[best]) if votes[best] else 0.5, "reasoning": f"{votes[best]} words", "company": None, "role": None, "job_related": job_related}
 
 
@@ -109,11 +114,12 @@ def plain_drafter(posting: str, bullets: list[str]) -> dict:
 OUTCOME = "verdict string, detail string, subject string, body string, points array<string>"
 
 
-def screen_and_draft(jobs: DataFrame, screen: Callable[[str], tuple[bool, str]], drafter: Drafter = plain_drafter, constraints: str = "", revisions: int = 1) -> DataFrame:
-    """``jobs`` (posting, bullets) with outcome: declined, drafted, refused or error.
+def screen_and_draft(jobs: DataFrame, screen: Callable[[str], tuple[bool, str]], drafter: Drafter = plain_drafter, constraints: str = "") -> DataFrame:
+    """``jobs`` (posting, bullets) with outcome: declined, drafted, refused (points that the bullets don't
+    carry), fabricated (claims of eligibility that isn't on file) or error.
 
-    A draft with ungrounded points or unsupported claims is tried again ``revisions`` times and
-    then refused; the guards are the native expressions above, applied to every draft.
+    The drafter is called for what the screen lets through; the guards are native expressions
+    over what it gives back. A failure of either call is an outcome of its row.
     """
 
     @F.pandas_udf(OUTCOME)
@@ -122,22 +128,38 @@ def screen_and_draft(jobs: DataFrame, screen: Callable[[str], tuple[bool, str]],
         for p, b in zip(posting, bullets, strict=True):
             try:
                 worth, why = screen(p)
-                if not worth:
-                    rows.append({"verdict": "declined", "detail": why, "subject": None, "body": None, "points": []})
-                    continue
-                draft = drafter(p, list(b))
-                rows.append({"verdict": "drafted", "detail": why, "subject": draft["subject"], "body": draft["body"], "points": draft["points"]})
+                draft = drafter(p, list(b)) if worth else {"subject": None, "body": None, "points": []}
+                rows.append({"verdict": "drafted" if worth else "declined", "detail": why, **{k: draft[k] for k in ("subject", "body", "points")}})
             except Exception as e:  # noqa: BLE001
                 rows.append({"verdict": "error", "detail": str(e), "subject": None, "body": None, "points": []})
         return pd.DataFrame(rows, columns=["verdict", "detail", "subject", "body", "points"])
 
     def guarded(outcome: Column) -> Column:
-        bad = (outcome["verdict"] == "drafted") & (refuse(outcome["points"], F.col("bullets")) | (F.size(unsupported_claims(F.lit(constraints), outcome["body"])) > 0))
-        return F.when(F.coalesce(bad, F.lit(False)), outcome.withField("verdict", F.lit("refused"))).otherwise(outcome)
-
-    out = jobs.withColumn("outcome", run("posting", "bullets")).withColumn("outcome", guarded(F.col("outcome")))
-    for _ in range(revisions):
-        # only what was refused goes to the drafter again
-        again = out.withColumn("_again", F.when(F.col("outcome.verdict") == "refused", run("posting", "bullets")))
-        out = again.withColumn("outcome", F.when(F.col("_again").isNotNull(), guarded(F.col("_again"))).otherwise(F.col("outcome"))).drop("_again")
-    return out
+        drafted = outcome["verdict"] == "drafted"
+        loose = drafted & (F.size("bullets") > 0) & refuse(outcome["points"], F.col("bullets"))
+        claims = drafted & (F.size(unsupported_claims(F.lit(constraints), F.concat_ws("\n", outcome["subject"], outcome["body"]))) > 0)
+        as_ = lambda v: outcome.withField("verdict", F.lit(v))
+        return F.when(F.coalesce(loose, F.lit(False)), as_("refused")).when(F.coalesce(claims, F.lit(False)), as_("fabricated")).otherwise(outcome)
+
+    return jobs.withColumn("outcome", run.asNondeterministic()("posting", "bullets")).withColumn("outcome", guarded(F.col("outcome")))
+
+
+def state_rows(done: DataFrame) -> DataFrame:
+    """``job_id, status, cover_letter, notes`` to write after a batch of drafts: what was declined and
+    what was drafted; errors, refusals and fabrications write nothing."""
+    o = F.col("outcome")
+    drafted = o["verdict"] == "drafted"
+    letter = F.when(drafted, F.concat(F.lit("Subject: "), o["subject"], F.lit("\n\n"), o["body"]))
+    points = F.when(F.size(o["points"]) > 0, F.concat(F.lit("Leans on: "), F.array_join(o["points"], "; ")))
+    notes = F.when(drafted, points).otherwise(F.concat(F.lit("Screen declined: "), o["detail"]))
+    return done.filter(o["verdict"].isin("drafted", "declined")).select(F.col("id").alias("job_id"), o["verdict"].alias("status"), letter.alias("cover_letter"), notes.alias("notes"))
+
+
+def grounded_share(points: DataFrame, ident: str, point: str, vocabulary: DataFrame) -> DataFrame:
+    """``ident, share`` for each row of ``points``: the share of its words among those of ``vocabulary`` (word).
+
+    For a vocabulary of any size: words meet by equality. Null without words.
+    """
+    words = points.select(ident, F.explode_outer(T.tokens(point)).alias("word"))
+    known = vocabulary.select("word").distinct().withColumn("_known", F.lit(1))
+    return words.join(known, "word", "left").groupBy(ident).agg((F.count("_known") / F.nullif(F.count("word"), F.lit(0))).alias("share"))

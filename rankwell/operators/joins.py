@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Needles that are broadcast at a time; more go in blocks, a pass over the texts each.
-BLOCK = 20_000
+from ..schema import unused
+
+#: Words of a text or needle: what stands between blanks.
+BLANK = r"\s+"
 
 
 def contains_join(texts: DataFrame, needles: DataFrame, text: str, needle: str) -> DataFrame:
-    """Pairs of a text and a needle in it. The needle side is broadcast in blocks of BLOCK."""
-    blocks = max(1, -(-needles.count() // BLOCK))
-    found = None
-    for b in range(blocks):
-        part = needles.filter(F.pmod(F.xxhash64(needle), F.lit(blocks)) == b) if blocks > 1 else needles
-        hit = texts.join(F.broadcast(part), F.contains(F.col(text), F.col(needle)))
-        found = hit if found is None else found.unionByName(hit)
-    return found
+    """Pairs of a text and a needle in it.
+
+    A needle's inner words (all but the first and the last) are words of any text that holds
+    it, so its rarest inner word, by the texts that hold it, is an equality key; only what
+    shares that word is compared. Needles of up to two words have no inner word: their longest
+    word lies within some word of the text, and the distinct words of the texts are searched
+    for it, not the texts. A needle that is null or holds no word is in no text.
+    """
+    t, n = unused(texts, "_text_no"), unused(needles, "_needle_no")
+    left = texts.withColumn(t, F.xxhash64(text)).filter(F.col(text).isNotNull())
+    right = needles.withColumn(n, F.xxhash64(needle)).filter(F.col(needle).isNotNull())
+    said = right.select(n, F.col(needle).alias("_needle")).distinct().withColumn("_all", F.split("_needle", BLANK))
+    inner = F.filter(F.slice("_all", 2, F.greatest(F.size("_all") - 2, F.lit(0))), lambda w: w != "")
+    said = said.withColumn("_inner", F.array_distinct(inner))
+    words = left.select(t, F.explode(F.array_distinct(F.split(F.col(text), BLANK))).alias("_w"))
+    wanted = said.select(n, F.explode("_inner").alias("_w"))
+    often = words.join(wanted.select("_w").distinct(), "_w", "left_semi").groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    # a word that no text has decides as well: its needle is in no text
+    rarest = wanted.join(often, "_w", "left").groupBy(n).agg(F.min_by("_w", F.struct(F.coalesce("_n", F.lit(0)), "_w")).alias("_w"))
+    by_inner = words.join(rarest, "_w").select(t, n)
+    short = said.filter(F.size("_inner") == 0).withColumn("_long", F.element_at(F.array_sort("_all", lambda a, b: F.length(a) - F.length(b)), -1))
+    held = words.select("_w").distinct().join(short.filter("_long <> ''").select(n, "_long"), F.contains("_w", "_long"))
+    by_part = words.join(held, "_w").select(t, n)
+    both = left.join(by_inner.unionByName(by_part).distinct(), t).join(right, n)
+    return both.filter(F.contains(F.col(text), F.col(needle))).drop(t, n)
 
 
 def extracted_key_join(left: DataFrame, text: str, pattern: str, right: DataFrame, key: str, winner: str) -> DataFrame:
@@ -27,10 +46,25 @@ def extracted_key_join(left: DataFrame, text: str, pattern: str, right: DataFram
     return left.join(best, F.regexp_extract(text, pattern, 1).try_cast("long") == F.col(key))
 
 
-def interval_unique(a: DataFrame, b: DataFrame, same: Column, ta: str, tb: str, width: float, ident: str, other: str) -> DataFrame:
-    """``ident, other`` where exactly one row of ``b`` is the same and within ``width`` of the time."""
-    near = a.join(b, same & F.col(tb).between(F.col(ta) - width, F.col(ta) + width))
-    return near.groupBy(ident).agg(F.max(other).alias(other), F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
+def interval_unique(a: DataFrame, b: DataFrame, keys: list[str], time: str, width: int, ident: str, other: str, itself: bool = False) -> DataFrame:
+    """``ident, other`` where exactly one row of ``b`` has the same keys and a time (a number) within
+    ``width``. ``itself``: each row of ``a`` is one of ``b`` too, by its ident, and doesn't count.
+
+    Both sides are laid on one time line for each key, on which running counts say how many
+    rows of ``b`` are near and which numbers they have; no row meets more than two others.
+    """
+    line = Window.partitionBy(*keys).orderBy(time)
+    count = F.count_if(F.col("_b"))
+    left = a.select(*keys, time, F.col(ident).alias("_id"), F.lit(False).alias("_b"))
+    right = b.select(*keys, time, F.col(other).alias("_id"), F.lit(True).alias("_b"))
+    both = left.unionByName(right)
+    both = both.withColumn("_upto", count.over(line.rangeBetween(Window.unboundedPreceding, width)))
+    both = both.withColumn("_before", count.over(line.rangeBetween(Window.unboundedPreceding, -width - 1)))
+    near = both.filter(~F.col("_b") & (F.col("_upto") - F.col("_before") == (2 if itself else 1)))
+    near = near.select(*keys, F.col("_id").alias(ident), F.explode(F.sequence(F.col("_before") + 1, F.col("_upto"))).alias("_no"))
+    numbered = right.withColumn("_no", F.row_number().over(Window.partitionBy(*keys).orderBy(time, "_id")).cast("long"))
+    got = near.join(numbered.select(*keys, "_no", F.col("_id").alias(other)), [*keys, "_no"])
+    return (got.filter(F.col(ident) != F.col(other)) if itself else got).select(ident, other)
 
 
 def asof_latest(a: DataFrame, b: DataFrame, keys: list[str], ta: str, tb: str, value: str) -> DataFrame:

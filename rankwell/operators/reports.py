@@ -16,11 +16,15 @@ def totals(jobs: DataFrame, applications: DataFrame) -> DataFrame:
     return j.crossJoin(applications.agg(F.count_if(F.col("status") == "sent").alias("sent")))
 
 
+def hosts(jobs: DataFrame, flag: Column, name: str) -> DataFrame:
+    """Hosts of postings, most first, and whether the flag holds for any posting of the host."""
+    return jobs.groupBy(U.host("url").alias("host")).agg(F.count(F.lit(1)).alias("n"), F.max(flag).alias(name)).orderBy(F.desc("n"), "host")
+
+
 def unreachable_hosts(jobs: DataFrame, applications: DataFrame) -> DataFrame:
     """Hosts of postings that could not be applied to, most first, and whether they are blocked already."""
     gone = applications.filter("status = 'unreachable'").select(F.col("job_id").alias("id"))
-    got = jobs.join(gone, "id").withColumn("host", U.host("url"))
-    return got.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.max(U.is_blocked("url")).alias("blocked")).orderBy(F.desc("n"), "host")
+    return hosts(jobs.join(gone, "id"), U.is_blocked("url"), "blocked")
 
 
 def recent_notes(applications: DataFrame, status: str = "ineligible", limit: int = 8, width: int = 70) -> DataFrame:

@@ -8,13 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions import vocabulary as V
-from .joins import best_by_time
+from .joins import best_by_time, contains_join
 
 LEAST_SLUG, LEAST_COMPANY, BODY_HEAD = 4, 3, 800
-#: Words of a name that may be run together in a text.
-RUN = 6
-#: Applications up to this number are broadcast to the messages; more join on their words.
-BROADCAST_APPLICATIONS = 20_000
 STRATEGIES = ("thread", "domain", "display-name", "subject", "body")
 
 
@@ -40,15 +36,21 @@ def is_company_domain(company: Column | str, domain: Column | str) -> Column:
     return (F.length(a) >= LEAST_SLUG) & (F.length(b) >= LEAST_SLUG) & (b.startswith(a) | a.startswith(b))
 
 
+def ends(found: Column) -> Column:
+    """Where each word begins, and the last ends, when the words are run together."""
+    return F.aggregate(found, F.array(F.lit(0)), lambda acc, w: F.array_append(acc, F.element_at(acc, -1) + F.length(w)))
+
+
 def names_in(found: Column, want: Column) -> Column:
     """Whether the words of a text name the words of a company: all of them occur, or some run
-    of words of the text joins to exactly the company's words joined."""
+    of words of the text, however many, joins to exactly the company's words joined."""
 
     def test(f: Column, w: Column) -> Column:
-        slug = F.array_join(w, "")
-        at = F.sequence(F.lit(0), F.size(f) - 1)
-        runs = F.exists(at, lambda i: F.exists(F.sequence(F.lit(1), F.lit(RUN)), lambda n: (i + n <= F.size(f)) & (F.array_join(F.slice(f, i + 1, n), "") == slug)))
-        return F.when((F.length(slug) < LEAST_COMPANY) | (F.size(f) == 0), F.lit(False)).otherwise((F.size(F.array_except(w, f)) == 0) | runs)
+        slug, whole, at = F.array_join(w, ""), F.array_join(f, ""), ends(f)
+        run = lambda e, x, y: F.exists(e, lambda i: (F.substring(x, i + 1, F.length(y)) == y) & F.array_contains(e, i + F.length(y)))
+        bound = F.array(F.struct(at.alias("e"), whole.alias("x"), slug.alias("y")))
+        runs = F.get(F.transform(bound, lambda s: run(s["e"], s["x"], s["y"])), F.lit(0))
+        return F.when((F.length(slug) < LEAST_COMPANY) | (F.size(f) == 0), F.lit(False)).when(F.size(F.array_except(w, f)) == 0, F.lit(True)).otherwise(runs)
 
     # words are made once, not at each place
     bound = F.array(F.struct(found.alias("f"), want.alias("w")))
@@ -69,14 +71,91 @@ def same_company(a: Column | str, b: Column | str) -> Column:
     return (F.size(wa) > 0) & (F.size(wb) > 0) & (within | ((F.length(sa) >= 3) & (sa == sb)) | short(sa, b) | short(sb, a))
 
 
-def company_reason(company: Column | str, other: Column | str, title: Column | str) -> Column:
-    return F.when(same_company(company, other), "same employer").when(names_company(title, company), "employer named in the title")
+def employers(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The distinct pairs of names (columns ``rc`` of ``left``, ``ac`` of ``right``) that may be one employer.
+
+    Where the words of one are within the other, the rarest of them is a word of both; the
+    other ways are equal slugs, and a slug that equals initials. So each name has its rarest
+    word and its slug for keys, and no word that many names share.
+    """
+    made = lambda df, c: df.select(c).distinct().filter(F.col(c).isNotNull()).select(c, T.company_words(T.fold(c)).alias("w"), T.company_slug(T.fold(c)).alias("s"), T.initials(T.fold(c)).alias("i"))
+    a, b = made(left, "rc"), made(right, "ac")
+    words = lambda df, c: df.select(c, F.explode(F.array_distinct("w")).alias("k"))
+    often = words(a, "rc").select("k").unionByName(words(b, "ac").select("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    rarest = lambda df, c: words(df, c).join(often, "k").groupBy(c).agg(F.min(F.struct("n", "k"))["k"].alias("k"))
+    key = lambda df, c, k: df.select(c, F.col(k).alias("k")).filter("length(k) >= 3")
+    ways = [
+        (rarest(a, "rc"), words(b, "ac")),
+        (words(a, "rc"), rarest(b, "ac")),
+        (key(a, "rc", "s"), key(b, "ac", "s")),
+        (key(a, "rc", "s"), key(b, "ac", "i")),
+        (key(a, "rc", "i"), key(b, "ac", "s")),
+    ]
+    found = None
+    for x, y in ways:
+        both = x.join(y, "k").select("rc", "ac")
+        found = both if found is None else found.unionByName(both)
+    return found.distinct().filter(same_company("rc", "ac"))
+
+
+def companies_of(applications: DataFrame) -> DataFrame:
+    """``words, slug, n_companies, company, n_apps, app_id`` for each distinct list of identifying words.
+
+    ``applications``: app_id, app_company. A company is a name in lower case without blanks at
+    its ends; several may have the same words. ``company`` is one of them (which matters only
+    where n_companies is 1), ``app_id`` the largest id.
+    """
+    name = F.lower(T.strip("app_company"))
+    each = applications.filter("app_company IS NOT NULL").groupBy(name.alias("company")).agg(F.count_distinct("app_id").alias("n_apps"), F.max("app_id").alias("app_id"), F.max("app_company").alias("_c"))
+    each = each.withColumn("words", T.company_words(T.fold("_c")))
+    got = each.groupBy("words").agg(F.count(F.lit(1)).alias("n_companies"), F.max("company").alias("company"), F.sum("n_apps").alias("n_apps"), F.max("app_id").alias("app_id"))
+    return got.withColumn("slug", F.array_join("words", ""))
+
 
+def named_in(texts: DataFrame, companies: DataFrame) -> DataFrame:
+    """``texts`` (found: words, and other columns) with the companies of ``companies_of`` that each names.
 
-def _prepared(applications: DataFrame) -> DataFrame:
-    a = applications.select(F.col("id").alias("app_id"), F.col("company").alias("app_company"), F.col("thread_id").alias("app_thread"), F.col("sent_at").alias("app_sent"))
-    a = a.withColumn("app_words", T.company_words(T.fold("app_company")))
-    return a.withColumn("app_slug", F.array_join("app_words", ""))
+    A company has two keys: the rarest of its words, counted over all companies, and its slug.
+    A text has its words, and its runs of words of a length that some slug has. So a word that
+    many names share is nobody's key.
+    """
+    able = companies.filter(F.length("slug") >= LEAST_COMPANY)
+    word = able.select("words", F.explode(F.array_distinct("words")).alias("_w"))
+    often = word.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = word.join(often, "_w").groupBy("words").agg(F.min(F.struct("_n", "_w"))["_w"].alias("_rarest"))
+    keys = F.array(F.struct(F.col("_rarest").alias("k"), F.lit(False).alias("run")), F.struct(F.col("slug").alias("k"), F.lit(True).alias("run")))
+    keyed = able.join(rarest, "words").withColumn("_x", F.explode(keys)).select(*able.columns, F.col("_x.k").alias("_key"), F.col("_x.run").alias("_run"))
+    # one row; as many entries as names differ in length
+    lengths = able.agg(F.collect_set(F.length("slug")).alias("_lengths"))
+    cols = texts.columns
+    at = texts.crossJoin(F.broadcast(lengths)).withColumn("_whole", F.array_join("found", "")).withColumn("_ends", ends(F.col("found")))
+    runs = F.flatten(F.transform("_ends", lambda i: F.transform(F.filter("_lengths", lambda n: F.array_contains("_ends", i + n)), lambda n: F.struct(F.substring(F.col("_whole"), i + 1, n).alias("k"), F.lit(True).alias("run")))))
+    said = F.transform(F.array_distinct("found"), lambda w: F.struct(w.alias("k"), F.lit(False).alias("run")))
+    each = at.withColumn("_x", F.explode(F.array_distinct(F.concat(said, runs)))).select(*cols, F.col("_x.k").alias("_key"), F.col("_x.run").alias("_run"))
+    got = each.join(keyed, ["_key", "_run"]).filter(F.col("_run") | (F.size(F.array_except("words", "found")) == 0))
+    return got.drop("_key", "_run").distinct()
+
+
+def of_domain(senders: DataFrame, companies: DataFrame) -> DataFrame:
+    """``senders`` (label, and other columns) with the companies whose slug begins with the label or the
+    label with it, both of 4 letters or more.
+
+    By equality: of the label's beginnings, of the lengths that slugs have, with slugs, and of
+    the label with the slugs' beginnings, which are counted first, so that a beginning that many
+    share is one row.
+    """
+    cols = senders.columns
+    able = companies.filter(F.length("slug") >= LEAST_SLUG)
+    merged = lambda df, key: df.groupBy(key).agg(F.sum("n_companies").alias("n_companies"), F.max("company").alias("company"), F.sum("n_apps").alias("n_apps"), F.max("app_id").alias("app_id"))
+    long = senders.filter(F.length("label") >= LEAST_SLUG)
+    lengths = able.agg(F.collect_set(F.length("slug")).alias("_lengths"))
+    own = F.filter("_lengths", lambda n: n < F.length("label"))
+    below = long.crossJoin(F.broadcast(lengths)).withColumn("_key", F.explode(F.transform(own, lambda n: F.substring(F.col("label"), F.lit(1), n)))).select(*cols, "_key")
+    below = below.join(merged(able, "slug"), F.col("_key") == F.col("slug")).drop("_key", "slug")
+    sizes = long.agg(F.collect_set(F.length("label")).alias("_sizes"))
+    heads = able.crossJoin(F.broadcast(sizes)).withColumn("_key", F.explode(F.transform(F.filter("_sizes", lambda n: n <= F.length("slug")), lambda n: F.substring(F.col("slug"), F.lit(1), n))))
+    above = long.join(merged(heads, "_key"), F.col("label") == F.col("_key")).drop("_key")
+    return below.unionByName(above)
 
 
 def match_replies(messages: DataFrame, applications: DataFrame) -> DataFrame:
@@ -86,40 +165,35 @@ def match_replies(messages: DataFrame, applications: DataFrame) -> DataFrame:
     ``applications``: id, company, thread_id, sent_at. Strategies in order: the thread; then,
     unless the sender is a board, the sender's domain, its display name, the subject, the
     first 800 characters of the body. The first that resolves wins: its candidates are of one
-    company (folded); of several the best by send time is taken and isn't conclusive; the
-    body never is.
+    company (folded); of several applications the best by send time is taken and isn't
+    conclusive; the body never is.
 
-    Candidates come from equality: of threads, of the first four letters of slugs, and of one
-    word (or run of words) of the text with the company's first word (or slug); the predicate
-    is then checked on those alone.
+    Texts are matched with companies, not with applications, and by equality alone (see
+    ``of_domain`` and ``named_in``); only what resolves to one company meets its applications.
     """
-    apps = _prepared(applications)
+    apps = applications.select(F.col("id").alias("app_id"), F.col("company").alias("app_company"), F.col("thread_id").alias("app_thread"), F.col("sent_at").alias("app_sent"))
+    companies = companies_of(apps)
     m = messages.select("message_id", "thread_id", "from_address", "subject", F.substring("body", 1, BODY_HEAD).alias("head"), "received_at")
     m = m.withColumn("domain", T.sender_domain("from_address")).withColumn("board", is_board_sender("from_address"))
-    cols = ["message_id", "received_at", "app_id", "app_company", "app_sent"]
 
     threaded = m.filter("thread_id IS NOT NULL AND thread_id <> ''").join(apps, F.col("thread_id") == F.col("app_thread"))
-    first = Window.partitionBy("message_id").orderBy("app_id")
-    by_thread = threaded.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("message_id", F.col("app_id").alias("application_id"), F.lit("thread").alias("strategy"), F.lit(True).alias("conclusive"), F.lit(0).alias("_order"))
+    by_thread = threaded.groupBy("message_id").agg(F.min("app_id").alias("application_id"))
+    by_thread = by_thread.select("message_id", "application_id", F.lit("thread").alias("strategy"), F.lit(True).alias("conclusive"), F.lit(0).alias("_order"))
 
     rest = m.filter(~F.col("board"))
+    cols = ["message_id", "_order", "n_companies", "company", "n_apps"]
     label = T.slug(T.fold(T.registrable_domain("domain")))
-    d = rest.filter((F.col("domain") != "") & ~is_generic_sender("domain")).withColumn("label", label).filter(F.length("label") >= LEAST_SLUG)
-    near = d.join(apps.filter(F.length("app_slug") >= LEAST_SLUG), F.substring("label", 1, LEAST_SLUG) == F.substring("app_slug", 1, LEAST_SLUG))
-    domain = near.filter(F.col("label").startswith(F.col("app_slug")) | F.col("app_slug").startswith(F.col("label"))).select(*cols, F.lit(1).alias("_order"))
-
-    texts = rest.select("message_id", "received_at", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), t.alias("t")) for k, t in ((2, T.display_name("from_address")), (3, F.coalesce("subject", F.lit(""))), (4, F.coalesce("head", F.lit(""))))])).alias("x"))
-    texts = texts.select("message_id", "received_at", F.col("x.k").alias("_order"), T.words(T.fold("x.t")).alias("found")).filter(F.size("found") > 0)
-    places = F.sequence(F.lit(0), F.size("found") - 1)
-    runs = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size("found") - i)), lambda n: F.array_join(F.slice("found", i + 1, n), ""))))
-    keyed = texts.withColumn("_key", F.explode(F.array_distinct(runs)))
-    names = apps.filter(F.length("app_slug") >= LEAST_COMPANY).withColumn("_key", F.explode(F.array_distinct(F.array(F.get("app_words", F.lit(0)), F.col("app_slug")))))
-    named = keyed.join(names, "_key").filter((F.size(F.array_except("app_words", "found")) == 0) | (F.col("_key") == F.col("app_slug"))).select(*cols, "_order").distinct()
-
-    each = domain.unionByName(named)
-    sizes = each.groupBy("message_id", "_order").agg(F.count_distinct(F.lower(T.strip("app_company"))).alias("_companies"), F.count_distinct("app_id").alias("_apps"))
-    clear = sizes.filter("_companies = 1").groupBy("message_id").agg(F.min(F.struct("_order", "_apps")).alias("_b")).select("message_id", "_b._order", "_b._apps")
-    won = best_by_time(each.join(clear, ["message_id", "_order"]), ["message_id"], "app_sent", "received_at", "app_id")
+    d = rest.filter((F.col("domain") != "") & ~is_generic_sender("domain")).select("message_id", label.alias("label"), F.lit(1).alias("_order"))
+    domain = of_domain(d, companies).select(*cols)
+
+    texts = rest.select("message_id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), t.alias("t")) for k, t in ((2, T.display_name("from_address")), (3, F.coalesce("subject", F.lit(""))), (4, F.coalesce("head", F.lit(""))))])).alias("x"))
+    texts = texts.select("message_id", F.col("x.k").alias("_order"), T.words(T.fold("x.t")).alias("found")).filter(F.size("found") > 0)
+    named = named_in(texts, companies).select(*cols)
+
+    sizes = domain.unionByName(named).groupBy("message_id", "_order").agg(F.sum("n_companies").alias("_companies"), F.max("company").alias("company"), F.sum("n_apps").alias("_apps"))
+    clear = sizes.filter("_companies = 1").groupBy("message_id").agg(F.min(F.struct("_order", "_apps", "company")).alias("_b")).select("message_id", "_b.*")
+    with_apps = clear.join(m.select("message_id", "received_at"), "message_id").join(apps.withColumn("company", F.lower(T.strip("app_company"))), "company")
+    won = best_by_time(with_apps, ["message_id"], "app_sent", "received_at", "app_id")
     strategy = F.element_at(F.array(*[F.lit(s) for s in STRATEGIES]), F.col("_order") + 1)
     won = won.select("message_id", F.col("app_id").alias("application_id"), strategy.alias("strategy"), ((F.col("_apps") == 1) & (F.col("_order") < 4)).alias("conclusive"), "_order")
     best = Window.partitionBy("message_id").orderBy("_order")
@@ -131,14 +205,17 @@ def similar_applications(replies: DataFrame, applications: DataFrame, days: int
 
     ``replies``: id, detected_company, detected_role, received_at; ``applications``: id, company,
     title, sent_at. By employer, and by role where exactly one application has it and was sent
-    within ``days`` of the message. The employer candidates share a word, a slug or initials.
+    within ``days`` of the message. Candidates come from equality (see ``employers``, ``named_in``).
     """
     a = applications.filter("sent_at IS NOT NULL").select(F.col("id").alias("application_id"), F.col("company").alias("ac"), F.col("title").alias("at"), "sent_at")
     r = replies.filter(F.coalesce(T.strip("detected_company"), F.lit("")) != "").select(F.col("id").alias("reply_id"), F.col("detected_company").alias("rc"), F.col("detected_role").alias("rr"), "received_at")
-    keys = lambda c: F.array_union(T.company_words(T.fold(c)), F.array(T.company_slug(T.fold(c)), T.initials(T.fold(c))))
-    rk = r.withColumn("_k", F.explode(F.array_distinct(keys("rc"))))
-    ak = a.withColumn("_k", F.explode(F.array_distinct(F.concat(keys("ac"), T.words(T.fold("at")), F.filter(F.array(F.array_join(T.words(T.fold("at")), "")), lambda x: x != "")))))
-    named = rk.join(ak, "_k").withColumn("reason", company_reason("rc", "ac", "at")).filter("reason IS NOT NULL").select("reply_id", "application_id", "reason").distinct()
+    same = employers(r.select("rc"), a.select("ac")).withColumn("reason", F.lit("same employer"))
+    titles = a.select("at").distinct().withColumn("found", T.words(T.fold("at"))).filter(F.size("found") > 0)
+    wanted = r.select("rc").distinct().withColumn("words", T.company_words(T.fold("rc")))
+    said = named_in(titles, companies_of(r.select(F.col("reply_id").alias("app_id"), F.col("rc").alias("app_company")))).select("at", "words").join(wanted, "words").select("at", "rc").distinct()
+    by_name = r.join(same, "rc").join(a, "ac").select("reply_id", "application_id", "reason", F.lit(0).alias("_o"))
+    by_title = r.join(said, "rc").join(a, "at").select("reply_id", "application_id", F.lit("employer named in the title").alias("reason"), F.lit(1).alias("_o"))
+    named = by_name.unionByName(by_title).groupBy("reply_id", "application_id").agg(F.min_by("reason", "_o").alias("reason"))
     rw = r.withColumn("_w", T.role_words(T.fold("rr"))).filter("size(_w) > 0 AND received_at IS NOT NULL")
     aw = a.withColumn("_w", T.role_words(T.fold("at")))
     width = F.expr(f"INTERVAL {int(days)} DAYS")
@@ -151,8 +228,8 @@ def similar_applications(replies: DataFrame, applications: DataFrame, days: int
 def sent_threads(applications: DataFrame, mail: DataFrame) -> DataFrame:
     """``id, thread_id`` where exactly one thread of sent mail names the company, from a day before
     to three days after the application was sent. ``mail``: thread_id, to_text, sent_at."""
-    a = applications.select("id", "company", F.col("sent_at").alias("_s"))
-    near = mail.join(a, F.contains(F.lower("to_text"), F.lower("company")) & F.col("sent_at").between(F.col("_s") - F.expr("INTERVAL 1 DAY"), F.col("_s") + F.expr("INTERVAL 3 DAYS")))
+    a = applications.select("id", F.lower("company").alias("_company"), F.col("sent_at").alias("_s"))
+    near = contains_join(mail.withColumn("_to", F.lower("to_text")), a, "_to", "_company").filter(F.col("sent_at").between(F.col("_s") - F.expr("INTERVAL 1 DAY"), F.col("_s") + F.expr("INTERVAL 3 DAYS")))
     return near.groupBy("id").agg(F.when(F.count_distinct("thread_id") == 1, F.max("thread_id")).alias("thread_id")).filter("thread_id IS NOT NULL")
 
 

@@ -34,7 +34,7 @@ def unwritten_body() -> Column:
     """Long, complete prose in which no word of hiring occurs."""
     body = _text("description")
     both = F.concat(_text("title"), F.lit("\n"), body)
-    return (F.length(body) >= JUDGEABLE) & body.rlike(V.PROSE) & ~body.rlike(V.TRUNCATED) & ~T.matches(both, V.HIRING_WORDS)
+    return (F.length(body) >= JUDGEABLE) & body.rlike(V.PROSE) & ~body.rlike(V.TRUNCATED) & ~T.matches_any(both, V.HIRING_WORDS)
 
 
 def relocation_scam() -> Column:
@@ -57,7 +57,7 @@ def haystack() -> Column:
 
 
 def clearance_required() -> Column:
-    return T.matches(haystack(), V.CLEARANCE)
+    return T.matches_hinted(haystack(), V.CLEARANCE, ("clearance", "active"))
 
 
 def language_required() -> Column:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -32,26 +32,51 @@ def learn_threads(applications: DataFrame, sent_mail: DataFrame) -> DataFrame:
     return sets.fill_missing(applications, resolve.sent_threads(applications, sent_mail), "id", "thread_id")
 
 
-def learn_from_matches(matched: DataFrame, messages: DataFrame, applications: DataFrame) -> DataFrame:
-    """Applications without a thread take that of their first conclusive match: later messages match on it."""
-    got = matched.filter("conclusive").join(messages.select("message_id", "thread_id", "received_at"), "message_id").filter("thread_id <> ''")
-    w = Window.partitionBy("application_id").orderBy("received_at", "message_id")
-    first = got.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(F.col("application_id").alias("id"), "thread_id")
-    return sets.fill_missing(applications, first, "id", "thread_id")
+def is_unrelated(job_related: Column, strategy: Column) -> Column:
+    """Not about a job, and matched by no thread; what wasn't classified is kept."""
+    by_thread = F.coalesce(strategy == "thread", F.lit(False))
+    return F.coalesce(~job_related & ~by_thread, F.lit(False))
 
 
-def match_to_fixpoint(messages: DataFrame, applications: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Matches and the applications with what was learned. A round matches what is still open
-    by the threads that the round before has learned; it ends when nothing new matches."""
-    found, open_ = None, messages
-    for _ in range(rounds):
-        got = cut(resolve.match_replies(open_, applications))
-        found = got if found is None else found.unionByName(got)
-        applications = cut(learn_from_matches(got, open_, applications))
-        open_ = open_.join(got.select("message_id"), "message_id", "left_anti")
-        if got.isEmpty():
-            break
-    return found, applications
+def learn_from_matches(matched: DataFrame, messages: DataFrame, applications: DataFrame) -> DataFrame:
+    """Applications without a thread take that of their first conclusive match, and the time of the
+    lesson (learned_at, learned_by)."""
+    got = matched.filter("conclusive").join(messages.select("message_id", "thread_id", "received_at"), "message_id").filter("thread_id <> ''")
+    first = got.groupBy("application_id").agg(F.min(F.struct(F.col("received_at").isNotNull().alias("known"), "received_at", "message_id", "thread_id")).alias("f"))
+    lesson = first.select(F.col("application_id").alias("id"), F.col("f.thread_id").alias("_thread"), F.col("f.received_at").alias("_at"), F.col("f.message_id").alias("_by"))
+    got = applications.join(lesson, "id", "left")
+    fresh = F.col("thread_id").isNull() & F.col("_thread").isNotNull()
+    for c, v in (("learned_at", "_at"), ("learned_by", "_by"), ("thread_id", "_thread")):
+        got = got.withColumn(c, F.when(fresh, F.col(v)).otherwise(F.col(c)))
+    return got.drop("_thread", "_at", "_by")
+
+
+def match_to_fixpoint(messages: DataFrame, applications: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matches, and the applications with the threads that were learned.
+
+    As if messages came one by one, oldest first (no time before all, ties by id): a conclusive
+    match teaches its application the thread, and only messages after that one match by it.
+    Each round takes the lessons from the matches of the round before and matches by them
+    anew, until no match changes; in every round at least the oldest message that was wrong
+    is put right.
+    """
+    base = cut(resolve.match_replies(messages, applications))
+    columns = applications.columns
+    blank = applications.withColumn("learned_at", F.lit(None).cast("timestamp")).withColumn("learned_by", F.lit(None).cast("string"))
+    open_ = messages.join(base.filter("strategy = 'thread'").select("message_id"), "message_id", "left_anti")
+    open_ = open_.filter("thread_id IS NOT NULL AND thread_id <> ''").select("message_id", "thread_id", "received_at")
+    found, hits = base, None
+    while True:
+        known = cut(learn_from_matches(found, messages, blank))
+        taught = known.filter("learned_by IS NOT NULL").select(F.col("id").alias("application_id"), F.col("thread_id").alias("_thread"), "learned_at", "learned_by")
+        order = lambda at, by: F.struct(F.col(at).isNotNull(), F.col(at), F.col(by))
+        met = open_.join(taught, F.col("thread_id") == F.col("_thread")).filter(order("learned_at", "learned_by") < order("received_at", "message_id"))
+        now = cut(met.groupBy("message_id").agg(F.min("application_id").alias("application_id")))
+        if hits is None and now.isEmpty() or hits is not None and now.exceptAll(hits).isEmpty() and hits.exceptAll(now).isEmpty():
+            return found, known.select(*columns)
+        hits = now
+        by_lesson = now.select("message_id", "application_id", F.lit("thread").alias("strategy"), F.lit(True).alias("conclusive"))
+        found = cut(base.join(now.select("message_id"), "message_id", "left_anti").unionByName(by_lesson))
 
 
 def scan(messages: DataFrame, applications: DataFrame, recorded: DataFrame, skipped: DataFrame, classifier: Callable[[], guards.Classifier] = lambda: guards.keyword_classifier, settings: Settings = Settings()) -> Scan:
@@ -70,8 +95,7 @@ def scan(messages: DataFrame, applications: DataFrame, recorded: DataFrame, skip
     told = guards.classify(both.filter(~bulk), classifier)
     quiet = both.filter(bulk).withColumn("verdict", F.lit(None).cast(told.schema["verdict"].dataType))
     all_ = cut(told.unionByName(quiet))
-    by_thread = F.coalesce(F.col("strategy") == "thread", F.lit(False))
-    unrelated = F.coalesce(~F.col("verdict.job_related") & ~by_thread, F.lit(False))
+    unrelated = is_unrelated(F.col("verdict.job_related"), F.col("strategy"))
     replies = all_.filter(~unrelated).select("message_id", "thread_id", "from_address", "subject", "body", "received_at", "application_id", "strategy", F.coalesce("conclusive", F.lit(False)).alias("conclusive"), "verdict.reply_type", "verdict.confidence", "verdict.reasoning", F.col("verdict.company").alias("detected_company"), F.col("verdict.role").alias("detected_role"))
     moves = replies.filter("application_id IS NOT NULL").select("application_id", "message_id", "received_at", "reply_type", "confidence", "conclusive")
     state = fold.fold_messages(moves).select(F.col("application_id").alias("id"), F.col("status").alias("_to"), "evidence_at", "n_moves")
@@ -100,9 +124,9 @@ def route_notices(notices: DataFrame, applications: DataFrame) -> DataFrame:
     """
     a = applications.select(F.col("id").alias("application_id"), "company", F.nullif(F.regexp_extract("url", r"hh\.ru/vacancy/(\d+)", 1), F.lit("")).alias("vacancy_id"))
     by_id = a.filter("vacancy_id IS NOT NULL").groupBy("vacancy_id").agg(F.max("application_id").alias("by_vacancy"))
-    words = notices.filter("company IS NOT NULL").withColumn("_k", F.explode(T.company_words(T.fold("company"))))
-    named = words.join(a.withColumn("_k", F.explode(T.company_words(T.fold("company")))).withColumnRenamed("company", "_own"), "_k")
-    named = named.filter(resolve.names_company("company", "_own")).groupBy("message_id").agg(F.when(F.count_distinct("application_id") == 1, F.max("application_id")).alias("by_name"))
+    told = notices.filter("company IS NOT NULL").select("message_id", T.words(T.fold("company")).alias("found")).filter(F.size("found") > 0)
+    owners = resolve.companies_of(a.select(F.col("application_id").alias("app_id"), F.col("company").alias("app_company")))
+    named = resolve.named_in(told, owners).groupBy("message_id").agg(F.when(F.sum("n_apps") == 1, F.max("app_id")).alias("by_name"))
     got = notices.join(by_id, "vacancy_id", "left").join(named, "message_id", "left")
     rejection = (F.col("kind") == "rejection") & F.col("by_vacancy").isNotNull()
     route = F.when(rejection, "rejection").when(F.coalesce("by_vacancy", "by_name").isNotNull() & (F.col("kind") != "rejection"), "message").otherwise("clear")
@@ -128,6 +152,22 @@ def record_applications(replies: DataFrame, jobs: DataFrame, applications: DataF
     return r.select("message_id", "_c", "_t"), plan
 
 
+def review_queue(replies: DataFrame, applications: DataFrame, days: int = 7) -> DataFrame:
+    """Replies with an employer and no application, newest first, each with the applications that a
+    reviewer should see before a record is made (``similar``: application_id and reason, by id)."""
+    open_ = replies.filter("application_id IS NULL").filter(F.coalesce(T.strip("detected_company"), F.lit("")) != "")
+    like = resolve.similar_applications(open_.withColumnRenamed("message_id", "id") if "id" not in open_.columns else open_, applications, days)
+    ident = "message_id" if "id" not in replies.columns else "id"
+    held = like.groupBy("reply_id").agg(F.array_sort(F.collect_list(F.struct("application_id", "reason"))).alias("similar"))
+    got = open_.join(held, open_[ident] == held["reply_id"], "left").drop("reply_id")
+    return got.orderBy(F.desc_nulls_last("received_at"), ident)
+
+
+def record_selected(replies: DataFrame, ids: list, jobs: DataFrame, applications: DataFrame, manual_source: int) -> tuple[DataFrame, DataFrame]:
+    """``record_applications`` for the replies that a reviewer picked (message ids)."""
+    return record_applications(replies.filter(F.col("message_id").isin(*ids)), jobs, applications, manual_source)
+
+
 def backlog(mail_rows: DataFrame, records: DataFrame, stored: DataFrame) -> DataFrame:
     """Alerts whose records are all stored already, which may be cleared; with how many of how many.
 

@@ -19,8 +19,8 @@ def insert_or_ignore(table: DataFrame, batch: DataFrame, key: str, position: lis
 
 
 def fill_missing(table: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
-    """Update where null: a value that is there already wins."""
-    u = updates.select(key, F.col(column).alias("_new")).dropDuplicates([key])
+    """Update where null: a value that is there already wins; of several updates the least."""
+    u = updates.groupBy(key).agg(F.min(column).alias("_new"))
     return table.join(u, key, "left").withColumn(column, F.coalesce(F.col(column), F.col("_new"))).drop("_new")
 
 

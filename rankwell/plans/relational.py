@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions import urls as U
-from ..operators import joins, sets
+from ..operators import joins, reports, scan, sets
+from ..streaming import fold
 from .base import query, table
 
 
@@ -99,9 +99,8 @@ def extracted_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id <> b.event_id AND abs(epoch(a.ts) - epoch(b.ts)) <= 86400 GROUP BY 1) WHERE n = 1""",
 )
 def interval_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    b = e.select(F.col("event_id").alias("other_id"), F.col("user_id").alias("u"), F.col("event_type").alias("k"), F.col("t").alias("s"))
-    return joins.interval_unique(e, b, (F.col("user_id") == F.col("u")) & (F.col("event_type") == F.col("k")) & (F.col("event_id") != F.col("other_id")), "t", "s", 86400, "event_id", "other_id")
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("other_id"), "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return joins.interval_unique(e, e, ["user_id", "event_type"], "t", 86_400_000_000, "event_id", "other_id", itself=True)
 
 
 @query(
@@ -126,8 +125,7 @@ HOST = r"regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]
 
 @query("group_count_desc", f"SELECT {HOST} AS host, count(*) AS n, bool_or(contains(url, 'utm_')) AS tracked FROM pages GROUP BY 1 ORDER BY n DESC, host")
 def group_count_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").groupBy(U.host("url").alias("host"))
-    return p.agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.contains(F.col("url"), F.lit("utm_"))).alias("tracked")).orderBy(F.desc("n"), "host")
+    return reports.hosts(table(spark, sf_dir, "pages"), F.contains(F.col("url"), F.lit("utm_")), "tracked")
 
 
 @query("group_to_list", "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
@@ -159,13 +157,13 @@ def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.contained(c.select("conv_id", "h"), "conv_id", "h", c.filter("conv_id % 3 <> 0 OR turn = 0"))
 
 
-THREADS = "a AS (SELECT CAST(user_id AS VARCHAR) AS thread, CASE event_type WHEN 'error' THEN 'rejected' ELSE 'open' END AS status FROM events WHERE event_id % 50 = 0), b AS (SELECT CAST(o_custkey AS VARCHAR) AS thread, CASE o_orderstatus WHEN 'F' THEN 'rejected' ELSE 'open' END AS status FROM orders WHERE o_orderkey % 100 = 0)"
+THREADS = "a AS (SELECT CAST(user_id AS VARCHAR) AS thread, CASE event_type WHEN 'error' THEN 'rejected' ELSE 'open' END AS status FROM events), b AS (SELECT CAST(o_custkey AS VARCHAR) AS thread, CASE o_orderstatus WHEN 'F' THEN 'rejected' ELSE 'open' END AS status FROM orders)"
 
 
 def _threads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e, o = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders")
-    a = e.filter("event_id % 50 = 0").select(F.col("user_id").cast("string").alias("thread"), F.when(F.col("event_type") == "error", "rejected").otherwise("open").alias("status"))
-    b = o.filter("o_orderkey % 100 = 0").select(F.col("o_custkey").cast("string").alias("thread"), F.when(F.col("o_orderstatus") == "F", "rejected").otherwise("open").alias("status"))
+    a = e.select(F.col("user_id").cast("string").alias("thread"), F.when(F.col("event_type") == "error", "rejected").otherwise("open").alias("status"))
+    b = o.select(F.col("o_custkey").cast("string").alias("thread"), F.when(F.col("o_orderstatus") == "F", "rejected").otherwise("open").alias("status"))
     return a, b
 
 
@@ -213,56 +211,71 @@ def unmatched_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(o.filter("o_orderstatus = 'F'"), e["event_id"] == o["o_orderkey"], "left").filter(F.col("o_orderkey").isNull()).select("event_id")
 
 
-@query("unrelated_drop", "SELECT event_id, NOT (event_type IN ('purchase', 'signup') OR o_orderkey IS NOT NULL) AS unrelated FROM events LEFT JOIN orders ON o_orderkey = event_id AND o_orderkey % 7 = 0")
+@query("unrelated_drop", "SELECT event_id, NOT (event_type IN ('purchase', 'signup') OR o_orderkey IS NOT NULL) AS unrelated FROM events LEFT JOIN orders ON o_orderkey = event_id")
 def unrelated_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, o = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0")
+    """Events as mail: about a job by their type, matched by thread where an order has their number."""
+    e, o = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders")
     both = e.join(o, e["event_id"] == o["o_orderkey"], "left")
-    return both.select("event_id", (~(F.col("event_type").isin("purchase", "signup") | F.col("o_orderkey").isNotNull())).alias("unrelated"))
+    strategy = F.when(F.col("o_orderkey").isNotNull(), "thread")
+    return both.select("event_id", scan.is_unrelated(F.col("event_type").isin("purchase", "signup"), strategy).alias("unrelated"))
 
 
 @query(
     "notice_routing",
-    """WITH n AS (SELECT event_id, event_type AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS vacancy FROM events WHERE event_type <> 'view'),
-a AS (SELECT c_custkey AS vacancy, max(o_orderkey) AS app FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 60 GROUP BY 1)
-SELECT event_id, app, CASE WHEN kind = 'error' AND app IS NOT NULL THEN 'rejection' WHEN kind IN ('click', 'signup') AND app IS NOT NULL THEN 'message' ELSE 'clear' END AS route,
-  kind = 'error' AND app IS NOT NULL AS conclusive FROM n LEFT JOIN a USING (vacancy)""",
+    """WITH n AS (SELECT event_id, user_id, event_type AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS vacancy FROM events),
+a AS (SELECT o_custkey, max(o_orderkey) AS app, count(*) AS n_apps FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1),
+r AS (SELECT event_id, kind, v.app AS by_vacancy, CASE WHEN kind = 'purchase' AND c.n_apps = 1 THEN c.app END AS by_name
+  FROM n LEFT JOIN a v ON v.o_custkey = CASE WHEN kind <> 'purchase' THEN vacancy END LEFT JOIN a c ON c.o_custkey = user_id),
+w AS (SELECT *, CASE WHEN kind = 'error' AND by_vacancy IS NOT NULL THEN 'rejection' WHEN kind <> 'error' AND coalesce(by_vacancy, by_name) IS NOT NULL THEN 'message' ELSE 'clear' END AS route FROM r)
+SELECT event_id, CASE WHEN route <> 'clear' THEN coalesce(by_vacancy, by_name) END AS application_id, route, route <> 'clear' AND by_vacancy IS NOT NULL AS conclusive, CASE WHEN route = 'rejection' THEN 1.0::DOUBLE END AS confidence FROM w""",
 )
 def notice_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Employer notices: a rejection by exact id is conclusive, a message by id isn't, the rest is cleared."""
+    """Events as employer notices, by vacancy or, purchases, by the employer's name; orders as applications."""
     e, c, o = (table(spark, sf_dir, t) for t in ("events", "customer", "orders"))
-    n = e.filter("event_type <> 'view'").select("event_id", F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("long").alias("vacancy"))
-    a = c.filter("c_custkey < 60").join(o, c["c_custkey"] == o["o_custkey"]).groupBy(F.col("c_custkey").alias("vacancy")).agg(F.max("o_orderkey").alias("app"))
-    both, found = n.join(a, "vacancy", "left"), F.col("app").isNotNull()
-    rejection = (F.col("kind") == "error") & found
-    route = F.when(rejection, "rejection").when(F.col("kind").isin("click", "signup") & found, "message").otherwise("clear")
-    return both.select("event_id", "app", route.alias("route"), rejection.alias("conclusive"))
+    named = F.col("event_type") == "purchase"
+    n = e.select(
+        F.col("event_id").alias("message_id"),
+        F.when(F.col("event_type") == "error", "rejection").when(named, "message_from").otherwise("vacancy_message").alias("kind"),
+        F.when(~named, F.get_json_object("props", "$.k")).alias("vacancy_id"),
+        F.when(named, F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0"))).alias("company"),
+    )
+    a = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("company"), F.concat(F.lit("https://hh.ru/vacancy/"), F.col("c_custkey").cast("string")).alias("url"))
+    return scan.route_notices(n, a).select(F.col("message_id").alias("event_id"), "application_id", "route", "conclusive", "confidence")
 
 
 @query(
     "record_upsert",
-    """WITH r AS (SELECT event_id, 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS company FROM events WHERE event_type = 'signup'),
-m AS (SELECT company, min(event_id) AS reply FROM r GROUP BY 1),
-j AS (SELECT c_custkey, c_name, row_number() OVER (PARTITION BY lower(trim(c_name)) ORDER BY (c_mktsegment <> 'BUILDING'), c_custkey) AS rn FROM customer)
-SELECT m.company, reply, c_custkey, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS app,
-  c_custkey IS NULL AS new_record, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) IS NULL AS new_app
-FROM m LEFT JOIN j ON lower(trim(m.company)) = lower(trim(c_name)) AND rn = 1""",
+    """WITH r AS (SELECT event_id, ts, user_id, 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS company FROM events WHERE event_type = 'signup'),
+f AS (SELECT company, min_by(user_id, (ts, event_id)) AS thread_id, min_by(event_id, (ts, event_id)) AS first, min(ts) AS received_at FROM r GROUP BY 1),
+j AS (SELECT c_custkey, c_name, row_number() OVER (PARTITION BY lower(trim(c_name)) ORDER BY (c_mktsegment <> 'BUILDING'), c_custkey) AS rn FROM customer),
+a AS (SELECT o_custkey, max(o_orderkey) AS app FROM orders GROUP BY 1)
+SELECT f.company, strftime(received_at, '%Y-%m-%d %H:%M:%S') AS received_at, CAST(thread_id AS VARCHAR) AS thread_id, c_custkey AS job_id, app AS application_id, c_custkey IS NULL AS new_job, app IS NULL AS new_application
+FROM f LEFT JOIN j ON lower(f.company) = lower(trim(c_name)) AND rn = 1 LEFT JOIN a ON o_custkey = c_custkey""",
 )
 def record_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An acknowledgement becomes an application: reuse record and application, else make them."""
+    """Signups as acknowledgements without an application: the records that they need."""
     e, c, o = (table(spark, sf_dir, t) for t in ("events", "customer", "orders"))
-    r = e.filter("event_type = 'signup'").select("event_id", F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("company"))
-    m = r.groupBy("company").agg(F.min("event_id").alias("reply"))
-    w = Window.partitionBy(T.role_key("c_name")).orderBy(F.col("c_mktsegment") != "BUILDING", "c_custkey")
-    j = c.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
-    apps = o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("app"))
-    both = m.join(j, T.role_key(m["company"]) == T.role_key(j["c_name"]), "left").join(apps, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return both.select("company", "reply", "c_custkey", "app", F.col("c_custkey").isNull().alias("new_record"), F.col("app").isNull().alias("new_app"))
-
-
-@query("report_backlog", f"SELECT {HOST} AS host, count(*) AS n FROM pages WHERE page_id % 3 = 0 GROUP BY 1 ORDER BY n DESC, host LIMIT 20")
+    replies = e.filter("event_type = 'signup'").select(
+        "event_id",
+        F.col("event_id").alias("message_id"),
+        F.col("ts").cast("timestamp").alias("received_at"),
+        F.col("user_id").cast("string").alias("thread_id"),
+        F.lit(None).cast("long").alias("application_id"),
+        F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("detected_company"),
+        F.lit(None).cast("string").alias("detected_role"),
+    )
+    jobs = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("company"), F.lit("(role not stated)").alias("title"), F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(2).alias("source_id"))
+    apps = o.groupBy(F.col("o_custkey").alias("job_id")).agg(F.max("o_orderkey").alias("id"))
+    _, plan = scan.record_applications(replies, jobs, apps, 1)
+    return plan.select("company", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss").alias("received_at"), "thread_id", "job_id", "application_id", "new_job", "new_application")
+
+
+@query("report_backlog", f"SELECT {HOST} AS host, count(*) AS n, {HOST} = 'adzuna.com' AS blocked FROM pages WHERE contains(url, 'utm_') GROUP BY 1 ORDER BY n DESC, host")
 def report_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").filter("page_id % 3 = 0")
-    return p.groupBy(U.host("url").alias("host")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "host").limit(20)
+    """Pages as postings; those with a tracked URL could not be applied to."""
+    p = table(spark, sf_dir, "pages")
+    gone = p.select(F.col("page_id").alias("job_id"), F.when(F.contains(F.col("url"), F.lit("utm_")), "unreachable").otherwise("sent").alias("status"))
+    return reports.unreachable_hosts(p.select(F.col("page_id").alias("id"), "url"), gone)
 
 
 @query(
@@ -297,9 +310,9 @@ def unlink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.unlink(o, "o_custkey", c.filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))).select("o_orderkey", "o_custkey")
 
 
-@query("idempotent_consume", "SELECT event_id, user_id FROM (SELECT event_id, user_id FROM events WHERE event_id % 2 = 0 UNION SELECT event_id, user_id FROM events WHERE event_id % 3 = 0) WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_id % 5 = 0) AND event_id NOT IN (SELECT event_id FROM events WHERE event_id % 7 = 0)")
+@query("idempotent_consume", "SELECT event_id, user_id FROM events WHERE event_type NOT IN ('purchase', 'error')")
 def idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id")
-    batch = e.filter("event_id % 2 = 0").unionByName(e.filter("event_id % 3 = 0"))
-    known = e.filter("event_id % 5 = 0").select("event_id").union(e.filter("event_id % 7 = 0").select("event_id"))
-    return sets.new_only(batch, known, "event_id").select("event_id", "user_id")
+    """All events, the clicks twice, as a batch: what is recorded (purchases) or skipped (errors) is left, each once."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    batch = e.unionByName(e.filter("event_type = 'click'"))
+    return fold.consume(batch, e.filter("event_type = 'purchase'"), e.filter("event_type = 'error'"), "event_id").select("event_id", "user_id")

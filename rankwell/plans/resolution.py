@@ -7,11 +7,24 @@ from pyspark.sql import functions as F
 
 from ..operators import guards
 from ..operators import resolve as M
+from ..sources import mail
 from ..streaming import fold
 from .base import query, table
 
 
-@query("reply_match")
+@query(
+    "reply_match",
+    """WITH m AS (SELECT conv_id || '-' || turn AS message_id, conv_id, turn FROM conversations),
+b AS (SELECT o_custkey, count(*) AS n, min_by(o_orderkey, (o_orderdate > TIMESTAMP '1998-01-01', CASE WHEN o_orderdate > TIMESTAMP '1998-01-01' THEN epoch(o_orderdate) ELSE -epoch(o_orderdate) END, o_orderkey)) AS app
+  FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1),
+t AS (SELECT message_id, o_orderkey AS app FROM m JOIN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey) o ON turn = 2 AND o_orderkey = conv_id AND o_orderkey % 2 = 0),
+r AS (SELECT m.message_id, t.app AS by_thread, d.app AS by_domain, d.n AS dn, s.app AS by_subject, s.n AS sn FROM m LEFT JOIN t USING (message_id)
+  LEFT JOIN b d ON conv_id % 3 <> 0 AND d.o_custkey = conv_id LEFT JOIN b s ON conv_id % 3 <> 0 AND s.o_custkey = turn)
+SELECT message_id, coalesce(by_thread, by_domain, by_subject) AS application_id,
+  CASE WHEN by_thread IS NOT NULL THEN 'thread' WHEN by_domain IS NOT NULL THEN 'domain' ELSE 'subject' END AS strategy,
+  by_thread IS NOT NULL OR CASE WHEN by_domain IS NOT NULL THEN dn = 1 ELSE sn = 1 END AS conclusive
+FROM r WHERE coalesce(by_thread, by_domain, by_subject) IS NOT NULL""",
+)
 def reply_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as messages; customers' orders as applications."""
     c, o, cust = (table(spark, sf_dir, t) for t in ("conversations", "orders", "customer"))
@@ -23,22 +36,16 @@ def reply_match(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("body"),
         F.lit("1998-01-01").cast("timestamp").alias("received_at"),
     )
-    a = o.join(cust, o["o_custkey"] == cust["c_custkey"]).filter("c_custkey < 400").select(F.col("o_orderkey").alias("id"), F.regexp_replace("c_name", "#", " ").alias("company"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).alias("thread_id"), F.col("o_orderdate").cast("timestamp").alias("sent_at"))
+    a = o.join(cust, o["o_custkey"] == cust["c_custkey"]).select(F.col("o_orderkey").alias("id"), F.regexp_replace("c_name", "#", " ").alias("company"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).alias("thread_id"), F.col("o_orderdate").cast("timestamp").alias("sent_at"))
     return M.match_replies(m, a)
 
 
-@query("ordered_fold")
-def ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a user as messages of an application, folded in order."""
-    return fold.fold_messages(_messages(spark, sf_dir))
-
-
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "error", "rejection").when(F.col("event_type") == "signup", "interview").otherwise("no_reply")
     return e.select(
         F.col("user_id").alias("application_id"),
-        F.col("event_id").cast("string").alias("message_id"),
+        F.lpad(F.col("event_id").cast("string"), 19, "0").alias("message_id"),
         F.col("ts").cast("timestamp").alias("received_at"),
         kind.alias("reply_type"),
         (F.pmod(F.col("event_id"), F.lit(10)) / 10).alias("confidence"),
@@ -50,13 +57,26 @@ STATUS = """WITH e AS (SELECT user_id AS application_id, event_id, ts, CASE even
   event_id % 10 / 10.0 >= 0.7 AND event_id % 3 <> 0 AND event_type IN ('error', 'signup') AS moves FROM events)"""
 
 
+@query(
+    "ordered_fold",
+    STATUS + " SELECT application_id, coalesce(max_by(to_status, (ts, event_id)) FILTER (WHERE moves), 'sent') AS status, strftime(max(ts) FILTER (WHERE moves), '%Y-%m-%d %H:%M:%S') AS evidence_at, count(*) FILTER (WHERE moves) AS n_moves, count(*) AS n_messages, 0::BIGINT AS n_late FROM e GROUP BY 1",
+)
+def ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as messages of an application, folded in order."""
+    got = fold.fold_messages(_messages(spark, sf_dir))
+    return got.withColumn("evidence_at", F.date_format("evidence_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query(
     "status_machine",
-    STATUS + " SELECT application_id, coalesce(max_by(to_status, (ts, event_id)) FILTER (WHERE moves), 'sent') AS status, count(*) FILTER (WHERE moves) AS n_moves, count(*) AS n_messages FROM e GROUP BY 1",
+    """WITH e AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'interview' END AS to_status,
+  event_id % 10 / 10.0 >= 0.7 AND event_id % 3 <> 0 AND event_type IN ('error', 'signup') AS moves FROM events)
+SELECT lpad(CAST(event_id AS VARCHAR), 19, '0') AS application_id, CASE WHEN moves THEN to_status ELSE 'sent' END AS status, CAST(moves AS BIGINT) AS n_moves FROM e""",
 )
 def status_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as aggregates: the last message that may move the status decides it."""
-    return fold.status_by_aggregate(_messages(spark, sf_dir))
+    """The transition alone: each event as the only message of an application."""
+    got = fold.fold_messages(_messages(spark, sf_dir).withColumn("application_id", F.col("message_id")))
+    return got.select("application_id", "status", "n_moves")
 
 
 @query(
@@ -73,23 +93,36 @@ def counter_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.empty_runs(runs, "user_id", "day", "got", 4)
 
 
-@query("udf_classifier")
+VOTES = "(CASE WHEN contains(t, '{}') THEN 1 ELSE 0 END)"
+REFUSE = " + ".join(VOTES.format(w) for w in guards.REJECTION_WORDS)
+INVITE = " + ".join(VOTES.format(w) for w in guards.INTERVIEW_WORDS)
+ABOUT = " OR ".join(f"contains(t, '{w}')" for w in guards.JOB_WORDS)
+
+
+@query(
+    "udf_classifier",
+    f"""WITH d AS (SELECT doc_id, lower(left(text, 40) || chr(10) || text) AS t FROM documents), v AS (SELECT doc_id, t, {REFUSE} AS r, {INVITE} AS i FROM d)
+SELECT doc_id, CASE WHEN greatest(r, i) = 0 THEN 'no_reply' WHEN r >= i THEN 'rejection' ELSE 'interview' END AS reply_type,
+  CASE WHEN greatest(r, i) = 0 THEN 0.5::DOUBLE ELSE round(least(1.0, 0.6 + 0.2 * greatest(r, i)), 6)::DOUBLE END AS confidence, greatest(r, i) > 0 OR {ABOUT} AS job_related FROM v""",
+)
 def udf_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("subject"), F.col("source").alias("from_address"), F.col("text").alias("body"))
-    return guards.classify(d).select("doc_id", "verdict.reply_type", "verdict.confidence", "verdict.job_related")
+    return guards.classify(d).select("doc_id", "verdict.reply_type", F.round("verdict.confidence", 6).alias("confidence"), "verdict.job_related")
 
 
-@query("udtf_split", r"SELECT doc_id, CAST(i AS INTEGER) AS line, trim(l[i + 1]) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents) WHERE trim(l[i + 1]) <> ''")
+@query(
+    "udtf_split",
+    """SELECT 'm' || page_id AS message_id, 'https://www.linkedin.com/jobs/view/' || page_id AS url, 'Company ' || page_id AS company, 'Role ' || page_id AS title,
+  CASE WHEN page_id % 2 = 0 THEN 'Remote' ELSE 'Lisbon' END AS location, page_id % 2 = 0 AS is_remote FROM pages
+UNION ALL SELECT 'm' || page_id, 'https://hh.ru/vacancy/' || page_id, 'Fabrika', 'Dev', 'Omsk', false FROM pages""",
+)
 def udtf_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="line: int, text: string")
-    class Lines:
-        def eval(self, text: str):
-            for i, line in enumerate((text or "").split("\n")):
-                if line.strip(" "):
-                    yield i, line.strip(" ")
-
-    spark.udtf.register("split_lines", Lines)
-    table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("_documents_for_lines")
-    return spark.sql("SELECT doc_id, x.line, x.text FROM _documents_for_lines, LATERAL split_lines(_documents_for_lines.text) AS x")
+    """Pages as alerts of two boards, each read by its parser: one message, as many records as it holds."""
+    n = F.col("page_id").cast("string")
+    card = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    place = F.when(F.col("page_id") % 2 == 0, "Remote").otherwise("Lisbon")
+    one = card('<p><a href="https://www.linkedin.com/comm/jobs/view/', n, '/?x=1">Role ', n, "</a></p><p>Company ", n, " · ", place, "</p><p>Easy Apply</p>")
+    two = card('<p><a href="https://hh.ru/vacancy/', n, '?from=x">Dev</a></p><p>Fabrika, Omsk</p>')
+    boards = F.explode(F.array(F.struct(F.lit("jobs@linkedin.com").alias("from_address"), one.alias("html")), F.struct(F.lit("a@hh.ru").alias("from_address"), two.alias("html"))))
+    alerts = table(spark, sf_dir, "pages").select(F.concat(F.lit("m"), n).alias("message_id"), boards.alias("x")).select("message_id", "x.*", F.lit("").alias("text"))
+    return mail.alert_records(alerts).select("message_id", "url", "company", "title", "location", "is_remote")

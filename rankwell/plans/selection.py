@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import vectors as X
+from ..operators import discover, guards, reports
 from ..operators import select as S
-from ..operators import sets
 from .base import CENTRED, POSTINGS, postings, query, table
 
 
@@ -79,16 +80,15 @@ def percentile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     "topk_per_entity",
     """WITH z AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE)) AS v, label FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, b.vec_id, round(list_dot_product(q.v, b.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score
-  FROM z q, z b WHERE q.vec_id < 20 AND b.vec_id <> q.vec_id)
+  FROM z q, z b WHERE q.vec_id % 50 = 0 AND b.vec_id <> q.vec_id)
 SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
 )
 def topk_per_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty queries (the stated set) against all vectors."""
+    """The stated set of queries, ids divisible by 50, against all vectors."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = e.crossJoin(F.broadcast(q)).filter("vec_id <> query_id")
-    s = pairs.select("query_id", "vec_id", F.round(X.cosine("q", "embedding"), 6).alias("score"))
-    return S.top_k(s, ["query_id"], [F.desc("score"), F.asc("vec_id")], 5).withColumn("rank", F.col("rank").cast("long"))
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    s = X.scores_of(e, q, "embedding", "q").filter("vec_id <> query_id").withColumn("score", F.round("score", 6))
+    return S.top_k(s.select("query_id", "vec_id", "score"), ["query_id"], [F.desc("score"), F.asc("vec_id")], 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("twin_collapse", "SELECT p_partkey, p_brand, p_size FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(p_brand)), lower(trim(CAST(p_size AS VARCHAR))) ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r = 1")
@@ -124,18 +124,10 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.first_seen(d, ["k"], [F.asc("doc_id")])
 
 
-@query(
-    "order_partition_sort",
-    """SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY (c_mktsegment = 'BUILDING') DESC, nullif(c_acctbal, round(c_acctbal)) DESC NULLS LAST, c_custkey) AS pos FROM customer
-ORDER BY pos LIMIT 200""",
-)
+@query("order_partition_sort", "SELECT c_custkey, c_acctbal FROM customer ORDER BY (c_mktsegment = 'BUILDING') DESC, nullif(c_acctbal, round(c_acctbal)) DESC NULLS LAST, c_custkey")
 def order_partition_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     c = table(spark, sf_dir, "customer")
-    first = c.orderBy((F.col("c_mktsegment") == "BUILDING").desc(), F.nullif("c_acctbal", F.round("c_acctbal")).desc_nulls_last(), "c_custkey").limit(200)
-    w = Window.orderBy((F.col("c_mktsegment") == "BUILDING").desc(), F.nullif("c_acctbal", F.round("c_acctbal")).desc_nulls_last(), "c_custkey")
-    return first.select("c_custkey", "c_acctbal", F.row_number().over(w).cast("long").alias("pos"))
+    return c.orderBy((F.col("c_mktsegment") == "BUILDING").desc(), F.nullif("c_acctbal", F.round("c_acctbal")).desc_nulls_last(), "c_custkey").select("c_custkey", "c_acctbal")
 
 
 @query(
@@ -154,8 +146,8 @@ def window_then_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("recent_notes", r"SELECT doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 70) AS note FROM documents ORDER BY doc_id DESC LIMIT 8")
 def recent_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").orderBy(F.desc("doc_id")).limit(8)
-    return d.select("doc_id", F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 70).alias("note"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("ineligible").alias("status"), F.col("text").alias("notes"), F.col("doc_id").alias("updated_at"))
+    return reports.recent_notes(d).select(F.col("id").alias("doc_id"), "note")
 
 
 @query(
@@ -170,13 +162,13 @@ def first_k_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("paged_list", "SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND n_name ILIKE '%nation_1%' ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 20")
 def paged_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    both = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).filter((F.col("c_mktsegment") == "BUILDING") & F.col("n_name").ilike("%nation_1%"))
-    return S.page(both, [F.desc("c_acctbal"), F.asc("c_custkey")], 2, 20).select("c_custkey", "c_name", "n_name")
+    both = c.join(n, c["c_nationkey"] == n["n_nationkey"])
+    return reports.listing(both, ["c_custkey", "c_name", "n_name"], {"c_mktsegment": "BUILDING"}, "NATION_1", ("n_name",), [F.desc("c_acctbal"), F.asc("c_custkey")], 2, 20)
 
 
-@query("boolean_sort", "SELECT c_custkey, c_mktsegment FROM customer ORDER BY (c_mktsegment <> 'MACHINERY') ASC, c_custkey LIMIT 100")
+@query("boolean_sort", "SELECT c_custkey, c_mktsegment FROM customer ORDER BY (c_mktsegment <> 'MACHINERY') ASC, c_custkey")
 def boolean_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").orderBy((F.col("c_mktsegment") != "MACHINERY").asc(), "c_custkey").limit(100).select("c_custkey", "c_mktsegment")
+    return table(spark, sf_dir, "customer").orderBy((F.col("c_mktsegment") != "MACHINERY").asc(), "c_custkey").select("c_custkey", "c_mktsegment")
 
 
 @query("max_score", "SELECT label, round(max(CAST(embedding[1] AS DOUBLE)), 6) AS top FROM embeddings GROUP BY label")
@@ -205,30 +197,29 @@ def incremental_vs_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """, twin AS (
   SELECT *, row_number() OVER (PARTITION BY lower(trim(company)), lower(trim(title)) ORDER BY score DESC, id) AS tr FROM r WHERE passed AND NOT blocked AND percentile >= 50 AND length(trim(description)) >= 300
 ), cap AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(company)) ORDER BY score DESC, id) AS cr FROM twin WHERE tr = 1)
-SELECT id, CASE WHEN length(description) >= 1000 THEN 'drafted' ELSE 'declined' END AS verdict, count(*) OVER () AS n FROM (SELECT * FROM cap WHERE cr <= 3 ORDER BY score DESC, id LIMIT 25)""",
+SELECT id, CASE WHEN length(description) >= 1000 THEN 'drafted' ELSE 'declined' END AS status,
+  CASE WHEN length(description) >= 1000 THEN 'Subject: Application' || chr(10) || chr(10) || 'Hello,' || chr(10) || title END AS cover_letter,
+  CASE WHEN length(description) >= 1000 THEN 'Leans on: ' || title ELSE 'Screen declined: too short' END AS notes FROM (SELECT * FROM cap WHERE cr <= 3 ORDER BY score DESC, id LIMIT 25)""",
 )
 def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score, select, and a deterministic drafter over the shortlist."""
-    from pyspark.sql import Window
-
+    """Score, select, screen and draft the shortlist, and the rows that are written to the applications."""
     p = scored_postings(spark, sf_dir)
-    none = p.limit(0).select("company", "title")
-    got = S.shortlist(p, none, floor=50.0, bonus=0.0)
-    verdict = F.when(F.length("description") >= 1000, "drafted").otherwise("declined")
-    return got.select("id", verdict.alias("verdict"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    got = S.shortlist(p, p.limit(0).select("company", "title"), floor=50.0, bonus=0.0)
+    jobs = got.select("id", F.col("description").alias("posting"), F.array("title").alias("bullets"))
+    done = guards.screen_and_draft(jobs, lambda posting: (len(posting) >= 1000, "long enough" if len(posting) >= 1000 else "too short"))
+    return guards.state_rows(done).select(F.col("job_id").alias("id"), "status", "cover_letter", "notes")
 
 
 @query(
     "probe_plan",
-    """WITH top AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 300),
-k AS (SELECT *, 'name:' || lower(trim(s_name)) AS key, left(sha256(lower(trim(s_name))), 24) AS miss FROM top)
-SELECT s_suppkey, key, miss FROM k WHERE s_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5) ORDER BY s_acctbal DESC, s_suppkey LIMIT 20""",
+    """WITH top AS (SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 300),
+r AS (SELECT *, row_number() OVER (ORDER BY s_nationkey >= 20 DESC, s_acctbal DESC, s_suppkey) AS pos FROM top)
+SELECT 'name:' || lower(trim(s_name)) AS key, s_name AS company, 'role ' || s_nationkey AS titles, left(sha256(lower(trim(s_name))), 24) AS miss FROM r WHERE s_nationkey >= 5 ORDER BY pos LIMIT 20""",
 )
 def probe_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best companies that haven't been tried, with the keys a miss is remembered by."""
-    from ..functions import text as T
-
+    """The best companies that haven't been tried, blocked ones first, with the keys a miss is remembered by."""
     s = table(spark, sf_dir, "supplier")
-    top = s.orderBy(F.desc("s_acctbal"), "s_suppkey").limit(300)
-    left = sets.new_only(top, s.filter("s_nationkey < 5"), "s_suppkey")
-    return left.orderBy(F.desc("s_acctbal"), "s_suppkey").limit(20).select("s_suppkey", T.probe_key("s_name").alias("key"), T.miss_slug("s_name").alias("miss"))
+    jobs = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("company"), F.concat(F.lit("role "), F.col("s_nationkey").cast("string")).alias("title"), F.col("s_acctbal").alias("percentile"), F.lit(True).alias("passed"), (F.col("s_nationkey") >= 20).alias("blocked"))
+    tried = s.filter("s_nationkey < 5").select(T.probe_key("s_name").alias("key"))
+    got = discover.companies_to_probe(jobs, tried)
+    return got.select("key", "company", F.array_join("titles", ",").alias("titles"), T.miss_slug("company").alias("miss"))

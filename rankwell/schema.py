@@ -30,6 +30,14 @@ def of(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def fits(x: Column | str) -> Column:
     return F.coalesce(F.length(F.col(x) if isinstance(x, str) else x).between(1, WIDTH), F.lit(False))
 

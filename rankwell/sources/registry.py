@@ -9,17 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..session import cut
 
 
 @dataclass
 class Source:
-    """``read(spark, path, config)`` gives records in the shape of ``schema.RECORD``; ``intents``
-    gives the ids to clear once the records are stored."""
+    """``read(spark, path, config)`` gives records in the shape of ``schema.RECORD``; ``intents``, with the
+    same arguments, gives the ids to clear once the records are stored."""
 
     name: str
     read: Callable[[SparkSession, str, dict], DataFrame]
     kind: str = "api"
-    intents: Callable[[DataFrame], DataFrame] | None = None
+    intents: Callable[[SparkSession, str, dict], DataFrame] | None = None
     config: dict = field(default_factory=dict)
 
 
@@ -43,28 +44,47 @@ def names() -> list[str]:
     return sorted(_SOURCES)
 
 
+def _errors(spark: SparkSession, failures: list[tuple[str, Exception]]) -> DataFrame:
+    return spark.createDataFrame([(n, f"{type(e).__name__}: {e}".splitlines()[0][:500]) for n, e in failures], "source string, error string")
+
+
 def ingest(spark: SparkSession, paths: dict[str, str], stored: DataFrame | None = None, config: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new, rejected, errors) of the sources named in ``paths``.
 
-    A source that can't be read becomes a row of ``errors`` and stops no other. Records are
-    validated, get their keys, and those whose key is stored already or seen before are left.
+    Each source is read to its end on its own: one that can't be, whether its path is wrong or
+    a file or a page breaks on the way, becomes a row of ``errors`` and stops no other. Records
+    are validated, get their keys, and those whose key is stored already or seen before are left.
     """
     from ..operators import maintain, sets
 
-    parts, failures = [], []
+    failures = []
+    records = spark.createDataFrame([], f"{schema.RECORD}, source string")
     for name, path in paths.items():
         try:
             got = get(name).read(spark, path, (config or {}).get(name, {}))
-            got.schema  # analysed here, so that a wrong path fails in its own source
-            parts.append(got.withColumn("source", F.lit(name)))
+            records = records.unionByName(cut(got.withColumn("source", F.lit(name))))
         except Exception as e:  # noqa: BLE001
-            failures.append((name, str(e).splitlines()[0][:500]))
-    errors = spark.createDataFrame(failures, "source string, error string")
-    empty = spark.createDataFrame([], f"{schema.RECORD}, source string")
-    records = empty
-    for p in parts:
-        records = records.unionByName(p)
+            failures.append((name, e))
     valid, rejected = schema.validate(records)
     keyed = maintain.generated(valid, F.xxhash64("source"), F.col("external_id")).withColumn("_pos", F.struct("source", F.coalesce("external_id", "url")))
     new = sets.new_only(keyed, stored if stored is not None else keyed.limit(0), "content_key", [F.col("_pos")])
-    return new.drop("_pos"), rejected, errors
+    return new.drop("_pos"), rejected, _errors(spark, failures)
+
+
+def after_commit(spark: SparkSession, paths: dict[str, str], errors: DataFrame, config: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(intents, errors): the ids to clear, by source, of the sources that were read without error.
+
+    To be called when the records are stored, and not before. A hook that fails stops no other.
+    """
+    failed = {r["source"] for r in errors.collect()}  # one row a source
+    intents, failures = spark.createDataFrame([], "source string, message_id string"), []
+    for name, path in paths.items():
+        hook = None if name in failed else get(name).intents
+        if hook is None:
+            continue
+        try:
+            ids = hook(spark, path, (config or {}).get(name, {}))
+            intents = intents.unionByName(cut(ids.select(F.lit(name).alias("source"), "message_id")))
+        except Exception as e:  # noqa: BLE001
+            failures.append((name, e))
+    return intents, _errors(spark, failures)

@@ -1,7 +1,7 @@
 """Messages folded into the state of applications: in batch, and as a stream.
 
-The transition is one pure function; the batch fold and the stream call it for each message
-in the order of its time.
+The transition is one pure function, which the stream calls for each message; the batch fold
+gives the same in aggregates.
 """
 
 from __future__ import annotations
@@ -42,37 +42,25 @@ def start() -> dict:
 
 
 def fold_messages(messages: DataFrame) -> DataFrame:
-    """``application_id`` with its state after all messages, oldest first (no time before all).
+    """``application_id`` with its state after all messages, oldest first (no time before all, ties by
+    message_id).
 
     ``messages``: application_id, message_id, received_at, reply_type, confidence, conclusive.
-    A message counts once, however often it occurs. One application's messages are one group;
-    ``status_by_aggregate`` says the same of the status without groups in one task.
-    """
-    cols = ["application_id", "message_id", "received_at", "reply_type", "confidence", "conclusive"]
-    kind = messages.schema["application_id"].dataType.simpleString()
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state = start()
-        rows = rows.sort_values(["received_at", "message_id"], na_position="first")
-        for r in rows.itertuples(index=False):
-            at = None if pd.isna(r.received_at) else r.received_at
-            state = transition(state, at, r.reply_type, r.confidence, r.conclusive)
-        return pd.DataFrame([{"application_id": key[0], **state}])
-
-    once = messages.select(*cols).dropDuplicates(["message_id"])
-    return once.groupBy("application_id").applyInPandas(run, f"application_id {kind}, {STATE}")
-
-
-def status_by_aggregate(messages: DataFrame) -> DataFrame:
-    """Status, moves and messages of each application, in aggregates alone.
-
-    In the order of time nothing is late, so the last message that may move decides.
+    A message counts once, however often it occurs. In the order of time nothing is late, so
+    the last message that may move decides, and aggregates say all of the state; only a stream
+    sees messages out of order and folds them one by one.
     """
     once = messages.dropDuplicates(["message_id"])
-    moves = F.col("conclusive") & (F.col("confidence") >= CONFIDENT) & F.col("reply_type").isin(*MOVES)
-    to = F.when(F.col("reply_type") == "rejection", "rejected").when(F.col("reply_type") == "interview", "interview")
-    last = F.max_by(F.when(moves, to), F.when(moves, F.struct("received_at", F.col("message_id").try_cast("long"))))
-    return once.groupBy("application_id").agg(F.coalesce(last, F.lit("sent")).alias("status"), F.count_if(moves).alias("n_moves"), F.count(F.lit(1)).alias("n_messages"))
+    moves = F.coalesce(F.col("conclusive") & (F.col("confidence") >= CONFIDENT) & F.col("reply_type").isin(*MOVES), F.lit(False))
+    to = F.create_map(*[F.lit(x) for kv in MOVES.items() for x in kv])[F.col("reply_type")]
+    last = F.max_by(F.when(moves, to), F.when(moves, F.struct("received_at", "message_id")))
+    return once.groupBy("application_id").agg(
+        F.coalesce(last, F.lit("sent")).alias("status"),
+        F.max(F.when(moves, F.col("received_at"))).alias("evidence_at"),
+        F.count_if(moves).alias("n_moves"),
+        F.count(F.lit(1)).alias("n_messages"),
+        F.lit(0).cast("long").alias("n_late"),
+    )
 
 
 def empty_runs(runs: DataFrame, key: str, at: str, got: str, most: int) -> DataFrame:

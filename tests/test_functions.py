@@ -104,3 +104,30 @@ def test_contract(spark):
     good, bad = schema.validate(df)
     assert [len(r.location) for r in good.collect()] == [255] and [r.rejected_for for r in bad.collect()] == [["company"], ["title", "url"]]
     assert json.loads(schema.of(schema.JOBS).json())["type"] == "struct"
+
+
+def test_cells(spark):
+    df = spark.createDataFrame([("https://x/?a=1&b='<\"",), ("",), (None,)], "u string")
+    got = [tuple(r) for r in df.select(T.link("u"), T.multiline("u")).collect()]
+    safe = "https://x/?a=1&amp;b=&#39;&lt;&#34;"
+    assert got[0][0] == f'<a href="{safe}" target="_blank" rel="noopener">{safe}</a>' and got[0][1].endswith(f">{safe}</div>")
+    assert got[1][0] == got[2] [0] == got[2][1] == "" and got[1][1].endswith("></div>")
+
+
+def test_zone_names(spark):
+    """What a clock shows is read back; a zone's name has to be that of the date."""
+    rows = ["2026-08-04 21:00 CEST", "2026-08-04 21:00 CET", "2026-01-04 21:00:30 CET", "2026-01-04 21:00", "2026-10-25 02:30 CEST", "soon", "", None]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = [r.x for r in df.select(F.date_format(D.parse_wall_clock("t", "Europe/Podgorica"), "yyyy-MM-dd HH:mm:ss").alias("x")).collect()]
+    assert got == ["2026-08-04 19:00:00", None, "2026-01-04 20:00:30", "2026-01-04 20:00:00", "2026-10-25 00:30:00", None, None, None]
+    utc = spark.createDataFrame([("2026-08-04 19:00:00",), ("2026-01-04 20:00:30",)], "t string").select(F.to_timestamp("t").alias("t"))
+    assert [r.x for r in utc.select(D.show_wall_clock("t", "Europe/Podgorica").alias("x")).collect()] == ["2026-08-04 21:00 CEST", "2026-01-04 21:00 CET"]
+
+
+def test_fast_patterns_are_the_slow_ones(spark):
+    from rankwell.functions import vocabulary as V
+
+    texts = ["We are HIRING", "teams", "a Team.", "roleplay", "Опыт работы", "ACTIVE ts/sci", "security  clearance", "Security Clearance", "x", "", None, "Erfahrung", "JOIN US"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(T.matches("t", V.HIRING_WORDS).alias("a"), T.matches_any("t", V.HIRING_WORDS).alias("b"), T.matches("t", V.CLEARANCE).alias("c"), T.matches_hinted("t", V.CLEARANCE, ("clearance", "active")).alias("d")).collect():
+        assert r.a == r.b and r.c == r.d

@@ -1,9 +1,12 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from rankwell import schema, settings
-from rankwell.operators import discover, guards, joins, maintain, reports, resolve, sets
-from rankwell.plans import funnel
+from rankwell import session
+from rankwell.operators import agent, discover, guards, joins, mailbox, maintain, profile, reports, resolve, scan, sets
+from rankwell.plans import endtoend
 from rankwell.streaming import fold, windows
 
 APPS = "id long, company string, thread_id string, sent_at timestamp"
@@ -71,7 +74,13 @@ def test_fold_and_stream_agree(spark, tmp_path):
     df = spark.createDataFrame(rows, ddl)
     want = {1: "rejected", 2: "sent", 3: "sent"}
     assert {r.application_id: r.status for r in fold.fold_messages(df).collect()} == want
-    assert {r.application_id: r.status for r in fold.status_by_aggregate(df.withColumn("message_id", F.ascii("message_id").cast("string"))).collect()} == want
+    # the aggregates against the transition, message by message
+    for k, g in itertools.groupby(sorted({r[:2]: r for r in rows}.values(), key=lambda r: (r[0], r[2], r[1])), key=lambda r: r[0]):
+        state = fold.start()
+        for _, _, at, kind, sure, conclusive in g:
+            state = fold.transition(state, at, kind, sure, conclusive)
+        x = fold.fold_messages(df).filter(f"application_id = {k}").first()
+        assert {c: x[c] for c in state} == state
     df.filter("message_id <> 'c'").write.parquet(str(tmp_path / "in"))
     seen = {}
 
@@ -126,7 +135,11 @@ def test_guards(spark):
 
     assert [x.outcome.verdict for x in guards.screen_and_draft(jobs, screen).collect()] == ["drafted", "declined", "error"]
     liar = lambda p, b: {"subject": "s", "body": "I am based in Portugal.", "points": list(b)}
-    assert guards.screen_and_draft(jobs.filter("posting = 'good'"), screen, liar, "Location: Serbia").first().outcome.verdict == "refused"
+    assert guards.screen_and_draft(jobs.filter("posting = 'good'"), screen, liar, "Location: Serbia").first().outcome.verdict == "fabricated"
+    loose = lambda p, b: {"subject": "s", "body": "b", "points": ["commanded several submarines"]}
+    assert guards.screen_and_draft(jobs.filter("posting = 'good'"), screen, loose).first().outcome.verdict == "refused"
+    fraud = lambda p, b: {"subject": "S", "body": "I hold an EU passport.", "points": []}
+    assert guards.screen_and_draft(jobs.filter("posting = 'good'"), screen, fraud, "Location: Serbia").first().outcome.verdict == "fabricated"
     m = spark.createDataFrame([("Update", "x", "Unfortunately we regret"), ("Sale", "y", "buy"), (None, None, None)], "subject string, from_address string, body string")
     assert [x.verdict.reply_type for x in guards.classify(m).collect()] == ["rejection", "no_reply", "no_reply"]
 
@@ -151,13 +164,13 @@ def test_asof_has_no_future(spark):
     assert {tuple(r) for r in joins.asof_latest(a, b, ["k"], "t", "t", "v").select("k", "t", "v").collect()} == {(1, 5, 50), (1, 1, None), (2, 9, None)}
 
 
-def test_funnel(spark):
+def test_match_and_shortlist(spark):
     body = "We are looking for experience with Python. " * 12
     rows = [(i, f"C{i % 4}", f"Role {i % 6}", body + str(i), "Berlin", False, f"https://x.com/{i}", None, None, None) for i in range(30)]
     ddl = "id long, company string, title string, description string, location string, is_remote boolean, url string, embedding array<float>, score double, percentile double"
-    got = funnel.match(spark.createDataFrame(rows, ddl), "python experience")
+    got = endtoend.match(spark.createDataFrame(rows, ddl), "python experience")
     assert got.count() == 30 and got.filter("score IS NULL").count() == 0
-    best = funnel.shortlist(got, got.limit(0), settings.Settings(floor=0.0)).collect()
+    best = endtoend.shortlist(got, got.limit(0), settings.Settings(floor=0.0)).collect()
     assert best and max(sum(r.company == c for r in best) for c in {r.company for r in best}) <= 3
 
 
@@ -172,8 +185,6 @@ def test_reports(spark):
 
 
 def test_scan(spark):
-    from rankwell.operators import scan
-
     apps = spark.createDataFrame([(1, "Acme", "Dev", "sent", None, ts(1), None), (2, "Globex", "Ops", "sent", "t2", ts(1), ts(20)), (3, "Gone", "X", "drafted", None, None, None)], "id long, company string, title string, status string, thread_id string, sent_at timestamp, reply_at timestamp")
     mail = [
         ("m1", "ta", "HR <hr@acme.com>", "Interview", "let us schedule an interview, next step", ts(3)),
@@ -194,8 +205,6 @@ def test_scan(spark):
 
 
 def test_notices_and_records(spark):
-    from rankwell.operators import scan
-
     apps = spark.createDataFrame([(1, "Acme", "https://hh.ru/vacancy/9"), (2, "Globex", "https://hh.ru/vacancy/8")], "id long, company string, url string")
     n = spark.createDataFrame([("a", "rejection", "9", None), ("b", "vacancy_message", "7", "Globex"), ("c", "chat", None, None), ("d", "rejection", "5", "Acme")], "message_id string, kind string, vacancy_id string, company string")
     assert {r.message_id: (r.application_id, r.route, r.conclusive) for r in scan.route_notices(n, apps).collect()} == {"a": (1, "rejection", True), "b": (2, "message", False), "c": (None, "clear", False), "d": (None, "clear", False)}
@@ -205,3 +214,257 @@ def test_notices_and_records(spark):
     links, plan = scan.record_applications(replies, jobs, old, 9)
     assert {(r.job_id, r.application_id, r.thread_id, r.new_job, r.new_application) for r in plan.collect()} == {(6, 70, "u", False, False), (None, None, "v", True, True)}
     assert links.count() == 3
+
+
+def test_runs_of_many_words(spark):
+    """A name that a text spells in more than six words, and what is no whole run."""
+    rows = [("We at A B C D E F G H I are glad", "abcdefghi", True), ("x ab cd", "abc", False), ("one two", "onetwo", True), ("tone two", "onetwo", False), ("", "abc", False), ("abc", "", False)]
+    df = spark.createDataFrame(rows, "text string, company string, want boolean")
+    assert [r.got for r in df.select(resolve.names_company("text", "company").alias("got")).collect()] == [w for *_, w in rows]
+    apps = spark.createDataFrame([(i + 1, c, None, None) for i, (_, c, _) in enumerate(rows)], APPS)
+    mail = spark.createDataFrame([(str(i + 1), "", "x@gmail.com", t, "", None) for i, (t, _, _) in enumerate(rows)], MAIL)
+    # message 1 names abc as well, by a shorter run, so it is nobody's; of one company's applications one is taken
+    got = {r.message_id: (r.application_id, r.conclusive) for r in resolve.match_replies(mail, apps).collect()}
+    assert got == {"3": (3, False), "6": (2, False)}
+
+
+def test_matching_is_brute_force(spark):
+    """Candidates by equality against every pair tested with the predicates."""
+    import random
+
+    r = random.Random(4)
+    parts = ["nord", "sud", "bau", "soft", "data", "werk", "labs", "north star", "x", "acme", "acmebau", "group"]
+    names = sorted({" ".join(r.sample(parts, r.randint(1, 3))).title() for _ in range(60)})
+    apps = [(i, n, None, None) for i, n in enumerate(names)]
+    mails = []
+    for i in range(80):
+        said = r.choice(names)
+        text = r.choice([said, said.replace(" ", ""), " ".join(said.replace(" ", "")), "about " + " ".join(reversed(said.split())), r.choice(parts)])
+        host = r.choice(["gmail", said.lower().replace(" ", ""), said.lower().split()[0] + "jobs", "elsewhere"])
+        mails.append((str(i), "", f"a@{host}.com", text, "", None))
+    a, m = spark.createDataFrame(apps, APPS), spark.createDataFrame(mails, MAIL)
+    got = {x.message_id: (x.application_id, x.strategy) for x in resolve.match_replies(m, a).collect()}
+    both = m.crossJoin(a.select("id", "company"))
+    generic = resolve.is_generic_sender(F.regexp_extract("from_address", "@(.*)$", 1))
+    tried = both.select("message_id", "id", (~generic & resolve.is_company_domain("company", F.regexp_extract("from_address", "@(.*)$", 1))).alias("domain"), resolve.names_company("subject", "company").alias("subject")).collect()
+    want = {}
+    for k in {x.message_id for x in tried}:
+        for how in ("domain", "subject"):
+            ids = [x.id for x in tried if x.message_id == k and x[how]]
+            if len(ids) == 1:
+                want[k] = (ids[0], how)
+                break
+    assert got == want and len(want) > 20
+
+
+def test_contains_join_is_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    words = ["a", "bb", "ccc", "dd.", "e,", "ff\tg", "hh\nii"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 14))) for _ in range(60)] + ["", None, "bb"] * 2
+    needles = [" ".join(r.choice(words) for _ in range(r.randint(1, 4))) for _ in range(30)] + [texts[3][2:11], texts[5][1:6], "b", "c d", None, "zzz", "bb", "bb"]
+    t = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    n = spark.createDataFrame(list(enumerate(needles)), "i int, needle string")
+    got = sorted((x.k, x.i) for x in joins.contains_join(t, n, "text", "needle").collect())
+    want = sorted((k, i) for k, x in enumerate(texts) for i, y in enumerate(needles) if x is not None and y and y.strip() and y in x)
+    assert got == want and len(want) > 30
+
+
+@pytest.mark.parametrize("itself", [True, False])
+def test_interval_unique_is_brute_force(spark, itself):
+    import random
+
+    r = random.Random(2)
+    rows = [(i, r.choice("ab"), r.randint(0, 60)) for i in range(60)]
+    a = spark.createDataFrame(rows, "id int, k string, t long")
+    b = a.withColumnRenamed("id", "other") if itself else a.filter("id % 2 = 0").withColumn("other", F.col("id") + 1000)
+    theirs = rows if itself else [(i + 1000, k, t) for i, k, t in rows if i % 2 == 0]
+    got = {(x.id, x.other) for x in joins.interval_unique(a, b, ["k"], "t", 1, "id", "other", itself).collect()}
+    want = set()
+    for i, k, t in rows:
+        near = [j for j, q, u in theirs if q == k and abs(t - u) <= 1 and not (itself and i == j)]
+        if len(near) == 1:
+            want.add((i, near[0]))
+    assert got == want and want
+
+
+def test_lessons_are_for_later_messages(spark):
+    """A thread that a match taught serves the messages after it alone; a lesson that falls away teaches nobody."""
+    apps = spark.createDataFrame([(1, "Acme", "Dev", "sent", None, ts(1), None), (2, "Globex", "Dev", "sent", None, ts(1), None)], "id long, company string, title string, status string, thread_id string, sent_at timestamp, reply_at timestamp")
+    mail = [
+        ("early", "t", "x@gmail.com", "hello", "", ts(2)),
+        ("none", "t", "x@gmail.com", "hello", "", None),
+        ("teach", "t", "hr@acme.com", "hello", "", ts(3)),
+        ("late", "t", "x@gmail.com", "hello", "", ts(4)),
+        ("other", "t", "hr@globex.com", "hello", "", ts(5)),  # by its sender Globex, but the thread is Acme's by now
+        ("after", "u", "x@gmail.com", "hello", "", ts(6)),
+    ]
+    found, known = scan.match_to_fixpoint(spark.createDataFrame(mail, MAIL), apps)
+    assert {r.message_id: (r.application_id, r.strategy) for r in found.collect()} == {"teach": (1, "domain"), "late": (1, "thread"), "other": (1, "thread")}
+    assert {r.id: r.thread_id for r in known.collect()} == {1: "t", 2: None} and known.columns == apps.columns
+
+
+JOBS = "id long, title string, company string, location string, url string, description string, apply_channel string, bullets array<string>"
+BULLETS = ["Built streaming pipelines with Spark", "Wrote parsers in Python"]
+
+
+def calls():
+    """Models that follow what the posting says; each call is noted in the prompt it answers."""
+
+    def screen(prompt):
+        if "BROKEN" in prompt:
+            raise RuntimeError("no answer")
+        return {"worth": "POOR" not in prompt, "reasoning": "read"}
+
+    def research(prompt):
+        if "Silent" in prompt:
+            raise TimeoutError("search")
+        return " makes bread "
+
+    def draft(prompt, bullets):
+        if "LIAR" in prompt:
+            return {"subject": "S", "body": "B", "points": ["Commanded several submarines underwater"]}
+        if "FRAUD" in prompt:
+            return {"subject": "S", "body": "I hold an EU passport.", "points": []}
+        return {"subject": "S", "body": "second" if "REVISION" in prompt else "first", "points": bullets[:1]}
+
+    def critic(prompt):
+        assert "EXPERIENCE" in prompt
+        return {"approved": "first" not in prompt and "NEVER" not in prompt, "issues": "too short"}
+
+    return agent.Calls(screen, draft, critic, research)
+
+
+def test_agent(spark):
+    text = ["fine", "POOR fit", "LIAR", "FRAUD", "BROKEN", "NEVER good"]
+    rows = [(i, "Dev", "Silent" if i == 0 else "Acme", None, "u", t, "email", BULLETS) for i, t in enumerate(text)] + [(9, None, None, None, None, None, None, [])]
+    done = agent.run_agent(spark.createDataFrame(rows, JOBS), calls, "Location: Serbia")
+    got = {r.id: r.outcome for r in done.collect()}
+    assert {k: o.verdict for k, o in got.items()} == {0: "drafted", 1: "declined", 2: "refused", 3: "fabricated", 4: "error", 5: "drafted", 9: "drafted"}
+    assert (got[0].body, got[0].approved, got[0].revisions, got[0].research) == ("second", True, 1, "")
+    assert (got[5].approved, got[5].revisions, got[5].critique, got[5].research) == (False, 1, "too short", "makes bread")
+    assert got[2].body is None and "submarines" in got[2].detail and "passport" in got[3].detail and "no answer" in got[4].detail
+    rows = {r.job_id: r for r in agent.agent_rows(done).collect()}
+    assert set(rows) == {0, 1, 2, 5, 9}
+    assert (rows[1].status, rows[1].notes, rows[1].cover_letter) == ("declined", "Agent declined: read", None)
+    assert rows[2].notes.startswith("Agent refused (ungrounded): ") and rows[0].cover_letter == "Subject: S\n\nsecond"
+    assert rows[5].notes == "Leans on: Built streaming pipelines with Spark\nReviewer (unresolved): too short\nCompany: makes bread"
+
+
+def test_drafts_over_the_top(spark):
+    profile_text = "# Me\n" + "\n".join(f"- {b}, for several years" for b in BULLETS)
+    rows = [(i, "Dev", f"C{i}", None, "u", "fine " * 100, "email", None, 0.5 + i / 100, 99.0, True, False, i % 2 == 0) for i in range(8)]
+    jobs = spark.createDataFrame(rows, JOBS + ", score double, percentile double, passed boolean, blocked boolean, is_remote boolean")
+    jobs = agent.X.embed(jobs.drop("bullets"), "description")
+    apps = spark.createDataFrame([(6, "sent"), (4, "drafted")], "job_id long, status string")
+    got = agent.agent_draft(jobs, apps, profile_text, calls, limit=3).collect()
+    assert sorted(r.job_id for r in got) == [2, 4]  # remote ones first; 6 was sent
+    assert agent.retrieve(jobs, profile_text, k=1).first().bullets[0].endswith("for several years")
+    assert agent.retrieve(jobs, "", k=1).first().bullets == []
+    state, tally = agent.draft(jobs, jobs.limit(0), profile_text, calls, ids=[1, 3])
+    assert sorted((r.job_id, r.status) for r in state.collect()) == [(1, "drafted"), (3, "drafted")] and [tuple(r) for r in tally.collect()] == [("drafted", 2)]
+    state, _ = agent.draft(jobs, jobs.filter("id = 7"), profile_text, calls, top_n=3)
+    assert sorted(r.job_id for r in state.collect()) == [4, 5, 6]  # a remote one counts 0.02 more
+
+
+def test_profile(spark, tmp_path):
+    (tmp_path / "dev.md").write_text("Role header\nLocation: Serbia\n", encoding="utf-8")
+    assert profile.load_profile(spark, str(tmp_path), "dev") == "Role header\nLocation: Serbia" and profile.load_style(spark, str(tmp_path)) == ""
+    (tmp_path / "shared.md").write_text("\nShared block\n", encoding="utf-8")
+    (tmp_path / "writing_style.md").write_text("Short.\n", encoding="utf-8")
+    text = profile.load_profile(spark, str(tmp_path), "dev")
+    assert text == "Role header\nLocation: Serbia\n\nShared block" and profile.load_style(spark, str(tmp_path)) == "Short."
+    assert profile.load_constraints(spark, text) == "Location: Serbia"
+    with pytest.raises(FileNotFoundError):
+        profile.load_profile(spark, str(tmp_path), "nobody")
+
+
+def test_mailbox(spark):
+    apps = spark.createDataFrame([(1, "t1", "rejected"), (2, "t2", "rejected"), (3, "t2", "sent"), (4, "t4", "rejected"), (5, None, "rejected")], "id long, thread_id string, status string")
+    mail = spark.createDataFrame([("a", "t1", ["INBOX"]), ("b", "t1", ["SENT"]), ("c", "t2", ["INBOX"]), ("d", "t4", ["INBOX"])], "message_id string, thread_id string, labels array<string>")
+    assert sorted(r.message_id for r in mailbox.rejected_mail(apps, mail).collect()) == ["a", "d"]
+    assert [r.message_id for r in mailbox.rejected_mail(apps, mail, spark.createDataFrame([(4,)], "id long")).collect()] == ["d"]
+    alerts = spark.createDataFrame([("x",), ("y",), ("d",)], "message_id string")
+    records = spark.createDataFrame([("x", "k1"), ("x", "k2"), ("y", "k1"), ("y", "k9")], "message_id string, content_key string")
+    stored = spark.createDataFrame([("k1",), ("k2",)], "content_key string")
+    assert sorted((r.message_id, r.why) for r in mailbox.tidy(alerts, records, stored, apps, mail).collect()) == [("a", "rejected"), ("d", "rejected"), ("x", "alert")]
+
+    def trash(message_id):
+        import urllib.error
+
+        if message_id in ("c", "d"):
+            raise urllib.error.HTTPError("u/" + message_id, 400, "Precondition check failed.", None, None)
+        if message_id == "e":
+            raise ValueError("odd")
+
+    done = mailbox.clear(spark.createDataFrame([(x,) for x in "abcdef"], "message_id string"), trash)
+    assert {r.message_id for r in done.collect() if r.cleared} == {"a", "b", "f"}
+    assert mailbox.cleared_note(done) == "3 cleared, 3 failed (HTTP 400 Precondition check failed. x2; ValueError: odd x1)"
+    assert mailbox.cleared_note(done.filter("cleared")) == "3 cleared"
+
+
+def test_versions(spark, tmp_path):
+    """A snapshot reads what was in force when it was taken; a commit is all or nothing."""
+    folder, df = str(tmp_path / "store"), spark.range(3)
+    session.commit(spark, {"jobs": df, "sources": df.limit(1)}, folder)
+    before = session.snapshot(spark, folder)
+    session.commit(spark, {"jobs": df.filter("id > 0"), "sources": df}, folder)
+    assert before("jobs").count() == 3 and before("sources").count() == 1
+    with pytest.raises(Exception):
+        session.commit(spark, {"jobs": df.limit(1), "sources": df.select(F.raise_error(F.lit("no")).cast("string").alias("x"))}, folder)
+    now = session.snapshot(spark, folder)
+    assert now("jobs").count() == 2 and now("sources").count() == 3
+
+
+def test_probe(spark):
+    companies = spark.createDataFrame([("name:acme", "Blue Acme", ["Dev"]), ("name:globex", "Globex", ["Ops"]), ("name:none", "Nobody", ["X"])], "key string, company string, titles array<string>")
+
+    def board(provider, slug):
+        if slug == "nobody":
+            raise TimeoutError
+        known = {("lever", "blueacme"): {"company": "Blue Acme", "titles": ["other"]}, ("ashby", "blue-acme"): {"company": "x", "titles": ["DEV"]}, ("greenhouse", "globex"): {"company": "globex", "titles": ["OPS!"]}}
+        return known.get((provider, slug))
+
+    boards, gone = discover.probe(companies, board, ("greenhouse", "lever", "ashby"))
+    assert {tuple(r) for r in boards.collect()} == {("ashby", "blue-acme", "name:acme"), ("greenhouse", "globex", "name:globex")}
+    assert [r.discovered_from for r in gone.collect()] == ["name:nobody"]
+
+
+def test_employers_are_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    parts = ["nord", "sud", "bau", "soft", "data", "werk", "labs", "star", "general", "group", "x"]
+    names = lambda n: sorted({" ".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(n)} | {"nsd", "norddata", "", "gs"})
+    a, b = spark.createDataFrame([(x,) for x in names(50)], "rc string"), spark.createDataFrame([(x,) for x in names(50)], "ac string")
+    got = {tuple(x) for x in resolve.employers(a, b).collect()}
+    want = {tuple(x) for x in a.crossJoin(b).filter(resolve.same_company("rc", "ac")).collect()}
+    assert got == want and len(want) > 40
+
+
+def test_review_queue(spark):
+    replies = spark.createDataFrame([("m1", ts(5), None, "Acme", "Dev"), ("m2", ts(6), None, "Nowhere", None), ("m3", ts(7), 1, "Acme", "Dev"), ("m4", None, None, None, None)], "message_id string, received_at timestamp, application_id long, detected_company string, detected_role string")
+    apps = spark.createDataFrame([(1, "ACME Inc", "Ops", ts(4)), (2, "Other", "Work at Acme", ts(1)), (3, "Else", "Dev", ts(4))], "id long, company string, title string, sent_at timestamp")
+    got = [(r.message_id, r.similar and [tuple(x) for x in r.similar]) for r in scan.review_queue(replies, apps).collect()]
+    assert got == [("m2", None), ("m1", [(1, "same employer"), (2, "employer named in the title"), (3, "same role, sent the same week")])]
+
+
+def test_whole_way(spark, tmp_path):
+    """From files to drafts: a broken source stops nothing, a stored job isn't new, the handled one isn't drafted."""
+    import json
+
+    body = "<p>We are looking for experience with Spark and Python. " + "Pipelines are built by the team. " * 20 + "</p>"
+    rows = [{"slug": f"s{i}", "company_name": f"C{i}", "title": f"Engineer {i}", "url": f"https://x/{i}", "remote": True, "created_at": 1785837600, "description": body} for i in range(6)]
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps({"data": rows}))
+    (tmp_path / "broken.json").write_text("{")
+    profile_text = "\n".join(f"- {b}, for several years" for b in BULLETS)
+    handled = spark.createDataFrame([("c1", "engineer 1")], "company string, title string")
+    got = endtoend.run(spark, {"arbeitnow": str(path), "remotive": "/nowhere.json"}, profile_text, calls, handled=handled, settings=settings.Settings(floor=0.0, top_n=4))
+    assert got.jobs.count() == 6 and [r.source for r in got.errors.collect()] == ["remotive"]
+    rows = got.rows.collect()
+    titles = {r.id: r.title for r in got.jobs.collect()}
+    assert len(rows) == 4 and {r.status for r in rows} == {"drafted"} and "Engineer 1" not in {titles[r.job_id] for r in rows}
+    again = endtoend.run(spark, {"arbeitnow": str(path)}, profile_text, calls, stored=got.jobs, settings=settings.Settings(floor=0.0))
+    assert again.jobs.count() == 6

@@ -1,5 +1,10 @@
+import dataclasses
+import datetime
 import json
+import threading
 import urllib.error
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
 
 import pytest
 
@@ -12,6 +17,9 @@ def write(tmp_path, name, content):
     return str(p)
 
 
+RSS = '<rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>{}</channel></rss>'
+
+
 def test_json_feeds(spark, tmp_path):
     p = write(tmp_path, "r.json", {"0-legal": "x", "jobs": [{"id": 1, "url": "https://a/1", "title": "Dev", "company_name": "Acme", "publication_date": "2026-01-02T03:04:05", "candidate_required_location": "EU", "description": "<p>Hi</p>"}, {"id": 2, "title": "no url"}]})
     r = feeds.remotive(spark, p, {}).collect()
@@ -28,12 +36,19 @@ def test_json_feeds(spark, tmp_path):
 
 
 def test_xml_feeds(spark, tmp_path):
-    item = "<item><title>{}</title><region>EU</region><link>https://w/{}?utm=1</link><guid>https://w/g{}</guid><pubDate>Tue, 04 Aug 2026 10:00:00 +0000</pubDate><description>&lt;p&gt;Body&lt;/p&gt;</description>{}</item>"
-    p = write(tmp_path, "w.rss", '<rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>' + item.format("Acme: Dev: Ops", 1, 1, "") + item.format("No separator", 2, 2, "<content:encoded><![CDATA[<p>Офис Минск</p><p>text</p>]]></content:encoded>") + "</channel></rss>")
+    item = "<item><title>{}</title><region>EU</region><link>https://w/{}?utm=1</link><guid>https://teletype.in/@me/g{}</guid><pubDate>Tue, 04 Aug 2026 10:00:00 +0000</pubDate><description>&lt;p&gt;Body&lt;/p&gt;</description>{}</item>"
+    encoded = "<content:encoded><![CDATA[<p>{}</p><p>text</p>]]></content:encoded>"
+    p = write(tmp_path, "w.rss", RSS.format(item.format("Acme: Dev: Ops", 1, 1, "") + item.format("No separator", 2, 2, encoded.format("Офис Минск"))))
     r = feeds.weworkremotely(spark, p, {}).collect()
     assert [(x.company, x.title, x.location, x.description) for x in r] == [("Acme", "Dev: Ops", "EU", "Body")] and str(r[0].posted_at) == "2026-08-04 10:00:00"
-    r = {x.external_id: x for x in feeds.teletype(spark, p, {"author": "me"}).collect()}
-    assert r["g2"].location == "Офис Минск" and r["g2"].company == "Teletype (me)" and r["g2"].url == "https://w/2"
+    # the first line is the place by its words, cut; remote by the word in the raw body
+    long = "Hybrid, Kyiv " + "x" * 300
+    posts = [item.format(f"P{i}", i, i, encoded.format(t)) for i, t in enumerate(["Офис Минск", "Relocation only", long, "Berlin<i title='remote'>!</i>", "Remote OK"])] + [item.format("", 9, 9, ""), item.format("No body", 8, 8, "").replace("&lt;p&gt;Body&lt;/p&gt;", "")]
+    r = {x.external_id: x for x in feeds.teletype(spark, write(tmp_path, "t.rss", RSS.format("".join(posts))), {"author": "me"}).collect()}
+    assert set(r) == {"g0", "g1", "g2", "g3", "g4"}
+    assert [r[f"g{i}"].location for i in range(5)] == [None, "Relocation only", long[:200], None, "Remote OK"]
+    assert [r[f"g{i}"].is_remote for i in range(5)] == [False, False, False, True, True]
+    assert r["g0"].company == "Teletype (me)" and r["g0"].url == "https://w/0" and r["g0"].description == "Офис Минск\ntext"
 
 
 def test_boards(spark, tmp_path):
@@ -47,16 +62,89 @@ def test_boards(spark, tmp_path):
     assert r.url == "https://jobs.smartrecruiters.com/Acme/9" and r.location == "Wien, AT"
 
 
+GOOD = {"data": [{"slug": "s", "company_name": "C", "title": "T", "url": "https://x/1", "remote": True, "created_at": 1785837600}, {"slug": "s", "company_name": "C", "title": "T", "url": "https://x/2"}]}
+
+
 def test_ingest_isolates_sources(spark, tmp_path):
-    good = write(tmp_path, "a.json", {"data": [{"slug": "s", "company_name": "C", "title": "T", "url": "https://x/1", "remote": True, "created_at": 1785837600}, {"slug": "s", "company_name": "C", "title": "T", "url": "https://x/2"}]})
-    new, rejected, errors = registry.ingest(spark, {"arbeitnow": good, "unknown": "nowhere"})
-    assert new.count() == 1 and rejected.count() == 0 and [r.source for r in errors.collect()] == ["unknown"]
+    """A wrong name, a wrong path and a source that breaks while it is read stop no other."""
+
+    def breaking(spark, path, config):
+        from pyspark.sql import functions as F
+
+        return feeds.arbeitnow(spark, path, config).withColumn("title", F.raise_error(F.lit("broken page")).cast("string"))
+
+    registry._SOURCES["breaking"] = registry.Source("breaking", breaking)
+    try:
+        good = write(tmp_path, "a.json", GOOD)
+        new, rejected, errors = registry.ingest(spark, {"breaking": good, "remotive": str(tmp_path / "none.json"), "arbeitnow": good, "unknown": "nowhere"})
+        assert new.count() == 1 and rejected.count() == 0
+        assert sorted(r.source for r in errors.collect()) == ["breaking", "remotive", "unknown"] and "broken page" in str(errors.collect())
+    finally:
+        del registry._SOURCES["breaking"]
     with pytest.raises(KeyError):
         registry.get("unknown")
     with pytest.raises(ValueError):
         registry.register(registry.get("arbeitnow"))
 
 
+def test_intents_follow_the_commit(spark, tmp_path):
+    """Alerts that gave records and discarded mail, of the sources that were read; a broken hook is told."""
+    mails = {"m1": ("a@hh.ru", HTML["hh"][1]), "m2": ("a@hh.ru", "<p>nothing</p>"), "m3": ("x@spam.com", "<p>buy</p>")}
+    for k, (sender, body) in mails.items():
+        (tmp_path / f"{k}.eml").write_text(f"From: {sender}\nSubject: s\nMessage-ID: <{k}>\nMIME-Version: 1.0\nContent-Type: text/html; charset=utf-8\n\n{body}", encoding="utf-8")
+    paths, config = {"gmail_alerts": str(tmp_path)}, {"gmail_alerts": {"discard": ["@SPAM.com"]}}
+    new, _, errors = registry.ingest(spark, paths, config=config)
+    assert new.count() == 1
+    intents, failed = registry.after_commit(spark, paths, errors, config)
+    assert sorted(r.message_id for r in intents.collect()) == ["m1", "m3"] and failed.count() == 0
+    bad = spark.createDataFrame([("gmail_alerts", "x")], "source string, error string")
+    assert registry.after_commit(spark, paths, bad, config)[0].count() == 0
+    assert [r.source for r in registry.after_commit(spark, {"gmail_alerts": "/nowhere/at/all"}, errors)[1].collect()] == ["gmail_alerts"]
+
+
+@pytest.fixture
+def server():
+    """An HTTP server on this machine; pages by path and number, with a first answer that fails."""
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            url = urlsplit(self.path)
+            q = parse_qs(url.query)
+            seen.append(self.path)
+            if url.path == "/jobs" and len(seen) == 1:
+                self.send_error(503)
+                return
+            page, lang = int(q.get("page", ["1"])[0]), q.get("lang", ["x"])[0]
+            rows = [{"slug": f"{lang}{page}", "company_name": "C", "title": f"T{page}", "url": f"https://x/{lang}/{page}"}] if page < 3 else []
+            feed = RSS.format(f"<item><title>Acme: {url.path}</title><link>https://w{url.path}</link><guid>g</guid><description>b</description></item>")
+            body = json.dumps({"data": rows}) if url.path == "/jobs" else json.dumps([{"id": "7", "company": "A", "position": "P", "url": "https://b/7"}]) if url.path == "/one" else feed
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *args):
+            pass
+
+    srv = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=srv.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{srv.server_port}", seen
+    srv.shutdown()
+
+
+def test_sources_fetch(spark, server):
+    """Pages of each variant up to the first empty one; one address; feeds of several authors; through ingest."""
+    base, seen = server
+    r = feeds.arbeitnow(spark, base + "/jobs", {"variants": [{"lang": "de"}, {"lang": "en"}], "page": "page", "pages": 9}).collect()
+    assert sorted(x.url for x in r) == ["https://x/de/1", "https://x/de/2", "https://x/en/1", "https://x/en/2"]
+    assert not any("page=4" in u for u in seen)
+    assert [x.url for x in feeds.remoteok(spark, base + "/one", {}).collect()] == ["https://b/7"]
+    r = feeds.weworkremotely(spark, base, {"paths": ["/a", "/b"]}).collect()
+    assert sorted(x.title for x in r) == ["/a", "/b"]
+    new, _, errors = registry.ingest(spark, {"remoteok": base + "/one", "remotive": "http://127.0.0.1:9/none"})
+    assert new.count() == 1 and [x.source for x in errors.collect()] == ["remotive"]
+
+
 def test_retries():
     def refusing(code, calls):
         def open_(url):
@@ -65,11 +153,27 @@ def test_retries():
 
         return open_
 
+    quick = dataclasses.replace(http.FEED, sleep=lambda s: None)
     for code, n in ((503, 3), (429, 3), (404, 1)):
         calls = []
         with pytest.raises(urllib.error.HTTPError):
-            http.fetch("u", refusing(code, calls), sleep=lambda s: None)
+            http.fetch("u", refusing(code, calls), quick)
         assert len(calls) == n
+    waits = []
+    mailbox_policy = dataclasses.replace(http.MAIL, sleep=waits.append)
+    for code, reason, n in ((503, "x", 7), (429, "x", 7), (403, "Quota exceeded for quota metric", 7), (403, "insufficient scope", 1), (400, "x", 1)):
+        calls = []
+
+        def refuse(code=code, reason=reason, calls=calls):
+            calls.append(1)
+            raise urllib.error.HTTPError("u", code, reason, None, None)
+
+        with pytest.raises(urllib.error.HTTPError):
+            http.call(refuse, mailbox_policy)
+        assert len(calls) == n
+    assert all(0 <= w <= 60 for w in waits)
+    pages = {None: {"messages": [1, 2], "nextPageToken": "b"}, "b": {"nextPageToken": "c"}, "c": {"messages": [3]}}
+    assert list(http.listed(pages.__getitem__, "messages")) == [1, 2, 3]
     seen = []
 
     def opener(url):
@@ -106,10 +210,14 @@ def test_alerts(board):
 
 
 def test_plain_alerts():
-    now = "Backend Dev  Acme  / 11-50 Employees  €50k | Remote only, Berlin | Full-time  Actively Hiring\n<https://wellfound.com/jobs/66-backend-dev?utm=1>"
-    old = "Dev\n\nAcme / 11-50 Employees\n\n$5k | Lisbon | 2 years of exp | Full-time\n\nhttps://wellfound.com/jobs?job_listing_slug=77-dev"
+    now = "Hello,\n\nnew roles for you\n\nBackend Dev  Acme  / 11-50 Employees  €50k | Remote only, Berlin | Full-time  Actively Hiring\n<https://wellfound.com/jobs/66-backend-dev?utm=1>"
+    wrapped = "Senior Backend\nEngineer  Big \nCorp  $100k – $120k | In office or remote, Lisbon\n| 3 years of exp  Learn more\n<https://wellfound.com/jobs/67-senior>\n\nOps Dev  Tiny  0.5% – 1.0% | Remote  <https://wellfound.com/jobs/68-ops>"
+    old = "New jobs\n\nDev\n\nAcme / 11-50 Employees\n\n$5k | Lisbon | 2 years of exp | Full-time\n\nhttps://wellfound.com/jobs?job_listing_slug=77-dev"
     ind = "Dev\nAcme - Bonn\n€50k\nGreat snippet\n2 days ago\nhttps://de.indeed.com/x?a=1&jk=0ab9"
-    assert [(r["company"], r["title"], r["location"], r["is_remote"]) for r in mail.parse_alert("x@wellfound.com", "", now)] == [("Acme", "Backend Dev", "Berlin", True)]
+    of = lambda text: [(r["external_id"], r["company"], r["title"], r["location"], r["is_remote"]) for r in mail.parse_alert("x@wellfound.com", "", text)]
+    assert of(now) == [("66", "Acme", "Backend Dev", "Berlin", True)]
+    assert of(wrapped) == [("67", "Big Corp", "Senior Backend Engineer", "In office or remote, Lisbon", True), ("68", "Tiny", "Ops Dev", "Remote", True)]
+    assert of(old) == [("77", "Acme", "Dev", "Lisbon", False)] and of("no card\n\nhttps://wellfound.com/jobs/1-x") == []
     assert [(r["external_id"], r["location"], r["title"]) for r in mail.parse_alert("x@wellfound.com", "", old)] == [("77", "Lisbon", "Dev")]
     assert [(r["url"], r["description"], r["location"]) for r in mail.parse_alert("x@indeed.com", "", ind)] == [("https://de.indeed.com/viewjob?jk=0ab9", "Great snippet", "Bonn")]
     assert mail.parse_alert("x@else.com", "", "y") == []
@@ -126,3 +234,12 @@ def test_mail_files(spark, tmp_path):
     assert [r.message_id for r in mail.clear_intents(mail.alert_records(m)).collect()] == ["m1"]
     n = spark.createDataFrame([("1", "Сообщение от работодателя", "<p>Компания: Acme.</p><a href='https://hh.ru/vacancy/9'>x</a>", None), ("2", "Sale", "", None)], "message_id string, subject string, html string, received_at timestamp")
     assert [(r.kind, r.vacancy_id, r.company) for r in mail.notices(n).collect()] == [("vacancy_message", "9", "Acme")]
+
+
+def test_incoming_counts_from_the_run(spark):
+    at = lambda d: datetime.datetime(2026, 8, d)
+    rows = [("a", "x@y.com", at(1), ["INBOX"]), ("b", "x@y.com", at(20), ["INBOX"]), ("c", "n@linkedin.com", at(20), ["INBOX"]), ("d", "x@y.com", at(21), ["INBOX", "CATEGORY_PROMOTIONS"]), ("e", "x@y.com", at(21), ["SENT"]), ("f", "x@y.com", None, ["INBOX"])]
+    df = spark.createDataFrame(rows, "message_id string, from_address string, received_at timestamp, labels array<string>")
+    assert [r.message_id for r in mail.incoming(df, 14, exclude=("LinkedIn.com",), now=at(22)).collect()] == ["b"]
+    assert mail.incoming(df.drop("labels"), 14, now=datetime.datetime(2027, 1, 1)).count() == 0
+    assert mail.incoming(df.drop("labels"), 30, most=2, now=at(22)).count() == 2
