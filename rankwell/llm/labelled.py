@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,31 +34,36 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> DataFr
     return some.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")).select("doc_id", "text", "y")
 
 
+def packed(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending buckets and whole counts in few bytes."""
+    return zlib.compress(np.diff(at, prepend=0).astype(np.uint32).tobytes() + n.astype(np.uint32).tobytes(), 1)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(blob), np.uint32)
+    half = len(raw) // 2
+    return np.cumsum(raw[:half]).astype(np.int32), raw[half:].astype(np.float32)
+
+
 def learned(rows: DataFrame, features: Subwords, fit: Callable[[list[np.ndarray], list[np.ndarray], list], object]) -> object:
     """What ``fit`` makes of the buckets, the counts and the y of all rows of a ``sample``.
 
-    The features are made in parallel and brought to one task, which the sample bounds; ``fit``
-    runs there, with the rows in the order of doc_id, and only its result comes to the driver.
+    The features are made in parallel and brought, packed, to one task, which the sample
+    bounds; ``fit`` runs there, with the rows in the order of doc_id, and only its result comes
+    to the driver.
     """
-    count_schema = T.StructType([rows.schema["doc_id"], T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.FloatType())), rows.schema["y"]])
+    count_schema = T.StructType([rows.schema["doc_id"], T.StructField("x", T.BinaryType()), rows.schema["y"]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [features.counts(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([a for a, _ in got], pa.list_(pa.int32())), pa.array([n for _, n in got], pa.list_(pa.float32())), batch.column("y")],
-                names=["doc_id", "at", "n", "y"],
-            )
+            got = [packed(*features.counts(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.binary()), batch.column("y")], names=["doc_id", "x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, at, n, y = [], [], [], []
-        for x in batches:
-            ids += x.column("doc_id").to_pylist()
-            at += [np.array(a.values) for a in x.column("at")]
-            n += [np.array(a.values) for a in x.column("n")]
-            y += x.column("y").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: ids[i])
-        made = fit([at[i] for i in order], [n[i] for i in order], [y[i] for i in order])
+        got = [row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "x", "y")), strict=True)]
+        got.sort(key=lambda row: row[0])
+        both = [unpacked(x) for _, x, _ in got]
+        made = fit([a for a, _ in both], [n for _, n in both], [y for _, _, y in got])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["model"])
 
     got = rows.select("doc_id", "text", "y").mapInArrow(count, count_schema).repartition(1).mapInArrow(run, "model binary").collect()

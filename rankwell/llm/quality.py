@@ -45,12 +45,12 @@ def fit(at: list[np.ndarray], n: list[np.ndarray], y: list[int], buckets: int, d
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     layer, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     v2, l2, b2 = np.full(buckets, 1e-8, np.float32), np.full((dim, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    share = [c / c.sum() for c in n]
+    total = [c.sum() for c in n]
     epochs = max(epochs, -(-STEPS // len(y)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(y)):
-            a, w = at[i], share[i]
+            a, w = at[i], n[i] / total[i]
             hidden = w @ vectors[a]
             z = hidden @ layer + bias
             p = np.exp(z - z.max())
