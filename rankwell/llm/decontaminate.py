@@ -3,13 +3,14 @@
 Items are cut into windows of ten consecutive words (shorter items are one window). To hold
 a window, a document must hold all its words, so the necessary prefix of a window is a single
 token, and the best one is its rarest: word counts over all documents order the words of each
-window by rarity. The documents' words are joined with these prefix tokens alone. A match at
-position p of a prefix token that stands at offset o of its window bounds the window's only
-possible place: it starts at p - o, which must not be negative, and ends within the document.
-What passes is verified word by word.
-
-The windows are broadcast in blocks of a fixed size, whatever the benchmark's; each block is
-one pass over the documents.
+window by rarity. The documents' words are joined with these prefix tokens alone, each of which
+has the places (offset and length) that it has in windows, 55 at most, however many windows
+share it. A match at position p of a prefix token that stands at offset o of a window bounds
+the window's only possible place: it starts at p - o, which must not be negative, and ends
+within the document. What stands there is joined with the windows as a whole, word for word.
+
+The prefix tokens are broadcast in blocks of a fixed size, whatever the benchmark's; each block
+is one pass over the documents, and there are far fewer of them than windows.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from .common import table, text_of, written
 WINDOW = 10
 #: Between words; letters of either case are told apart from it before case is folded.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Windows that are broadcast at a time (each takes some 500 bytes).
-BLOCK = 50_000
+#: Prefix tokens that are broadcast at a time (each takes some 100 bytes).
+BLOCK = 200_000
+#: Words of windows up to this number are broadcast to be counted; more are joined by a shuffle.
+BROADCAST_WORDS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,7 +56,7 @@ def word_counts(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """
     words = windows.select(F.explode("win").alias("w")).select(F.lower("w").alias("key")).distinct()
     seen = docs.select(F.explode(raw_words(text_of())).alias("w")).select(F.lower("w").alias("key"))
-    small = words.count() <= 20 * BLOCK
+    small = words.count() <= BROADCAST_WORDS
     seen = seen.join(F.broadcast(words) if small else words, "key").groupBy("key").count()
     return words.join(seen, "key", "left").select("key", F.coalesce("count", F.lit(0)).alias("n"))
 
@@ -70,33 +73,28 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", width: int =
     for each document, so that none is missing. ``_h`` is a hash of the text."""
     windows = written(windows_of(items, width), "windows")
     anchors = written(prefixes(windows, word_counts(docs, windows)), "prefixes")
-    blocks = max(1, -(-anchors.count() // BLOCK))
-    # the empty word stands for the document itself
+    held = anchors.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("off", F.size("win").alias("n"))).alias("places"))
+    blocks = max(1, -(-anchors.select("key").distinct().count() // BLOCK))
     rows = docs.select(F.col(key), F.xxhash64(text_of()).alias("_h"), raw_words(text_of()).alias("_w"))
     found = None
     for b in range(blocks):
-        part = anchors.filter(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b) if blocks > 1 else anchors
-        part = part.groupBy("key").agg(F.collect_list(F.struct("win", "items", "off")).alias("wins"))
+        part = held.filter(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == b) if blocks > 1 else held
         if b == 0:
-            own = F.array(F.struct(F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("off")))
-            part = part.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("key"), own.alias("wins")))
+            # the empty word stands for the document itself
+            own = F.array(F.struct(F.lit(0).alias("off"), F.lit(0).alias("n"))).cast(held.schema["places"].dataType)
+            part = part.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("_key"), own.alias("places")))
         each = rows.select(key, "_h", "_w", F.posexplode(F.array_append("_w", F.lit(""))).alias("_p", "_t"))
-        each = each.join(F.broadcast(part), F.lower("_t") == F.col("key") if key != "key" else F.lower("_t") == part["key"])
-        each = each.select(F.col(key), "_h", "_w", "_p", F.explode("wins").alias("_x"))
-        start, n = F.col("_p") - F.col("_x.off"), F.size("_x.win")
-        bound = (n == 0) | ((start >= 0) & (start + n <= F.size("_w")))
-        same = F.transform(F.slice("_w", start + 1, n), fold) == F.col("_x.win")
-        hit = each.filter(bound).filter((n == 0) | same)
-        hit = hit.select(
-            F.col(key),
-            "_h",
-            F.size("_w").cast("long").alias("n_words"),
-            F.when(n > 0, start).alias("start"),
-            F.when(n > 0, start + n).alias("end"),
-            F.col("_x.items").alias("items"),
-        )
-        found = hit if found is None else found.unionByName(hit)
-    return found
+        each = each.join(F.broadcast(part), F.lower("_t") == F.col("_key")).select(F.col(key), "_h", "_w", "_p", F.explode("places").alias("_x"))
+        start, n = F.col("_p") - F.col("_x.off"), F.col("_x.n")
+        there = each.filter((n == 0) | ((start >= 0) & (start + n <= F.size("_w"))))
+        said = F.array_join(F.transform(F.slice("_w", start + 1, n), fold), " ")
+        there = there.select(F.col(key), "_h", F.size("_w").cast("long").alias("n_words"), F.when(n > 0, start).alias("start"), F.when(n > 0, start + n).alias("end"), F.when(n > 0, said).alias("_said"))
+        found = there if found is None else found.unionByName(there)
+    found = written(found, "places")
+    wanted = windows.select(F.array_join("win", " ").alias("_said"), "items")
+    hit = found.filter("_said IS NOT NULL").join(wanted, "_said").drop("_said")
+    none = found.filter("_said IS NULL").withColumn("items", F.array().cast("array<string>")).drop("_said")
+    return hit.unionByName(none)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", width: int = WINDOW) -> DataFrame:
