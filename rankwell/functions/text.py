@@ -171,9 +171,11 @@ def _undo_encoding(x: pd.Series) -> pd.Series:
 
 
 def repair_mojibake(x: Column | str) -> Column:
-    """Only texts with the marks of the damage go through Python."""
+    """Only texts with the marks of the damage go to Python: a call stands for all rows of a batch,
+    so the others send a null."""
     x = _col(x)
-    return F.when(x.rlike(_DAMAGE.pattern), _undo_encoding(x)).otherwise(x)
+    hit = F.coalesce(x.rlike(_DAMAGE.pattern), F.lit(False))
+    return F.when(hit, _undo_encoding(F.when(hit, x))).otherwise(x)
 
 
 # -- folding and names ------------------------------------------------------------------------

@@ -45,7 +45,8 @@ def normalize_url(url: Column | str) -> Column:
     """Scheme and host in lower case, no ``www.``, no slash at the end, no fragment, no
     parameters that change between fetches; the rest in order.
 
-    Queries that hold encoded characters are decoded and encoded anew in Python.
+    Queries that hold encoded characters are decoded and encoded anew in Python; of other
+    rows a null goes there.
     """
     u = strip(F.coalesce(_col(url), F.lit("")))
     part = lambda g: F.regexp_extract(u, r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", g)
@@ -54,7 +55,8 @@ def normalize_url(url: Column | str) -> Column:
     pairs = F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~F.array_contains(volatile, name(p)) & ~name(p).startswith("utm_"))
     whole = F.transform(pairs, lambda p: F.when(F.instr(p, "=") > 0, p).otherwise(F.concat(p, F.lit("="))))
     plain = F.array_join(F.transform(F.array_sort(F.transform(whole, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.substring(p, F.instr(p, "=") + 1, F.length(p)).alias("v")))), lambda s: F.concat(s["k"], F.lit("="), s["v"])), "&")
-    query = F.when(plain.rlike(r"[^A-Za-z0-9_.~=&-]"), _query(plain)).otherwise(plain)
+    odd = F.coalesce(plain.rlike(r"[^A-Za-z0-9_.~=&-]"), F.lit(False))
+    query = F.when(odd, _query(F.when(odd, plain))).otherwise(plain)
     scheme, authority = F.lower(part(1)), F.regexp_replace(F.lower(part(2)), r"^www\.", "")
     path = F.regexp_replace(F.regexp_replace(part(3), r";[^/]*$", ""), "/+$", "")
     out = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")), F.when(authority != "", F.concat(F.lit("//"), authority)).otherwise(F.lit("")), path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, relational, resolution, selection, temporal, textual  # noqa: F401
+from .plans import base, relational, resolution, selection, service, temporal, textual  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES
