@@ -1,8 +1,9 @@
 """Toxicity: a lexicon trie intersected with Levenshtein automata, and scores by context.
 
-The lexicon is learned from labelled rows: words, and stems that words begin with, that
-toxic documents hold significantly more often than others (log likelihood ratio, Dunning
-1993). Words are read by the intersection of the lexicon's trie with the Levenshtein
+The lexicon is learned from labelled rows, near copies counted once: words, and stems that
+words begin with, that toxic documents hold, in as many contexts, significantly more often
+than others (log likelihood ratio, Dunning 1993). A word whose misspellings clean documents
+hold as well is matched as it is. Words are read by the intersection of the lexicon's trie with the Levenshtein
 automata of its entries, determinized as it is used: a state is the set of trie nodes that
 the letters read so far may stand for, each with the edits that this takes. Stems take no
 edits; the words below them do, which are read where the stem isn't. So one walk over
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 from .labelled import held_out, sample, scored
+from .neardup import near_duplicates
 
 #: Most labelled rows that lexicon and weights are learned from.
 TRAIN_ROWS = 8000
@@ -62,13 +64,14 @@ class Automaton:
 
     STATES = 200_000
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], exact: frozenset[str] = frozenset()):
+        self.entry: dict[int, str] = {}  # the word that ends at a node
         self.kids: list[dict[str, int]] = [{}]
         self.most = [0]  # the edits that any entry below a node allows
         self.word: list[int] = [-1]  # edits allowed if an entry ends here
         self.stem = [False]
         for entry, is_stem in [*((w, False) for w in words), *((s, True) for s in stems)]:
-            node, k = 0, 0 if is_stem else reach(entry)
+            node, k = 0, 0 if is_stem or entry in exact else reach(entry)
             self.most[0] = max(self.most[0], k)
             for ch in entry:
                 if ch not in self.kids[node]:
@@ -82,7 +85,7 @@ class Automaton:
             if is_stem:
                 self.stem[node] = True
             else:
-                self.word[node] = k
+                self.word[node], self.entry[node] = k, entry
         self._forget()
 
     def _forget(self) -> None:
@@ -121,6 +124,15 @@ class Automaton:
                     to[kid] = cost
         return self._state(self._skip(to)) if to else -1
 
+    def near(self, word: str) -> list[str]:
+        """The entries that a word may be a misspelling of."""
+        state = self.start
+        for ch in word:
+            state = self.steps[state][ch] if ch in self.steps[state] else self._step(state, ch)
+            if state < 0:
+                return []
+        return [self.entry[n] for n, e in self.states[state] if 0 < e <= self.word[n]]
+
     def kind(self, word: str) -> int:
         """0: a word of the lexicon, 1: begins with a stem, 2: a misspelling, -1: none."""
         if len(self.states) >= self.STATES:
@@ -148,6 +160,8 @@ class Automaton:
 class Model:
     words: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
+    #: Words whose misspellings documents without toxicity hold as often: matched as they are.
+    exact: frozenset[str] = frozenset()
     #: Words within reach of an entry that documents without toxicity hold.
     clean: frozenset[str] = frozenset()
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
@@ -162,7 +176,7 @@ class Reader:
     ROOM = 400_000
 
     def __init__(self, model: Model):
-        self.model, self.automaton, self.known = model, Automaton(model.words, model.stems), {}
+        self.model, self.automaton, self.known = model, Automaton(model.words, model.stems, model.exact), {}
 
     def kind(self, word: str) -> int:
         k = self.known.get(word)
@@ -239,14 +253,23 @@ def lexicon(terms: list[tuple[str, bool, int, int]], n1: int, n0: int) -> tuple[
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights by Newton's method, drawn to PRIOR."""
+    """Logistic weights by Newton's method, drawn to PRIOR; steps that don't lower the loss are halved."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + PRIOR_ROWS / 2 * ((w - PRIOR) ** 2).sum())
+
     w = PRIOR.copy()
+    now = loss(w)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
         g = x.T @ (p - y) + PRIOR_ROWS * (w - PRIOR)
         h = (x * (p * (1 - p))[:, None]).T @ x + PRIOR_ROWS * np.eye(len(w))
         step = np.linalg.solve(h, g)
+        while loss(w - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
         w = w - step
+        now = loss(w)
         if np.abs(step).max() < 1e-9:
             break
     return w
@@ -260,10 +283,80 @@ def _stem(k: int):
     return lambda w: F.concat(F.lit(MARK), F.substring(w, 1, k))
 
 
+def contexts(texts: DataFrame, terms: list[tuple[str, bool]]) -> dict[tuple[str, bool], int]:
+    """For each term (and whether it is a stem), how many different pairs of words it follows, or
+    precedes if that are fewer.
+
+    A word of a passage that many texts share has the same words on one side at least in all of
+    them, so it counts once; a word that is used counts about as often as it is used.
+    """
+    words, stems = {t for t, stem in terms if not stem}, {t for t, stem in terms if stem}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[str, bool, bool, str]] = set()
+            for text in batch.column("text").to_pylist():
+                said = WORD.findall(text.lower())
+                for i, w in enumerate(said):
+                    own = [(w, False)] * (w in words) + [(w[:k], True) for k in STEM_CHARS if len(w) > k and w[:k] in stems]
+                    if own:
+                        sides = ((False, " ".join(said[max(0, i - 2) : i])), (True, " ".join(said[i + 1 : i + 3])))
+                        found.update((t, stem, after, near) for t, stem in own for after, near in sides)
+            rows = sorted(found)
+            kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["term", "stem", "after", "words"])
+
+    pairs = texts.select("text").mapInArrow(read, "term string, stem boolean, after boolean, words string").distinct()
+    got = pairs.groupBy("term", "stem").agg(F.least(F.count_if("after"), F.count_if(~F.col("after"))).alias("n"))
+    return {(r["term"], r["stem"]): r["n"] for r in got.collect()}  # as many as terms at most
+
+
+def matched(some: DataFrame, model: Model) -> list[dict]:
+    """``y`` and the matches ``m`` (word, kind, window) of the rows of a bounded sample, by doc_id."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = model.reader()
+        for batch in batches:
+            got = [reader.matches(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("y"), pa.array([[m[0] for m in g] for g in got], pa.list_(pa.string())), pa.array([[m[1] for m in g] for g in got], pa.list_(pa.int32())), pa.array([[m[2] for m in g] for g in got], pa.list_(pa.int32()))],
+                names=["doc_id", "y", "w", "k", "c"],
+            )
+
+    got = some.select("doc_id", "y", "text").mapInArrow(read, "doc_id long, y int, w array<string>, k array<int>, c array<int>").toArrow().sort_by("doc_id").to_pylist()
+    return [{"y": r["y"], "m": list(zip(r["w"], r["k"], r["c"], strict=True))} for r in got]
+
+
+def exact_only(got: list[dict], automaton: Automaton, n1: int, n0: int) -> frozenset[str]:
+    """The words of the lexicon whose misspellings two or more documents without toxicity hold, and
+    toxic ones not 20 times as often: what is near them are words of the language."""
+    hits: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    near: dict[str, list[str]] = {}
+    for r in got:
+        said = {w for w, k, _ in r["m"] if k == 2}
+        for w in said - near.keys():
+            near[w] = automaton.near(w)
+        for entry in {e for w in said for e in near[w]}:
+            hits[r["y"]][entry] = hits[r["y"]].get(entry, 0) + 1
+    return frozenset(e for e, b in hits[0].items() if b > 1 and hits[1].get(e, 0) * n0 < 20 * b * n1)
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """The ``rows`` (doc_id, text, y; a written, bounded sample) without near copies: of each class of
+    near-duplicates one text stays, with the label that most of the class have (ties: 1).
+
+    All words of a text that was copied a dozen times would seem to be bound to its label.
+    """
+    found = near_duplicates(rows).select(F.col("doc_id").alias("_id"), "class_id", "kept")
+    both = written(rows.join(found, F.col("doc_id") == F.col("_id")).drop("_id"), "classes")
+    label = both.groupBy("class_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+    return written(both.filter("kept").drop("y").join(label, "class_id").select("doc_id", "text", "y"), "distinct")
+
+
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """Lexicon and weights from at most ``rows`` labelled documents that aren't held out."""
-    # bounded by ``rows``; written, since it is read more than once
-    some = written(sample(docs, labels, target, rows).withColumn("y", (F.col("y") > 0).cast("int")), "labelled")
+    """Lexicon and weights from at most ``rows`` labelled documents that aren't held out, near copies
+    counted once."""
+    some = once(written(sample(docs, labels, target, rows).withColumn("y", (F.col("y") > 0).cast("int")), "labelled"))
     words = F.array_distinct(F.filter(F.split(F.lower("text"), WORDS), lambda w: F.length(w) > 2))
     per = some.select("y", words.alias("w"))
     n0, n1 = (per.filter(F.col("y") == k).count() for k in (0, 1))
@@ -278,22 +371,18 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     held = often.count()
     # what reaches the driver is bounded: the terms most bound to one side
     top = often.filter((F.col("a") >= 3) & (F.col("a") * n0 >= F.col("b") * (20 * n1))).orderBy(F.desc("a"), "term", "stem").limit(2 * LEXICON).collect()
-    found = [(r["term"], r["stem"], r["a"], r["b"]) for r in top]
+    places = contexts(some.filter("y = 1"), [(r["term"], r["stem"]) for r in top])
+    found = [(r["term"], r["stem"], min(r["a"], places.get((r["term"], r["stem"]), 0)), r["b"]) for r in top]
     model = Model()
     model.words, model.stems = lexicon([*found, *[("", False, 0, 0)] * max(0, held - len(found))], n1, n0)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = model.reader()
-        for batch in batches:
-            got = [reader.matches(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), pa.array([[m[0] for m in g] for g in got], pa.list_(pa.string())), pa.array([[m[1] for m in g] for g in got], pa.list_(pa.int32())), pa.array([[m[2] for m in g] for g in got], pa.list_(pa.int32()))],
-                names=["doc_id", "y", "w", "k", "c"],
-            )
-
-    got = some.select("doc_id", "y", "text").mapInArrow(read, "doc_id long, y int, w array<string>, k array<int>, c array<int>").toArrow().sort_by("doc_id").to_pylist()
-    model.clean = frozenset(w for r in got if not r["y"] for w, k in zip(r["w"], r["k"], strict=True) if k == 2)
-    x = np.array([evidence([m for m in zip(r["w"], r["k"], r["c"], strict=True) if not (m[1] == 2 and m[0] in model.clean)]) for r in got])
+    got = matched(some, model)
+    model.exact = exact_only(got, Automaton(model.words, model.stems), n1, n0)
+    automaton = Automaton(model.words, model.stems, model.exact)
+    for r in got:  # what is no match any more goes
+        r["m"] = [m for m in r["m"] if m[1] != 2 or automaton.kind(m[0]) == 2]
+    model.clean = frozenset(w for r in got if not r["y"] for w, k, _ in r["m"] if k == 2)
+    x = np.array([evidence([m for m in r["m"] if not (m[1] == 2 and m[0] in model.clean)]) for r in got])
     model.weights = fit(x, np.array([r["y"] for r in got], float))
     return model
 

@@ -263,6 +263,49 @@ def test_lexicon_keeps_the_most_significant(monkeypatch):
     assert words == sorted(t for t, *_ in terms[-5:])
 
 
+def test_weights_are_the_least_loss():
+    """No step of any weight lowers the loss, also where Newton's whole steps would overshoot."""
+    rng = np.random.default_rng(5)
+    k = len(toxicity.PRIOR)
+    x = np.concatenate([np.ones((3000, 1)), np.log2(1 + rng.poisson(0.02, (3000, k - 1)) * rng.integers(1, 200, (3000, k - 1)))], 1)
+    y = ((x[:, 1] + x[:, 5] > 0) & (rng.random(3000) < 0.9)).astype(float)
+    w = toxicity.fit(x, y)
+    loss = lambda v: np.logaddexp(0, x @ v).sum() - y @ (x @ v) + toxicity.PRIOR_ROWS / 2 * ((v - toxicity.PRIOR) ** 2).sum()
+    for j in range(k):
+        for d in (-1e-3, 1e-3):
+            assert loss(w + d * np.eye(k)[j]) > loss(w) - 1e-7
+    assert w[0] < -1 and ((x @ w > 0) == (y > 0)).mean() > 0.9
+
+
+def test_copies_and_passages_are_no_lexicon(spark):
+    """Words of a toxic text with many copies, and of a passage that toxic texts share, stay out; words
+    that are used come in; words whose misspellings are words of the language are matched as they are."""
+    r = random.Random(31)
+    copied, passage = sentence(r, 150), sentence(r, 12)
+    rows, toxic = [], []
+    for i in range(500):
+        bad = i % 5 == 0
+        w = sentence(r, 60).split()
+        if i % 25 == 0:
+            w = copied.split()
+            w[r.randrange(150)] = sentence(r, 1)
+        elif bad:
+            for x in ("blockhead", "graunstein", *([passage] if i % 2 else [])):
+                w.insert(r.randrange(len(w)), x)
+        elif i % 3 == 0:
+            w.insert(5, r.choice(["graunsteyn", "gramnstein"]))
+        rows.append((i, " ".join(w)))
+        toxic.append((i, 1 if bad else 0))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(toxic, "doc_id long, toxic int")
+    m = toxicity.train(docs, labels)
+    assert {"blockhead", "graunstein"} <= set(m.words) and m.exact == {"graunstein"}
+    assert not (set(copied.split()) | set(passage.split())) & set(m.words) and not [s for s in m.stems if not "blockhead".startswith(s) and not "graunstein".startswith(s)]
+    said = toxicity.contexts(docs.filter("doc_id % 5 = 0"), [("blockhead", False), (passage.split()[5], False), ("bloc", True)])
+    assert said["blockhead", False] > 50 and said["bloc", True] >= said["blockhead", False] and said[passage.split()[5], False] <= 3
+    kinds = [m.reader().matches(t) for t in ("a blockhed here", "a graunsteyn here", "a graunstein here")]
+    assert [k and k[0][1] for k in kinds] in ([2, [], 0], [1, [], 0], [1, [], 1], [2, [], 1])
+
+
 def test_automaton_starts_anew(monkeypatch):
     monkeypatch.setattr(toxicity.Automaton, "STATES", 5)
     auto, same = toxicity.Automaton(["idiot", "worthless"], []), [0, 2, -1, 2, 0]
