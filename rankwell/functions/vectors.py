@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType
@@ -31,19 +32,42 @@ def subtract(a: Column | str, b: Column | str) -> Column:
     return F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") - y.cast("double"))
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all rows of a task: the sum of each component and of how many it is."""
+    total, count = np.zeros(0), np.zeros(0, np.int64)
+    for batch in batches:
+        v = batch.column(0).drop_null()
+        flat = v.flatten()
+        if not len(flat):
+            continue
+        sizes = np.diff(v.offsets.to_numpy(zero_copy_only=False))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        known = flat.is_valid().to_numpy(zero_copy_only=False)
+        x, place = flat.drop_null().to_numpy(zero_copy_only=False).astype(np.float64), place[known]
+        wide = max(len(total), int(sizes.max()))
+        total = np.pad(total, (0, wide - len(total))) + np.bincount(place, x, wide)
+        count = np.pad(count, (0, wide - len(count))) + np.bincount(place, minlength=wide)
+    if len(total):
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()]), pa.array([count.tolist()])], names=["total", "n"])
+
+
 def mean_vector(df: DataFrame, vector: str = "embedding", out: str = "centre") -> DataFrame:
-    """The mean of each component over all rows, as one row of one array.
+    """The mean of each component over all rows that have it, as one row of one array (null where
+    there is no vector).
 
-    Components are summed map-side: a task sends a partial sum for each component.
+    Each task sums whole arrays and sends one row; only these few are taken apart by component.
     """
-    parts = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias(out))
+    parts = df.select(F.col(vector)).filter(F.col(vector).isNotNull()).mapInArrow(_sums, "total array<double>, n array<long>")
+    each = parts.select(F.posexplode(F.arrays_zip("total", "n")).alias("i", "x")).groupBy("i").agg((F.sum("x.total") / F.nullif(F.sum("x.n"), F.lit(0))).alias("m"))
+    held = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias(out))
+    return held.select(F.when(F.size(out) > 0, F.col(out)).alias(out))
 
 
-def centred_cosine(df: DataFrame, profile: DataFrame, vector: str = "embedding", out: str = "score") -> DataFrame:
+def centred_cosine(df: DataFrame, profile: DataFrame, vector: str = "embedding", out: str = "score", corpus: DataFrame | None = None) -> DataFrame:
     """``df`` with the cosine to the profile's vector (column ``profile`` of one row), both less
-    the mean of all vectors. Mean and profile are one row each and broadcast."""
-    centre = mean_vector(df, vector, "_centre")
+    the mean of all vectors (those of ``corpus``, a plainer way to the same ones, if given). Mean and
+    profile are one row each and broadcast."""
+    centre = mean_vector(df if corpus is None else corpus, vector, "_centre")
     got = df.crossJoin(F.broadcast(centre)).crossJoin(F.broadcast(profile.select(F.col("profile").alias("_profile"))))
     return got.withColumn(out, cosine(subtract(vector, "_centre"), subtract("_profile", "_centre"))).drop("_centre", "_profile")
 
@@ -60,32 +84,36 @@ def scores_of(rows: DataFrame, queries: DataFrame, vector: str, query: str, out:
     return found
 
 
-def percentile(df: DataFrame, score: str = "score", out: str = "percentile", ranges: int = 64) -> DataFrame:
-    """100 * (rows strictly below) / rows, exactly, without a window over all rows.
+#: Distinct scores that one range of ``percentile`` sorts, and up to which they are broadcast (24 bytes each).
+RANGE_SCORES, BROADCAST_SCORES = 100_000, 1_000_000
+
+
+def percentile(df: DataFrame, score: str = "score", out: str = "percentile") -> DataFrame:
+    """100 * (rows strictly below) / rows, exactly; a null score gets null.
 
-    The distinct scores with their counts are written once; approximate quantiles cut them into
-    ranges, only within a range they are sorted, and a range starts from the counts of the
-    ranges before it. Null scores get null; in the join they are dealt to ``ranges`` salts,
-    since there may be many.
+    What is sorted are the distinct scores with their counts: they are written once, cut into ranges
+    by approximate quantiles if they are many, and a range starts from the counts of the ranges
+    before it. Up to BROADCAST_SCORES of them (a score of six decimals between 0 and 1 has no more)
+    are broadcast, so that no row of ``df`` moves; more are joined by a shuffle, in which null scores
+    are dealt to salts, since there may be many.
     """
-    counts = cut(df.filter(F.col(score).isNotNull()).groupBy(score).count())
-    cuts = sorted(set(counts.approxQuantile(score, [i / ranges for i in range(1, ranges)], 0.01)))
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(score))) if cuts else F.lit(0)
+    counts = cut(df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("_at")).count())
+    distinct = counts.count()
+    ranges = -(-distinct // RANGE_SCORES)
+    cuts = sorted(set(counts.approxQuantile("_at", [i / ranges for i in range(1, ranges)], 0.01))) if ranges > 1 else []
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("_at"))) if cuts else F.lit(0)
     ranged = counts.withColumn("_p", place)
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_below", F.coalesce(F.sum("count").over(within), F.lit(0)))
+    # one row a range
     starts = ranged.groupBy("_p").agg(F.sum("count").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    within = Window.partitionBy("_p").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("_below", F.coalesce(F.sum("count").over(within), F.lit(0))).join(F.broadcast(starts), "_p")
-    placed = placed.select(F.col(score).alias("_at"), F.lit(0).alias("_salt0"), (F.lit(100.0) * (F.col("_start") + F.col("_below")) / F.col("_all")).alias(out))
-    salted = df.withColumn("_salt", F.when(F.col(score).isNull(), (F.rand(0) * ranges).cast("int")).otherwise(0))
-    return salted.join(placed, (F.col(score) == F.col("_at")) & (F.col("_salt") == F.col("_salt0")), "left").drop("_at", "_salt", "_salt0")
-
-
-def percentile_window(score: Column | str) -> Column:
-    """The same as a window expression, for tables that one task can sort."""
-    w = Window.orderBy(_col(score))
-    return F.lit(100.0) * (F.rank().over(w) - 1).cast("double") / F.count(F.lit(1)).over(Window.partitionBy())
+    placed = placed.join(F.broadcast(starts), "_p").select("_at", (F.lit(100.0) * (F.col("_start") + F.col("_below")) / F.col("_all")).alias(out))
+    if distinct <= BROADCAST_SCORES:
+        return df.join(F.broadcast(placed), F.col(score) == F.col("_at"), "left").drop("_at")
+    salted = df.withColumn("_salt", F.when(F.col(score).isNull(), (F.rand(0) * 64).cast("int")).otherwise(0))
+    return salted.join(placed.withColumn("_salt0", F.lit(0)), (F.col(score) == F.col("_at")) & (F.col("_salt") == F.col("_salt0")), "left").drop("_at", "_salt", "_salt0")
 
 
 def remote_bonus(score: Column | str, is_remote: Column | str, bonus: float = 0.02) -> Column:

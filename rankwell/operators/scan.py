@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..schema import unused
 from ..session import cut
 from ..settings import Settings
-from ..streaming import fold
+from ..streaming import fold, threads
 from . import guards, resolve, sets
 
 
@@ -38,45 +39,28 @@ def is_unrelated(job_related: Column, strategy: Column) -> Column:
     return F.coalesce(~job_related & ~by_thread, F.lit(False))
 
 
-def learn_from_matches(matched: DataFrame, messages: DataFrame, applications: DataFrame) -> DataFrame:
-    """Applications without a thread take that of their first conclusive match, and the time of the
-    lesson (learned_at, learned_by)."""
-    got = matched.filter("conclusive").join(messages.select("message_id", "thread_id", "received_at"), "message_id").filter("thread_id <> ''")
-    first = got.groupBy("application_id").agg(F.min(F.struct(F.col("received_at").isNotNull().alias("known"), "received_at", "message_id", "thread_id")).alias("f"))
-    lesson = first.select(F.col("application_id").alias("id"), F.col("f.thread_id").alias("_thread"), F.col("f.received_at").alias("_at"), F.col("f.message_id").alias("_by"))
-    got = applications.join(lesson, "id", "left")
-    fresh = F.col("thread_id").isNull() & F.col("_thread").isNotNull()
-    for c, v in (("learned_at", "_at"), ("learned_by", "_by"), ("thread_id", "_thread")):
-        got = got.withColumn(c, F.when(fresh, F.col(v)).otherwise(F.col(c)))
-    return got.drop("_thread", "_at", "_by")
-
-
-def match_to_fixpoint(messages: DataFrame, applications: DataFrame) -> tuple[DataFrame, DataFrame]:
+def match_in_order(messages: DataFrame, applications: DataFrame, mailbox: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Matches, and the applications with the threads that were learned.
 
-    As if messages came one by one, oldest first (no time before all, ties by id): a conclusive
-    match teaches its application the thread, and only messages after that one match by it.
-    Each round takes the lessons from the matches of the round before and matches by them
-    anew, until no match changes; in every round at least the oldest message that was wrong
-    is put right.
+    As if the messages of a ``mailbox`` (a column; without one, all are of the same) came one by one,
+    oldest first (no time before all, ties by id): a conclusive match teaches its application the
+    thread, and only messages after that one match by it. What each message names doesn't depend
+    on the order, so it is matched once, and the lessons are told from the pairs of thread and
+    application alone (see ``threads.lessons``).
     """
+    box = mailbox or unused(messages, "_mailbox")
+    slim = messages.select("message_id", "thread_id", "received_at", F.col(box) if mailbox else F.lit(0).alias(box))
+    slim = slim.withColumn("thread_id", F.coalesce("thread_id", F.lit("")))
     base = cut(resolve.match_replies(messages, applications))
-    columns = applications.columns
-    blank = applications.withColumn("learned_at", F.lit(None).cast("timestamp")).withColumn("learned_by", F.lit(None).cast("string"))
-    open_ = messages.join(base.filter("strategy = 'thread'").select("message_id"), "message_id", "left_anti")
-    open_ = open_.filter("thread_id IS NOT NULL AND thread_id <> ''").select("message_id", "thread_id", "received_at")
-    found, hits = base, None
-    while True:
-        known = cut(learn_from_matches(found, messages, blank))
-        taught = known.filter("learned_by IS NOT NULL").select(F.col("id").alias("application_id"), F.col("thread_id").alias("_thread"), "learned_at", "learned_by")
-        order = lambda at, by: F.struct(F.col(at).isNotNull(), F.col(at), F.col(by))
-        met = open_.join(taught, F.col("thread_id") == F.col("_thread")).filter(order("learned_at", "learned_by") < order("received_at", "message_id"))
-        now = cut(met.groupBy("message_id").agg(F.min("application_id").alias("application_id")))
-        if hits is None and now.isEmpty() or hits is not None and now.exceptAll(hits).isEmpty() and hits.exceptAll(now).isEmpty():
-            return found, known.select(*columns)
-        hits = now
-        by_lesson = now.select("message_id", "application_id", F.lit("thread").alias("strategy"), F.lit(True).alias("conclusive"))
-        found = cut(base.join(now.select("message_id"), "message_id", "left_anti").unionByName(by_lesson))
+    open_ = applications.filter("thread_id IS NULL").select(F.col("id").alias("application_id"))
+    able = base.filter("conclusive AND strategy <> 'thread'").join(slim.filter("thread_id <> ''"), "message_id").join(open_, "application_id", "left_semi")
+    taught = cut(threads.lessons(able, box))
+    after = slim.filter("thread_id <> ''").join(taught, [box, "thread_id"]).filter(threads.moment() > F.col("moment"))
+    by_lesson = cut(after.select("message_id", "application_id", F.lit("thread").alias("strategy"), F.lit(True).alias("conclusive")))
+    found = base.join(by_lesson.select("message_id"), "message_id", "left_anti").unionByName(by_lesson)
+    learned = taught.select(F.col("application_id").alias("id"), F.col("thread_id").alias("_thread"))
+    known = applications.join(learned, "id", "left").withColumn("thread_id", F.coalesce("thread_id", "_thread")).select(applications.columns)
+    return found, known
 
 
 def scan(messages: DataFrame, applications: DataFrame, recorded: DataFrame, skipped: DataFrame, classifier: Callable[[], guards.Classifier] = lambda: guards.keyword_classifier, settings: Settings = Settings()) -> Scan:
@@ -89,7 +73,7 @@ def scan(messages: DataFrame, applications: DataFrame, recorded: DataFrame, skip
     """
     fresh = cut(fold.consume(messages, recorded, skipped))
     live = applications.filter(F.col("status").isin(*fold.REPLYABLE))
-    matched, learned = match_to_fixpoint(fresh, live)
+    matched, learned = match_in_order(fresh, live)
     both = fresh.join(matched, "message_id", "left")
     bulk = resolve.is_board_sender("from_address") & F.col("application_id").isNull()
     told = guards.classify(both.filter(~bulk), classifier)
@@ -113,7 +97,7 @@ def scan(messages: DataFrame, applications: DataFrame, recorded: DataFrame, skip
 
 def relink(replies: DataFrame, applications: DataFrame) -> DataFrame:
     """Stored replies without an application, matched anew: message_id, application_id, strategy, conclusive."""
-    return match_to_fixpoint(replies.filter("application_id IS NULL").withColumn("thread_id", F.coalesce("thread_id", F.lit(""))), applications)[0]
+    return match_in_order(replies.filter("application_id IS NULL"), applications)[0]
 
 
 def route_notices(notices: DataFrame, applications: DataFrame) -> DataFrame:

@@ -43,12 +43,13 @@ def shortlist(
 ) -> DataFrame:
     """The best ``top_n`` postings nobody has handled yet.
 
-    ``postings``: id, company, title, description, is_remote, score, percentile, passed,
-    blocked. Exclusion, twins and cap come before the limit. Ties go to the smaller id.
+    ``postings``: id, company, title, description (or body_chars, its length without blanks around it),
+    is_remote, score, percentile, passed, blocked. Exclusion, twins and cap come before the limit. Ties go to the smaller id.
     ``fold_company`` False caps by the company as it is spelled.
     """
     rank = F.round(F.col("score") + F.when(F.col("is_remote"), F.lit(bonus)).otherwise(F.lit(0.0)), SCORE_DECIMALS)
-    able = postings.filter(F.col("score").isNotNull() & F.col("passed") & ~F.col("blocked") & (F.col("percentile") >= floor) & (F.length(F.trim("description")) >= least_body))
+    body = F.col("body_chars") if "body_chars" in postings.columns else F.length(F.trim("description"))
+    able = postings.filter(F.col("score").isNotNull() & F.col("passed") & ~F.col("blocked") & (F.col("percentile") >= floor) & (body >= least_body))
     order = [F.desc("rank_score"), F.asc("id")]
     left = handled_roles(able, handled).withColumn("rank_score", rank)
     left = cap_groups(collapse_twins(left, order), order, per_company, T.role_key("company") if fold_company else "company")

@@ -28,21 +28,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in the role of postings: id, company, title, description, is_remote, passed, blocked, embedding."""
+    """Documents in the role of postings: id, company, title, body_chars, is_remote, passed, blocked, embedding.
+
+    What the scan of the text is for is taken at the scan, so that the joins move no texts.
+    """
     d, lab, e = (table(spark, sf_dir, t) for t in ("documents", "labels", "embeddings"))
-    both = d.join(lab, "doc_id", "left").join(e, d["doc_id"] == e["vec_id"])
-    return both.select(
+    slim = d.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("company"),
         F.substring("text", 1, 40).alias("title"),
-        F.col("text").alias("description"),
+        F.length(F.trim("text")).alias("body_chars"),
         (F.col("lang") == "en").alias("is_remote"),
+    )
+    both = slim.join(lab, slim["id"] == lab["doc_id"], "left").join(e, slim["id"] == e["vec_id"])
+    return both.select(
+        *slim.columns,
         (F.coalesce("quality", F.lit(1)) == 1).alias("passed"),
         (F.coalesce("toxic", F.lit(0)) == 1).alias("blocked"),
         "embedding",
     )
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, embedding`` of the postings: the vectors of documents that there are."""
+    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    return e.join(d, e["vec_id"] == d["doc_id"], "left_semi").select(F.col("vec_id").alias("id"), "embedding")
+
+
 #: The same in SQL, as the first of the common table expressions.
 POSTINGS = """p AS (
   SELECT d.doc_id AS id, source AS company, left(text, 40) AS title, text AS description, lang = 'en' AS is_remote,

@@ -41,9 +41,9 @@ def match(jobs: DataFrame, profile: str, encoder: Callable[[], X.Encoder] = X.ha
     both = have.unionByName(made)
     vector = [float(x) for x in encoder()([profile])[0]]
     target = jobs.sparkSession.createDataFrame([(vector,)], "profile array<double>")
-    scored = X.centred_cosine(both.filter("passed"), target).select("id", F.col("score").alias("_score"))
-    out = both.drop("score", "percentile").join(scored, "id", "left").withColumnRenamed("_score", "score")
-    return X.percentile(out)
+    # ids and scores are ranked, and meet the jobs once
+    scored = X.percentile(cut(X.centred_cosine(both.filter("passed"), target).select("id", "score")))
+    return both.drop("score", "percentile").join(scored, "id", "left")
 
 
 def shortlist(matched: DataFrame, handled: DataFrame, settings: Settings = Settings()) -> DataFrame:

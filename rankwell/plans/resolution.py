@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import guards
 from ..operators import resolve as M
 from ..sources import mail
-from ..streaming import fold
+from ..streaming import fold, threads
 from .base import query, table
 
 
@@ -67,6 +67,33 @@ def ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("evidence_at", F.date_format("evidence_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query(
+    "late_guard",
+    STATUS
+    + """, f AS (SELECT user_id, max(ts) AS since FROM events WHERE event_type = 'purchase' GROUP BY 1),
+m AS (SELECT e.*, since, moves AND coalesce(ts < since, false) AS late FROM e LEFT JOIN f ON f.user_id = application_id)
+SELECT application_id, coalesce(max_by(to_status, (ts, event_id)) FILTER (WHERE moves AND NOT late), CASE WHEN max(since) IS NULL THEN 'sent' ELSE 'interview' END) AS status,
+  strftime(coalesce(max(ts) FILTER (WHERE moves AND NOT late), max(since)), '%Y-%m-%d %H:%M:%S') AS evidence_at,
+  count(*) FILTER (WHERE moves AND NOT late) AS n_moves, count(*) AS n_messages, count(*) FILTER (WHERE late) AS n_late FROM m GROUP BY 1""",
+)
+def late_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ordered_fold, where a user's last purchase is the evidence on file: older messages move nothing."""
+    bought = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    on_file = bought.groupBy(F.col("user_id").alias("application_id")).agg(F.max(F.col("ts").cast("timestamp")).alias("evidence_at")).withColumn("status", F.lit("interview"))
+    got = fold.fold_messages(_messages(spark, sf_dir), on_file)
+    return got.withColumn("evidence_at", F.date_format("evidence_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("thread_lessons")
+def thread_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which places of a line teach which parts of a supplier: lines as messages, in the order of dates."""
+    line = table(spark, sf_dir, "lineitem")
+    ident = F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), "l_linenumber")
+    thread = F.concat_ws(" ", "l_returnflag", "l_linenumber")
+    told = line.select(F.col("l_suppkey").alias("mailbox"), thread.alias("thread_id"), F.col("l_partkey").alias("application_id"), F.col("l_shipdate").cast("timestamp").alias("received_at"), ident.alias("message_id"))
+    return threads.lessons(told, "mailbox").select("mailbox", "thread_id", "application_id", F.col("moment.by").alias("message_id"))
+
+
 @query(
     "status_machine",
     """WITH e AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'interview' END AS to_status,

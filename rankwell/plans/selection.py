@@ -9,15 +9,16 @@ from ..functions import text as T
 from ..functions import vectors as X
 from ..operators import discover, guards, reports
 from ..operators import select as S
-from .base import CENTRED, POSTINGS, postings, query, table
+from ..session import cut
+from .base import CENTRED, POSTINGS, postings, query, table, vectors
 
 
 def scored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = postings(spark, sf_dir)
-    profile = p.orderBy("id").limit(1).select(F.col("embedding").alias("profile"))
-    got = X.centred_cosine(p, profile).withColumn("score", F.round("score", 6))
-    got = got.withColumn("score", F.when(F.col("passed"), F.col("score")))
-    return X.percentile(got)
+    """The postings with score and percentile, without text and vector; written once, since ranking reads it twice."""
+    v = vectors(spark, sf_dir)
+    profile = v.orderBy("id").limit(1).select(F.col("embedding").alias("profile"))
+    got = X.centred_cosine(postings(spark, sf_dir), profile, corpus=v).drop("embedding")
+    return X.percentile(cut(got.withColumn("score", F.when(F.col("passed"), F.round("score", 6)))))
 
 
 SCORED = f"""WITH {POSTINGS}, src AS (SELECT * FROM p), {CENTRED},
@@ -45,7 +46,7 @@ SELECT id, company, title, is_remote, score, round(percentile, 4) AS percentile,
 )
 def shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = scored_postings(spark, sf_dir)
-    got = S.shortlist(p, postings(spark, sf_dir).filter("blocked"), floor=50.0)
+    got = S.shortlist(p, p.filter("blocked"), floor=50.0)
     return got.select("id", "company", "title", "is_remote", "score", F.round("percentile", 4).alias("percentile"), "rank_score")
 
 
@@ -205,7 +206,9 @@ def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, select, screen and draft the shortlist, and the rows that are written to the applications."""
     p = scored_postings(spark, sf_dir)
     got = S.shortlist(p, p.limit(0).select("company", "title"), floor=50.0, bonus=0.0)
-    jobs = got.select("id", F.col("description").alias("posting"), F.array("title").alias("bullets"))
+    # the texts of the chosen ones alone
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("posting"))
+    jobs = texts.join(F.broadcast(got.select("id", "title")), "id").select("id", "posting", F.array("title").alias("bullets"))
     done = guards.screen_and_draft(jobs, lambda posting: (len(posting) >= 1000, "long enough" if len(posting) >= 1000 else "too short"))
     return guards.state_rows(done).select(F.col("job_id").alias("id"), "status", "cover_letter", "notes")
 

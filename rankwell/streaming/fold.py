@@ -41,25 +41,33 @@ def start() -> dict:
     return {"status": "sent", "evidence_at": None, "n_moves": 0, "n_messages": 0, "n_late": 0}
 
 
-def fold_messages(messages: DataFrame) -> DataFrame:
+def fold_messages(messages: DataFrame, on_file: DataFrame | None = None) -> DataFrame:
     """``application_id`` with its state after all messages, oldest first (no time before all, ties by
     message_id).
 
     ``messages``: application_id, message_id, received_at, reply_type, confidence, conclusive.
-    A message counts once, however often it occurs. In the order of time nothing is late, so
-    the last message that may move decides, and aggregates say all of the state; only a stream
-    sees messages out of order and folds them one by one.
+    ``on_file``: application_id, status, evidence_at, where a status and its evidence are known before.
+    A message counts once, however often it occurs. In the order of time nothing is late but what is
+    older than the evidence on file, so the last message that may move decides, and aggregates
+    say all of the state; only a stream sees messages out of order and folds them one by one.
     """
     once = messages.dropDuplicates(["message_id"])
-    moves = F.coalesce(F.col("conclusive") & (F.col("confidence") >= CONFIDENT) & F.col("reply_type").isin(*MOVES), F.lit(False))
+    before, since = F.lit("sent"), F.lit(None).cast("timestamp")
+    if on_file is not None:
+        # one row an application: the aggregates carry it along
+        once = once.join(on_file.select("application_id", F.col("status").alias("_before"), F.col("evidence_at").alias("_since")), "application_id", "left")
+        before, since = F.coalesce("_before", F.lit("sent")), F.col("_since")
+    able = F.coalesce(F.col("conclusive") & (F.col("confidence") >= CONFIDENT) & F.col("reply_type").isin(*MOVES) & before.isin(*REPLYABLE), F.lit(False))
+    late = able & F.coalesce(F.col("received_at") < since, F.lit(False))
+    moves = able & ~late
     to = F.create_map(*[F.lit(x) for kv in MOVES.items() for x in kv])[F.col("reply_type")]
     last = F.max_by(F.when(moves, to), F.when(moves, F.struct("received_at", "message_id")))
     return once.groupBy("application_id").agg(
-        F.coalesce(last, F.lit("sent")).alias("status"),
-        F.max(F.when(moves, F.col("received_at"))).alias("evidence_at"),
+        F.coalesce(last, F.max(before)).alias("status"),
+        F.coalesce(F.max(F.when(moves, F.col("received_at"))), F.max(since)).alias("evidence_at"),
         F.count_if(moves).alias("n_moves"),
         F.count(F.lit(1)).alias("n_messages"),
-        F.lit(0).cast("long").alias("n_late"),
+        F.count_if(late).alias("n_late"),
     )
 
 

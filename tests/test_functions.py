@@ -131,3 +131,29 @@ def test_fast_patterns_are_the_slow_ones(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select(T.matches("t", V.HIRING_WORDS).alias("a"), T.matches_any("t", V.HIRING_WORDS).alias("b"), T.matches("t", V.CLEARANCE).alias("c"), T.matches_hinted("t", V.CLEARANCE, ("clearance", "active")).alias("d")).collect():
         assert r.a == r.b and r.c == r.d
+
+
+def test_mean_vector_is_one_row_a_task(spark):
+    rows = [([1.0, 2.0],), ([3.0],), (None,), ([],), ([5.0, None, 7.0],)]
+    df = spark.createDataFrame(rows, "v array<float>").repartition(3)
+    got = X.mean_vector(df, "v")
+    assert got.first().centre == [3.0, 2.0, 7.0]
+    assert X.mean_vector(df.filter("v IS NULL"), "v").first().centre is None
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and text.count("Generate explode") == 0
+
+
+def test_percentile_of_many_scores_is_brute_force(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+    scores = [r.choice([None, 0.5, round(r.random(), 2), r.random()]) for _ in range(700)]
+    df = spark.createDataFrame(list(enumerate(scores)), "id int, score double")
+    known = [s for s in scores if s is not None]
+    want = {i: None if s is None else 100 * sum(k < s for k in known) / len(known) for i, s in enumerate(scores)}
+    assert {x.id: x.percentile for x in X.percentile(df).collect()} == want
+    monkeypatch.setattr(X, "RANGE_SCORES", 20)
+    assert {x.id: x.percentile for x in X.percentile(df).collect()} == want
+    monkeypatch.setattr(X, "BROADCAST_SCORES", 10)
+    assert {x.id: x.percentile for x in X.percentile(df).collect()} == want
+    assert X.percentile(df.filter("score IS NULL")).filter("percentile IS NOT NULL").count() == 0

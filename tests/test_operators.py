@@ -300,7 +300,7 @@ def test_lessons_are_for_later_messages(spark):
         ("other", "t", "hr@globex.com", "hello", "", ts(5)),  # by its sender Globex, but the thread is Acme's by now
         ("after", "u", "x@gmail.com", "hello", "", ts(6)),
     ]
-    found, known = scan.match_to_fixpoint(spark.createDataFrame(mail, MAIL), apps)
+    found, known = scan.match_in_order(spark.createDataFrame(mail, MAIL), apps)
     assert {r.message_id: (r.application_id, r.strategy) for r in found.collect()} == {"teach": (1, "domain"), "late": (1, "thread"), "other": (1, "thread")}
     assert {r.id: r.thread_id for r in known.collect()} == {1: "t", 2: None} and known.columns == apps.columns
 

@@ -57,5 +57,7 @@ def plan(df) -> str:
 def test_plans(spark, sf):
     p = plan(q.QUERIES["shortlist"](spark, sf))
     assert "LeftAnti" in p and "WindowGroupLimit" in p and "TakeOrderedAndProject" in p and "CartesianProduct" not in p
+    # the ranking moves no text and no vector
+    assert "text#" not in p and "embedding#" not in p and "CartesianProduct" not in p
     p = plan(q.QUERIES["semi_join_in"](spark, sf))
     assert "LeftSemi" in p and "PushedFilters: [IsNotNull(c_mktsegment)" in p
