@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -23,16 +25,26 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Tables of texts, on which queries do much work a row.
+TEXTS = ("documents", "pages")
+
+
+def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as it lies there, for queries that only take slim columns from it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    found = scan(spark, sf_dir, name)
+    return spread(found) if name in TEXTS else found
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the role of postings: id, company, title, body_chars, is_remote, passed, blocked, embedding.
 
     What the scan of the text is for is taken at the scan, so that the joins move no texts.
     """
-    d, lab, e = (table(spark, sf_dir, t) for t in ("documents", "labels", "embeddings"))
+    d, lab, e = (scan(spark, sf_dir, t) for t in ("documents", "labels", "embeddings"))
     slim = d.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("company"),
@@ -51,7 +63,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, embedding`` of the postings: the vectors of documents that there are."""
-    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    e, d = scan(spark, sf_dir, "embeddings"), scan(spark, sf_dir, "documents")
     return e.join(d, e["vec_id"] == d["doc_id"], "left_semi").select(F.col("vec_id").alias("id"), "embedding")
 
 

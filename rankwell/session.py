@@ -42,6 +42,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of a table that one core reads without help.
+EACH = 16 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """What Spark takes the size of ``df`` to be, from its files; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it is so small that its files may be a task or two; a table of more
+    than EACH bytes a core has splits enough, and stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if estimated_bytes(df) < EACH * cores else df
+
+
 CURRENT = "CURRENT"
 
 
