@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,33 +54,3 @@ def spread(df: DataFrame) -> DataFrame:
     than EACH bytes a core has splits enough, and stays where it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if estimated_bytes(df) < EACH * cores else df
-
-
-CURRENT = "CURRENT"
-
-
-def commit(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> str:
-    """Write a new version of all ``tables`` below ``folder``: readers see all of them or none.
-
-    The version is written beside the others and then named in one small file, which is put
-    in place by a rename. A failure before that leaves the version before in force.
-    """
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.parquet(f"{folder}/{version}/{name}")
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    fs = path(CURRENT).getFileSystem(conf)
-    out = fs.create(path(f"{CURRENT}-{version}"), True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    fs.delete(path(CURRENT), False)
-    if not fs.rename(path(f"{CURRENT}-{version}"), path(CURRENT)):
-        raise OSError(f"{folder}: could not put version {version} in force")
-    return version
-
-
-def snapshot(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
-    """A reader of the tables of the version that is in force now; later commits don't change what it reads."""
-    version = spark.read.text(f"{folder}/{CURRENT}", wholetext=True).first()[0]
-    return lambda name: spark.read.parquet(f"{folder}/{version}/{name}")

@@ -404,19 +404,6 @@ def test_mailbox(spark):
     assert mailbox.cleared_note(done.filter("cleared")) == "3 cleared"
 
 
-def test_versions(spark, tmp_path):
-    """A snapshot reads what was in force when it was taken; a commit is all or nothing."""
-    folder, df = str(tmp_path / "store"), spark.range(3)
-    session.commit(spark, {"jobs": df, "sources": df.limit(1)}, folder)
-    before = session.snapshot(spark, folder)
-    session.commit(spark, {"jobs": df.filter("id > 0"), "sources": df}, folder)
-    assert before("jobs").count() == 3 and before("sources").count() == 1
-    with pytest.raises(Exception):
-        session.commit(spark, {"jobs": df.limit(1), "sources": df.select(F.raise_error(F.lit("no")).cast("string").alias("x"))}, folder)
-    now = session.snapshot(spark, folder)
-    assert now("jobs").count() == 2 and now("sources").count() == 3
-
-
 def test_probe(spark):
     companies = spark.createDataFrame([("name:acme", "Blue Acme", ["Dev"]), ("name:globex", "Globex", ["Ops"]), ("name:none", "Nobody", ["X"])], "key string, company string, titles array<string>")
 
