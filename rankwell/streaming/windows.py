@@ -42,3 +42,17 @@ def read_folder(spark, path: str, schema: str) -> DataFrame:
 def write_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Everything that is there now, written as Parquet; a restart goes on where it stopped."""
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+
+
+def joined_in_time(left: DataFrame, right: DataFrame, keys: list[str], at: str, other_at: str, before: str, after: str, watermarks: tuple[str, str] = ("1 day", "1 day")) -> DataFrame:
+    """Rows of two streams (or tables) with equal keys, where ``other_at`` of the right lies from ``before`` before
+    ``at`` of the left to ``after`` after it. Both have watermarks, so each side's state is held only as
+    long as the other may still bring a match."""
+    a, b = left.withWatermark(at, watermarks[0]), right.withWatermark(other_at, watermarks[1])
+    b = b.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in b.columns])
+    same = None
+    for k in keys:
+        eq = F.col(k) == F.col(f"_r_{k}")
+        same = eq if same is None else same & eq
+    near = F.col(other_at).between(F.col(at) - F.expr(f"INTERVAL {before}"), F.col(at) + F.expr(f"INTERVAL {after}"))
+    return a.join(b, same & near).drop(*[f"_r_{k}" for k in keys])
