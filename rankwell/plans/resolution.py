@@ -137,19 +137,41 @@ def udf_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.classify(d).select("doc_id", "verdict.reply_type", F.round("verdict.confidence", 6).alias("confidence"), "verdict.job_related")
 
 
+#: An alert of each board, by its sender; # stands for the page's number.
+ALERTS = [
+    ("a@hh.ru", '<p><a href="https://hh.ru/vacancy/#?from=x">Dev</a></p><p>Fabrika, Omsk</p>', ""),
+    ("x@career.habr.com", '<p><a href="https://t/?url=https%3A%2F%2Fcareer.habr.com%2Fvacancies%2F#">Go Dev</a></p><p>Компания: Acme #</p><p>Город: Омск</p><p>Требуемые навыки: Go</p>', ""),
+    ("jobs@linkedin.com", '<p><a href="https://www.linkedin.com/comm/jobs/view/#/?x=1">Role #</a></p><p>Company # · Lisbon</p><p>Easy Apply</p>', ""),
+    ("x@wellfound.com", "", "Hello,\n\nnew roles for you\n\nBackend Dev  Acme #  / 11-50 Employees  €50k | Remote only, Berlin | Full-time  Actively Hiring\n<https://wellfound.com/jobs/#-backend-dev?utm=1>"),
+    ("x@glassdoor.com", '<a href="https://g/jobListing.htm?jobListingId=#"><p>Acme # 4.1 ★</p><p>Eng</p><p>Easy Apply</p><p>Bonn</p></a>', ""),
+    ("x@indeed.com", "", "Dev\nAcme # - Bonn\n€50k\nGreat snippet\n2 days ago\nhttps://de.indeed.com/x?a=1&jk=#"),
+    ("x@landing.jobs", '<a href="https://t/?url=https%3A%2F%2Flanding.jobs%2Fat%2Facme%2F#">Remote Dev @ Acme #</a>', ""),
+    ("x@justjoin.it", '<a href="https://justjoin.it/job-offer/acme-#?x=1"><p>Acme #</p><p>Kraków</p><p>Dev</p><p>10 PLN</p><p>Hybrid, remote</p><p>B2B</p><p>Senior</p><p>3 days</p><p>Apply</p></a>', ""),
+    ("x@wysylka.pracuj.pl", '<p><a href="https://www.pracuj.pl/praca/dev-acme,oferta,#?s=1">! Dev</a></p><p><a href="https://www.pracuj.pl/praca/dev-acme,oferta,#">10 000 zł</a></p><p><a href="https://www.pracuj.pl/praca/dev-acme,oferta,#">Acme #</a> Warszawa</p>', ""),
+    ("x@elsewhere.com", '<a href="https://hh.ru/vacancy/#">Dev</a>', ""),
+]
+
+
 @query(
     "udtf_split",
-    """SELECT 'm' || page_id AS message_id, 'https://www.linkedin.com/jobs/view/' || page_id AS url, 'Company ' || page_id AS company, 'Role ' || page_id AS title,
-  CASE WHEN page_id % 2 = 0 THEN 'Remote' ELSE 'Lisbon' END AS location, page_id % 2 = 0 AS is_remote FROM pages
-UNION ALL SELECT 'm' || page_id, 'https://hh.ru/vacancy/' || page_id, 'Fabrika', 'Dev', 'Omsk', false FROM pages""",
+    """WITH r(url, company, title, location, is_remote) AS (VALUES
+  ('https://hh.ru/vacancy/#', 'Fabrika', 'Dev', 'Omsk', false),
+  ('https://career.habr.com/vacancies/#', 'Acme #', 'Go Dev', 'Омск', false),
+  ('https://www.linkedin.com/jobs/view/#', 'Company #', 'Role #', 'Lisbon', false),
+  ('https://wellfound.com/jobs/#-backend-dev', 'Acme #', 'Backend Dev', 'Berlin', true),
+  ('https://www.glassdoor.com/job-listing/j?jl=#', 'Acme #', 'Eng', 'Bonn', false),
+  ('https://de.indeed.com/viewjob?jk=#', 'Acme #', 'Dev', 'Bonn', false),
+  ('https://landing.jobs/at/acme/#', 'Acme #', 'Remote Dev', NULL, true),
+  ('https://justjoin.it/job-offer/acme-#', 'Acme #', 'Dev', 'Kraków', false),
+  ('https://pracuj.pl/praca/dev-acme,oferta,#', 'Acme #', 'Dev', 'Warszawa', false))
+SELECT 'm' || page_id AS message_id, replace(r.url, '#', CAST(page_id AS VARCHAR)) AS url, replace(company, '#', CAST(page_id AS VARCHAR)) AS company,
+  replace(title, '#', CAST(page_id AS VARCHAR)) AS title, location, is_remote FROM pages, r""",
 )
 def udtf_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as alerts of two boards, each read by its parser: one message, as many records as it holds."""
+    """Pages as alerts of all boards, each read by its parser through the table function in SQL."""
+    mail.register_alerts(spark)
     n = F.col("page_id").cast("string")
-    card = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    place = F.when(F.col("page_id") % 2 == 0, "Remote").otherwise("Lisbon")
-    one = card('<p><a href="https://www.linkedin.com/comm/jobs/view/', n, '/?x=1">Role ', n, "</a></p><p>Company ", n, " · ", place, "</p><p>Easy Apply</p>")
-    two = card('<p><a href="https://hh.ru/vacancy/', n, '?from=x">Dev</a></p><p>Fabrika, Omsk</p>')
-    boards = F.explode(F.array(F.struct(F.lit("jobs@linkedin.com").alias("from_address"), one.alias("html")), F.struct(F.lit("a@hh.ru").alias("from_address"), two.alias("html"))))
-    alerts = table(spark, sf_dir, "pages").select(F.concat(F.lit("m"), n).alias("message_id"), boards.alias("x")).select("message_id", "x.*", F.lit("").alias("text"))
-    return mail.alert_records(alerts).select("message_id", "url", "company", "title", "location", "is_remote")
+    filled = lambda x: F.replace(F.lit(x), F.lit("#"), n)
+    boards = F.explode(F.array(*[F.struct(F.lit(s).alias("from_address"), filled(h).alias("html"), filled(t).alias("text")) for s, h, t in ALERTS]))
+    alerts = table(spark, sf_dir, "pages").select(F.concat(F.lit("m"), n).alias("message_id"), boards.alias("x")).select("message_id", "x.*")
+    return spark.sql("SELECT message_id, url, company, title, location, is_remote FROM {alerts}, LATERAL alert_records(from_address, html, text)", alerts=alerts)

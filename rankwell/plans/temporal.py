@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times as D
+from ..functions import variants as J
 from ..streaming import windows as W
 from .base import query, table
 
@@ -43,10 +44,16 @@ def zone_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", _show(D.to_wall_clock(t, "Europe/Podgorica")).alias("local"), _show(D.from_wall_clock(t, "Europe/Podgorica")).alias("utc"))
 
 
-@query("nested_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.missing.deep'), 'none') AS deep FROM events")
+@query(
+    "nested_json",
+    """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.missing.deep'), 'none') AS deep,
+  json_type(props) AS kind, CAST(json_extract(props, '$.k') AS VARCHAR) AS k_text, json_extract_string(props, '$.items[0].name') AS first_item FROM events""",
+)
 def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.from_json("props", "k long, missing struct<deep: string>")
-    return table(spark, sf_dir, "events").withColumn("p", p).select("event_id", F.col("p.k").alias("k"), F.coalesce(F.nullif("p.missing.deep", F.lit("")), F.lit("none")).alias("deep"))
+    """Free-form JSON as a stored variant: paths of any depth, missing levels and wrong kinds are null."""
+    p = J.parsed("props")
+    got = table(spark, sf_dir, "events").withColumn("p", p)
+    return got.select("event_id", J.at("p", "k", "bigint").alias("k"), F.coalesce(J.at("p", "missing.deep"), F.lit("none")).alias("deep"), J.kind("p").alias("kind"), J.at("p", "k").alias("k_text"), J.at("p", "items[0].name").alias("first_item"))
 
 
 @query("lookback_window", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 14 DAYS")

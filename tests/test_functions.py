@@ -157,3 +157,16 @@ def test_percentile_of_many_scores_is_brute_force(spark, monkeypatch):
     monkeypatch.setattr(X, "BROADCAST_SCORES", 10)
     assert {x.id: x.percentile for x in X.percentile(df).collect()} == want
     assert X.percentile(df.filter("score IS NULL")).filter("percentile IS NOT NULL").count() == 0
+
+
+def test_variants(spark, tmp_path):
+    from rankwell.functions import variants as J
+
+    rows = [(1, '{"k": 1, "a": {"b": [{"c": "x"}, 2]}, "n": null}'), (2, "[1, 2]"), (3, "not json"), (4, None), (5, '{"k": "seven", "a": 3}'), (6, '""')]
+    df = spark.createDataFrame(rows, "id int, j string").select("id", J.parsed("j").alias("v"))
+    df.write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))  # a variant is a stored column
+    got = {r.id: (r.k, r.c, r.n, r.kind) for r in stored.select("id", J.at("v", "k", "bigint").alias("k"), J.at("v", "a.b[0].c").alias("c"), J.at("v", "n").alias("n"), J.kind("v").alias("kind")).collect()}
+    assert got == {1: (1, "x", None, "OBJECT"), 2: (None, None, None, "ARRAY"), 3: (None,) * 4, 4: (None,) * 4, 5: (None, None, None, "OBJECT"), 6: (None, None, None, "STRING")}
+    made = J.lookup(stored, "v", {"c": ("a.b[0].c", "none"), "k": ("k", "0")}).select("id", "c", "k").collect()
+    assert {r.id: (r.c, r.k) for r in made} == {1: ("x", "1"), 2: ("none", "0"), 3: ("none", "0"), 4: ("none", "0"), 5: ("none", "seven"), 6: ("none", "0")}

@@ -243,3 +243,26 @@ def test_incoming_counts_from_the_run(spark):
     assert [r.message_id for r in mail.incoming(df, 14, exclude=("LinkedIn.com",), now=at(22)).collect()] == ["b"]
     assert mail.incoming(df.drop("labels"), 14, now=datetime.datetime(2027, 1, 1)).count() == 0
     assert mail.incoming(df.drop("labels"), 30, most=2, now=at(22)).count() == 2
+
+
+def test_alerts_as_a_table_function(spark):
+    rows = [("m1", *HTML["hh"], ""), ("m2", "x@new.board", "<b>A</b><b>B</b>", None), ("m3", "x@else.com", "", ""), ("m4", None, None, None), ("m5", *HTML["linkedin"], "")]
+    spark.createDataFrame(rows, "message_id string, from_address string, html string, text string").createOrReplaceTempView("alerts")
+
+    def new_board(html, text):
+        import re
+
+        for x in re.findall("<b>(.*?)</b>", html):
+            yield {"url": f"https://n/{x}", "company": "N", "title": x, "description": "", "location": None, "is_remote": False, "external_id": x}
+
+    mail.register_alerts(spark, {"new.board": new_board})
+    got = spark.sql("SELECT message_id, r.title FROM alerts, LATERAL alert_records(from_address, html, text) r").collect()
+    assert sorted(tuple(x) for x in got) == [("m1", "Dev"), ("m2", "A"), ("m2", "B"), ("m5", "Eng")]
+    # a board by name, whoever sent it; one that isn't known is told before anything runs
+    named = spark.sql("SELECT message_id FROM alerts, LATERAL alert_records('fwd@x', html, text, 'hh.ru')").collect()
+    assert [x.message_id for x in named] == ["m1"]
+    with pytest.raises(Exception, match="no parser for nowhere"):
+        spark.sql("SELECT * FROM alerts, LATERAL alert_records(from_address, html, text, 'nowhere')")
+    with pytest.raises(Exception, match="must be a string"):
+        spark.sql("SELECT * FROM alert_records(1, '', '')")
+    assert sorted((x.message_id, x.company) for x in mail.alert_records(spark.table("alerts"), {"new.board": new_board}).collect()) == [("m1", "Acme"), ("m2", "N"), ("m2", "N"), ("m5", "Acme")]
