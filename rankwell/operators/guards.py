@@ -19,9 +19,9 @@ RESIDENCE = (
     r"|\bI\s+(?:live|reside)\b[^.;!?\n]*|\bя\s+(?:живу|нахожусь|проживаю|базируюсь)\b[^.;!?\n]*"
 )
 ELIGIBILITY = (
-    r"[^.;!?\n]*\b(?:citizen|citizens|citizenship|passport|nationality|work permit|residence permit|residency|work visa|visa"
-    r"|authoriz(?:ed|ation)\s+to\s+work|right\s+to\s+work|work\s+authoriz\w*)\b[^.;!?\n]*"
-    r"|[^.;!?\n]*(?:гражданств|паспорт|вид на жительство|разрешени[ея] на работу)[^.;!?\n]*"
+    r"\b(?:citizen|citizens|citizenship|passport|nationality|work permit|residence permit|residency|work visa|visa"
+    r"|authoriz(?:ed|ation)\s+to\s+work|right\s+to\s+work|work\s+authoriz\w*)\b"
+    r"|гражданств|паспорт|вид на жительство|разрешени[ея] на работу"
 )
 ON_FILE = ("citizen", "passport", "nationality", "permit", "visa", "authoriz", "гражданств", "паспорт")
 PLACE = r"(?U)\b(?:[A-Z]{2,}|[A-ZА-ЯЁ][\wа-я-]+)"
@@ -53,8 +53,11 @@ def unsupported_claims(constraints: Column | str, letter: Column | str) -> Colum
     foreign = lambda c: F.exists(F.regexp_extract_all(c, F.lit(PLACE), F.lit(0)), lambda w: ~F.contains(hay, F.lower(w)))
     filed = F.exists(F.array(*[F.lit(w) for w in ON_FILE]), lambda w: F.contains(hay, w))
     residence = F.filter(spans(RESIDENCE), foreign)
-    eligibility = F.filter(F.filter(spans(ELIGIBILITY), lambda c: c != ""), lambda c: ~F.array_contains(residence, c) & (~filed | foreign(c)))
-    return F.concat(residence, eligibility)
+    # a claim of eligibility is the whole clause, so clauses are tested, once each
+    told = F.transform(F.filter(F.split(text, r"[.;!?\n]"), lambda c: c.rlike("(?iU)" + ELIGIBILITY)), lambda c: T.strip(c))
+    told = F.filter(told, lambda c: (c != "") & (~filed | foreign(c)))
+    # the residence claims are found once, and bound to r
+    return F.get(F.transform(F.array(residence), lambda r: F.concat(r, F.filter(told, lambda c: ~F.array_contains(r, c)))), F.lit(0))
 
 
 Classifier = Callable[[str, str, str], dict]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
@@ -40,7 +40,7 @@ def rule_engine_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", R.junk_title().alias("junk_title"), R.unwritten_body().alias("unwritten_body"), R.clearance_required().alias("clearance"), R.below_middle().alias("below_middle"), (F.length(F.trim("description")) >= 300).alias("draftable"))
 
 
-#: Postings whose texts make each rule speak; no table has such texts.
+#: Postings whose texts make each rule speak; no table has such texts, so each is dealt to documents.
 EXAMPLES = [
     (1, "Senior Engineer", "We need experience. Fluent German is required for this role.", "Berlin", False),
     (2, "Senior Engineer", "Experience with Go. German is a plus, English is fine.", "Berlin", False),
@@ -63,22 +63,54 @@ EXAMPLES = [
 ]
 
 
+#: What stops each example.
+STOPPED = ["language", "", "geo_locked", "", "geo_locked", "stopped_place", "stopped_place", "", "sponsorship_refused", "below_middle", "", "model_training", "", "clearance", "relocation_scam", "junk_title", "", ""]
+
+
+def _dealt(rows: list[tuple], names: tuple[str, ...], ident: str = "doc_id") -> list[Column]:
+    """The columns of the row that is dealt to each id in turn."""
+    at = F.pmod(F.col(ident), F.lit(len(rows))).cast("int") + 1
+    return [F.element_at(F.array(*[F.lit(r[k]) for r in rows]), at).alias(name) for k, name in enumerate(names)]
+
+
+def _values(wanted: list[str]) -> str:
+    return "[" + ", ".join(quoted(w) for w in wanted) + "]"
+
+
 @query(
     "location_rule",
-    "SELECT * FROM (VALUES (1, false, 'language'), (2, true, ''), (3, false, 'geo_locked'), (4, true, ''), (5, false, 'geo_locked'), (6, false, 'stopped_place'), (7, false, 'stopped_place'), (8, true, ''), (9, false, 'sponsorship_refused'), (10, false, 'below_middle'), (11, true, ''), (12, false, 'model_training'), (13, true, ''), (14, false, 'clearance'), (15, false, 'relocation_scam'), (16, false, 'junk_title'), (17, true, ''), (18, true, '')) AS t(id, passed, reasons)",
+    f"""SELECT doc_id, {_values(STOPPED)}[CAST(doc_id % {len(STOPPED)} AS INTEGER) + 1] AS reasons,
+  {_values(STOPPED)}[CAST(doc_id % {len(STOPPED)} AS INTEGER) + 1] = '' AS passed FROM documents""",
 )
 def location_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(EXAMPLES, "id int, title string, description string, location string, is_remote boolean")
-    return R.judged(rows).select("id", "passed", F.array_join("reasons", ",").alias("reasons"))
+    """Every document as the body of a posting that makes one rule speak, or none: its text, which tells of
+    nothing, stands below."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", *_dealt([x[1:] for x in EXAMPLES], ("title", "body", "location", "is_remote")))
+    body = F.concat_ws("\n\n", "body", F.lit("experience"), "text")
+    posting = d.select("doc_id", "title", body.alias("description"), "location", "is_remote")
+    return R.judged(posting).select("doc_id", F.array_join("reasons", ",").alias("reasons"), "passed")
+
+
+#: Clauses about languages, and whether they demand one.
+DEMANDS = [
+    ("Fluent German is required for this role.", True),
+    ("German is a plus.", False),
+    ("Fluent German is required; Polish is a plus.", True),
+    ("Native Polish would be a plus; English is fine.", False),
+    ("Fluent German or English.", False),
+    ("Sehr gute Deutschkenntnisse von Vorteil; we speak English.", False),
+    ("We speak English.", False),
+]
 
 
 @query(
     "clause_scoped_rule",
-    r"SELECT doc_id, len(list_filter(string_split_regex(text, '[\n•;!?]|[.]'), lambda c: regexp_matches(c, '(^| )(the|der|la|le)( |,|$)') AND NOT regexp_matches(c, '(^| )(of|von|de)( |,|$)'))) > 0 AS fires FROM documents",
+    f"SELECT doc_id, [{', '.join(str(x).lower() for _, x in DEMANDS)}][CAST(doc_id % {len(DEMANDS)} AS INTEGER) + 1] AS fires FROM documents",
 )
 def clause_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.split("text", r"[\n•;!?]|[.]")
-    return table(spark, sf_dir, "documents").select("doc_id", F.exists(c, lambda x: x.rlike(r"(^| )(the|der|la|le)( |,|$)") & ~x.rlike(r"(^| )(of|von|de)( |,|$)")).alias("fires"))
+    """The demand for a language in the last clauses of each document: a softener counts in its own clause only."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", *_dealt(DEMANDS, ("said", "_")))
+    return d.select("doc_id", F.lit("").alias("title"), F.concat_ws("\n", "text", "said").alias("description")).select("doc_id", R.language_required().alias("fires"))
 
 
 @query("blocked_host", f"SELECT page_id, {HOST} IN ('example.org', 'ththre.example.com') OR {HOST} LIKE '%.example.org' OR {HOST} LIKE '%.ththre.example.com' AS blocked FROM pages")
@@ -161,10 +193,12 @@ LETTERS = [
 ]
 
 
-@query("eligibility_spans", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(want)})" for i, _, _, want in LETTERS) + ") AS t(id, claims)")
+@query("eligibility_spans", f"SELECT doc_id, {_values([x[3] for x in LETTERS])}[CAST(doc_id % {len(LETTERS)} AS INTEGER) + 1] AS claims FROM documents")
 def eligibility_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([x[:3] for x in LETTERS], "id int, constraints string, letter string")
-    return rows.select("id", F.array_join(guards.unsupported_claims("constraints", "letter"), "; ").alias("claims"))
+    """Every document as a letter that claims something in its first line, against what is on file."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", *_dealt([x[1:3] for x in LETTERS], ("constraints", "said")))
+    letter = F.when(F.col("said").isNotNull(), F.concat_ws("\n", "said", "text"))
+    return d.select("doc_id", F.array_join(guards.unsupported_claims("constraints", letter), "; ").alias("claims"))
 
 
 @query(
