@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 from html.parser import HTMLParser
@@ -189,27 +190,67 @@ def fold_text(text: str | None) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
 
 
+def _decomposed(c: str) -> str:
+    """The letters that a character is made of, without marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+def _foldable() -> Iterator[str]:
+    """Characters that have a decomposition: those below the first Han ones, the compatibility ones, and the
+    styled letters and compatibility ones of higher planes. Hangul syllables stay composed."""
+    for i in (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0xFFFE), *range(0x10000, 0x20000), *range(0x2F800, 0x2FA20)):
+        if not unicodedata.combining(chr(i)):
+            yield chr(i)
+
+
 @lru_cache(maxsize=2)
 def _bases(lower: bool) -> tuple[str, str]:
-    """Letters of the basic plane whose decomposition is one letter and marks, and that letter."""
-    pairs = []
-    for i in (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0xFFFE)):
-        c = chr(i)
-        if 0xD800 <= i < 0xE000 or unicodedata.combining(c):
-            continue
-        base = "".join(x for x in unicodedata.normalize("NFKD", c.lower() if lower else c) if not unicodedata.combining(x))
-        if len(base) == 1 and base != c:
-            pairs.append((c, base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    """Letters whose decomposition is one letter and marks, and that letter; then the marks that combine,
+    which have no counterpart. Vowel signs and others that take a place of their own aren't among them."""
+    pairs = [(c, base) for c in _foldable() for base in (_decomposed(c.lower() if lower else c),) if len(base) == 1 and base != c]
+    marks = "".join(chr(i) for i in range(0x300, 0x20000) if unicodedata.combining(chr(i)))
+    return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
+
+
+#: Around the entries of the table of ``_several``; neither occurs in texts.
+OPEN, IS = "\ufdd0", "\ufdd1"
+
+
+@lru_cache(maxsize=1)
+def _several() -> tuple[str, str]:
+    """Characters that are several letters (or none): a pattern that all of them match, if not they alone, and
+    their letters as one string of entries."""
+    found = {c: base for c in _foldable() for base in (_decomposed(c),) if len(base) != 1}
+    ranges: list[list[int]] = []
+    for i in map(ord, found):
+        if ranges and i - ranges[-1][1] < 0x200:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    pattern = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+    return pattern, "".join(f"{OPEN}{c}{IS}{base}" for c, base in found.items()) + OPEN
+
+
+def _spelled_out(x: Column) -> Column:
+    """Characters that are several letters as those letters, in the few texts that may have any."""
+    pattern, entries = _several()
+
+    def letters(c: Column) -> Column:
+        entry = F.concat(F.lit(OPEN), c, F.lit(IS))
+        return F.when(F.contains(F.lit(entries), entry), F.substring_index(F.split_part(F.lit(entries), entry, F.lit(2)), OPEN, 1)).otherwise(c)
+
+    # bound to a name, so that it is worked out once
+    return F.get(F.transform(F.array(x), lambda y: F.when(y.rlike(pattern), F.array_join(F.transform(F.split(y, ""), letters), "")).otherwise(y)), F.lit(0))
 
 
 def fold(x: Column | str) -> Column:
-    """Lower case without diacritics, in built-in expressions."""
+    """Lower case without diacritics, in built-in expressions: compatibility decomposition (but for Hangul
+    syllables, which stay composed), less the marks."""
     x = F.lower(F.coalesce(_col(x), F.lit("")))
     plain = x
     for a, b in V.TRANSLITERATE:
         plain = F.replace(plain, F.lit(a), F.lit(b))
-    plain = F.regexp_replace(F.translate(plain, *_bases(True)), r"\p{M}+", "")
+    plain = _spelled_out(F.translate(plain, *_bases(True)))
     return F.when(x.rlike(r"\A[\x00-\x7f]*\z"), x).otherwise(plain)
 
 

@@ -170,3 +170,15 @@ def test_variants(spark, tmp_path):
     assert got == {1: (1, "x", None, "OBJECT"), 2: (None, None, None, "ARRAY"), 3: (None,) * 4, 4: (None,) * 4, 5: (None, None, None, "OBJECT"), 6: (None, None, None, "STRING")}
     made = J.lookup(stored, "v", {"c": ("a.b[0].c", "none"), "k": ("k", "0")}).select("id", "c", "k").collect()
     assert {r.id: (r.c, r.k) for r in made} == {1: ("x", "1"), 2: ("none", "0"), 3: ("none", "0"), 4: ("none", "0"), 5: ("none", "seven"), 6: ("none", "0")}
+
+
+def test_fold_is_the_compatibility_form_of_every_character(spark):
+    # Hangul syllables stay composed; Java and Python differ in how they lower a few characters
+    every = [chr(i) for i in range(0x20, 0x30000) if not 0xD800 <= i < 0xE000 and not 0xAC00 <= i < 0xD7A4]
+    df = spark.createDataFrame([(f"a{c}b",) for c in every], "x string")
+    low = {r.x: (r.low, r.f) for r in df.select("x", F.lower("x").alias("low"), T.fold("x").alias("f")).collect()}
+    same = [x for x, (j, _) in low.items() if j == x.lower()]
+    wrong = [(x, low[x][1], T.fold_text(x)) for x in same if low[x][1] != T.fold_text(x)]
+    assert len(same) > 0.99 * len(every)
+    assert not wrong, wrong[:5]
+    assert one(spark, T.fold("a"), a="Ǆungla № ﬁne ㎏ ½ 𝔅𝔢𝔯𝔩𝔦𝔫 ｱｸﾒ") == T.fold_text("Ǆungla № ﬁne ㎏ ½ 𝔅𝔢𝔯𝔩𝔦𝔫 ｱｸﾒ")
