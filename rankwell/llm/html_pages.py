@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import random
 
-PAGES = 600
+PAGES = 800
 LETTERS = "aeiouaeionrtlsdmcbgvfhpáéñüö"
 
 
 class Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.foreign = 0.0  # of the page that is being made: how often a name says nothing
 
     def word(self) -> str:
         return "".join(self.r.choice(LETTERS) for _ in range(self.r.randint(1, 9)))
@@ -37,7 +38,9 @@ class Maker:
         r = self.r
         if r.random() > often:
             return ""
-        name = r.choice(names)
+        # sites that name things in another language, by a code, or for their looks
+        foreign = r.random() < self.foreign
+        name = r.choice(["x", "c", "css-", "sc-", "_"]) + f"{r.randint(1, 99)}" if foreign and r.random() < 0.5 else r.choice(["box", "bloc", "caja", "kasten", "inner", "col-8", "mt-4", self.word()]) if foreign else r.choice(names)
         if r.random() < 0.3:
             name = r.choice(["site-", "page-", "main-", "js-", "c-"]) + name
         return f' {r.choice(["class", "class", "id"])}="{name}"'
@@ -88,7 +91,9 @@ class Maker:
 
     def comments(self) -> str:
         r = self.r
-        one = lambda: self.tag(r.choice(["li", "div", "article"]), f"<b>{self.word()}</b> <p>{self.sentences(1, 4)}</p>", "", self.attrs(["comment", "reply", "comment-body"], 0.8))
+        kind, named, said = r.choice(["li", "div", "article"]), r.choice(["b", "a", "cite", "strong", "span"]), r.choice(["p", "p", "div"])
+        date = r.random() < 0.4
+        one = lambda: self.tag(kind, f"<{named}>{self.words(1, 2)}</{named}>" + (f" <time>{r.randint(1, 28)} {self.word()} 20{r.randint(10, 30)}</time>" if date else "") + f" <{said}>{self.sentences(1, 4)}</{said}>", "", self.attrs(["comment", "reply", "comment-body"], 0.8))
         body = (f"<h3>{self.words(1, 3)}</h3>" if r.random() < 0.7 else "") + "".join(one() for _ in range(r.randint(1, 6)))
         return self.tag(r.choice(["section", "div", "ol", "ul"]), body, "0", self.attrs(["comments", "comment-list", "discussion", "responses", "disqus", "replies"], 1))
 
@@ -112,19 +117,25 @@ class Maker:
             return "<ul>" + "".join(f"<li>{self.sentences(1, 1)}</li>" for _ in range(r.randint(2, 6))) + "</ul>"
         if k < 0.95:
             return f"<blockquote><p>{self.sentences(1, 3)}</p></blockquote>"
+        if k < 0.955:
+            return f"<table><tr><td>{self.words(1, 12)}</td></tr></table>"
         if k < 0.97:
             return "<table>" + "".join("<tr>" + "".join(f"<td>{self.words(1, 4)}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(2, 5))) + "</table>"
         return f"<div>{self.sentences(1, 5)}</div>" if k < 0.985 else f"<figure><img src='x'><figcaption>{self.sentences(1, 1)}</figcaption></figure>"
 
     def article(self) -> str:
         r = self.r
-        parts = [f"<h1>{self.words(1, 10)}</h1>"] if r.random() < 0.85 else []
-        parts += [self.paragraph() for _ in range(r.choice([1, 2, 3, 5, 8, 13, 20]))]
+        kind = r.random()
+        headline = f"<h1>{self.words(1, 10)}</h1>"
+        if kind < 0.65 and r.random() < 0.2:  # a header that only article or main tells from the page's
+            headline = self.tag("header", headline + (f"<p>{self.words(1, 8)}</p>" if r.random() < 0.5 else ""), "1")
+        parts = [headline] if r.random() < 0.85 else []
+        short = r.random() < 0.12
+        parts += [f"<p>{self.words(3, 14).capitalize()}.</p>"] if short else [self.paragraph() for _ in range(r.choice([1, 2, 3, 5, 8, 13, 20]))]
         if r.random() < 0.3:  # what interrupts an article
             parts.insert(r.randint(1, len(parts)), r.choice([self.advert, self.sidebar, self.notice])())
         if r.random() < 0.25:
             parts.append(r.choice([self.comments, self.comments, self.sidebar, self.form])())
-        kind = r.random()
         if kind < 0.5:
             return self.tag("article", "".join(parts), "1", self.attrs(["article", "post", "entry"], 0.3))
         if kind < 0.65:
@@ -151,6 +162,7 @@ class Maker:
 
     def page(self) -> str:
         """One page; some leave out end tags that HTML lets them leave out."""
+        self.foreign = self.r.choice([0, 0, 0, 0, 0, 0, 0.5, 1])
         html = self.bare() if self.r.random() < 0.06 else self.whole()
         if self.r.random() < 0.12:
             for tag in ("p", "li", "td", "tr", "dd"):

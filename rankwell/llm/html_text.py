@@ -150,7 +150,7 @@ def parse(html: str) -> Dom:
 
 NAMES = ("depth", "kids", "place", "siblings", "alike", "words", "links", "density", "points", "stops", "paragraphs", "items", "fields", "before", "share",
          "is_p", "is_heading", "is_list", "is_a", "is_table", "is_inline", "is_container", "main_tag", "frame_tag", "in_main", "in_frame",
-         *(f"own_{k}" for k in range(5)), *(f"above_{k}" for k in range(5)), "parent_links", "previous", "following")
+         *(f"own_{k}" for k in range(5)), *(f"above_{k}" for k in range(5)), "parent_links", "previous", "following", "twins", "twins_above", "short_first")
 
 
 def node_features(dom: Dom) -> np.ndarray:
@@ -206,6 +206,7 @@ def node_features(dom: Dom) -> np.ndarray:
         above[i] = above[p] + own[p]
     for i in range(1, n):
         alike[i] = count[parent[i], dom.tag[i]]
+    twins, twins_above, short_first = _repeats(dom, words)
     some = np.maximum(words, 1)
     up = np.maximum(parent, 0)
     x[:, :15] = np.stack([np.minimum(depth, 40), kids, order / np.maximum(kids[up], 1), kids[up], alike, np.log1p(words), links / some, words / tags, points / some, stops / some, ps / tags, items / tags, fields / tags, np.maximum(before, 0) / max(seen, 1), words / max(seen, 1)], 1)
@@ -214,9 +215,34 @@ def node_features(dom: Dom) -> np.ndarray:
     x[:, 24], x[:, 25] = np.minimum(main, 3), np.minimum(frame, 3)
     x[:, 26:31], x[:, 31:36] = np.minimum(own, 3), np.minimum(above, 3)
     x[:, 36], x[:, 37], x[:, 38] = (links / some)[up], np.log1p(previous), np.log1p(following)
+    x[:, 39], x[:, 40], x[:, 41] = np.minimum(twins, 9), np.minimum(twins_above, 9), short_first
     return x
 
 
+def _repeats(dom: Dom, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How comments and teasers show whatever they are called: elements of several children that repeat the
+    tags of a sibling (how many there are), the largest such number above, and whether a short child of
+    another kind than text, such as a name or a date, stands first."""
+    n = len(dom.tag)
+    below: list[list[int]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        below[dom.parent[i]].append(i)
+    shape = [(dom.tag[i], *sorted({dom.tag[k] for k in below[i]})) if len(below[i]) > 1 else None for i in range(n)]
+    twins, above, first = np.zeros(n), np.zeros(n), np.zeros(n)
+    for i in range(n):
+        seen: dict[tuple, int] = {}
+        for k in below[i]:
+            if shape[k]:
+                seen[shape[k]] = seen.get(shape[k], 0) + 1
+        for k in below[i]:
+            twins[k] = seen.get(shape[k], 0) if shape[k] else 0
+            above[k] = max(above[i], twins[k])
+        if len(below[i]) > 1:
+            k = below[i][0]
+            first[i] = dom.tag[k] in ("a", "address", "b", "cite", "em", "i", "img", "small", "span", "strong", "time") and words[k] <= 4
+    return twins, above, first
+
+
 def truth(dom: Dom) -> np.ndarray:
     """1: all of the article, 0: nothing of it, -1: in part or without text."""
     n = len(dom.tag)
@@ -273,12 +299,38 @@ def states(dom: Dom, logit: np.ndarray) -> np.ndarray:
     return state
 
 
-def decode(dom: Dom, logit: np.ndarray) -> np.ndarray:
-    """True for the elements whose own text is kept; that of mixed ones is by their own odds."""
+def _chosen(dom: Dom, logit: np.ndarray) -> np.ndarray:
     state = states(dom, logit)
     return (state == 1) | ((state == 2) & (logit > 0) & (np.arange(len(state)) > 0))
 
 
+#: How sure of the best element the odds are made where none would be kept.
+SURE = 1.0
+
+
+def decode(dom: Dom, logit: np.ndarray) -> np.ndarray:
+    """True for the elements whose own text is kept; that of mixed ones is by their own odds.
+
+    If that leaves a page without text, as that of one short paragraph, the odds of all elements that are in
+    no frame and no link are raised together until the best of them is kept, and the choice is made again.
+    """
+    kept = _chosen(dom, logit)
+    own = np.zeros(len(dom.tag))
+    for i, _, data in dom.texts:
+        own[i] += len(data.split())
+    if not own.any() or (own[kept] > 0).any():
+        return kept
+    shut = np.zeros(len(dom.tag), bool)
+    for i in range(1, len(shut)):
+        shut[i] = shut[dom.parent[i]] or dom.tag[i] in PLAIN_FRAME or dom.tag[i] == "a" or any(dom.tokens[i] & g for g in GROUPS[1:])
+    able = (own > 0) & ~shut
+    if not able.any():
+        return kept
+    raised = np.where(shut, -6.0, np.minimum(logit, logit[able].max()) + SURE - logit[able].max())
+    best = able & (logit == logit[able].max())
+    return _chosen(dom, raised) | best
+
+
 def render(dom: Dom, kept: np.ndarray) -> str:
     """The kept texts: white space of a block as one space, blocks joined by an empty line."""
     blocks: list[str] = []
@@ -308,8 +360,9 @@ def extract(pages: list[str], trees: Boosted) -> list[str]:
 def extract_pages(pages: DataFrame, html: str = "html", n_made: int = html_pages.PAGES) -> DataFrame:
     """``pages`` without ``html``, with text and n_chars of the main text.
 
-    A null or empty page, or one without an article, gives an empty text. Broken markup is
-    read as browsers do in the main points: missing end tags are implied, that of the head
+    A null or empty page, or one that has nothing but menus, notices and other frames, gives an empty
+    text; a page of one short paragraph gives that. A header inside the article that holds its headline is
+    part of it, with what else stands there. Broken markup is read as browsers do in the main points: missing end tags are implied, that of the head
     included, and so is the body, so that a page of plain text has one; stray end tags are
     ignored. Formulas (math) count as text, with their annotations.
     Repeated rows give equal texts; an empty table stays empty; columns named text or n_chars
