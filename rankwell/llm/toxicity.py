@@ -19,8 +19,11 @@ PRIOR, where quotation and report count less than abuse that is said to someone.
 from __future__ import annotations
 
 import math
+import pickle
 import re
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,14 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table
 from .labelled import held_out, sample, scored
-from .neardup import near_duplicates
 
 #: Most labelled rows that lexicon and weights are learned from.
 TRAIN_ROWS = 8000
-#: Most entries of the lexicon, those most bound to toxic documents.
-LEXICON = 20_000
 STEM_CHARS = (4, 5, 6, 7)
 WINDOW = 5
 MARK = "^"  # no letter and no digit, so in no word
@@ -221,13 +221,13 @@ def evidence(matches: list[tuple[str, int, int]]) -> np.ndarray:
     return np.concatenate([[1.0], np.log2(1 + sums).ravel()])
 
 
-def lexicon(terms: list[tuple[str, bool, int, int]], n1: int, n0: int) -> tuple[list[str], list[str]]:
-    """Words and stems from (term, is a stem, toxic documents, other documents with it).
+def lexicon(terms: list[tuple[str, bool, int, int]], n1: int, n0: int, tested: int = 0) -> tuple[list[str], list[str]]:
+    """Words and stems from (term, is a stem, toxic documents, other documents with it): all that are
+    significant, as one of ``tested`` terms (as many as there are, if not given).
 
-    Words below a stem stay, for their misspellings: a stem is matched as it is. Of more than
-    LEXICON words, or stems, those stay that are most significant.
+    Words below a stem stay, for their misspellings: a stem is matched as it is.
     """
-    held = max(1, len(terms))
+    held = max(1, tested, len(terms))
 
     def ratio(a: int, b: int) -> float:
         n, total = n1 + n0, 0.0
@@ -239,8 +239,7 @@ def lexicon(terms: list[tuple[str, bool, int, int]], n1: int, n0: int) -> tuple[
     for term, stem, a, b in terms:
         if a / max(n1, 1) >= 20 * (b + 0.2) / max(n0 + 1, 1) and ratio(a, b) > 2 * math.log(held) + 2:
             good[term, stem] = a
-    rank = {(t, stem): (-ratio(a, b), t) for t, stem, a, b in terms if (t, stem) in good}
-    words = {t for t, stem in sorted((x for x in good if not x[1]), key=rank.__getitem__)[:LEXICON]}
+    words = sorted(t for t, stem in good if not stem)
     stems: list[str] = []
     for (t, stem), a in sorted(good.items(), key=lambda x: (len(x[0][0]), x[0])):
         if not stem or any(t.startswith(s) for s in stems):
@@ -249,7 +248,7 @@ def lexicon(terms: list[tuple[str, bool, int, int]], n1: int, n0: int) -> tuple[
         if any(x != t and x.startswith(t) and len(x) <= len(t) + (1 if s else 99) and b >= 0.95 * a for (x, s), b in good.items()):
             continue
         stems.append(t)
-    return sorted(words), sorted(sorted(stems, key=lambda t: rank[t, True])[:LEXICON])
+    return words, sorted(stems)
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -275,15 +274,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _longer(k: int):
-    return lambda w: F.length(w) > k
+def said_terms(text: str) -> set[str]:
+    """The words of three letters or more of a text, and with a mark before them the stems that they begin with."""
+    words = {w for w in WORD.findall(text.lower()) if len(w) > 2}
+    return words | {MARK + w[:k] for w in words for k in STEM_CHARS if len(w) > k}
 
 
-def _stem(k: int):
-    return lambda w: F.concat(F.lit(MARK), F.substring(w, 1, k))
-
-
-def contexts(texts: DataFrame, terms: list[tuple[str, bool]]) -> dict[tuple[str, bool], int]:
+def contexts(texts: Iterable[str], terms: list[tuple[str, bool]]) -> dict[tuple[str, bool], int]:
     """For each term (and whether it is a stem), how many different pairs of words it follows, or
     precedes if that are fewer.
 
@@ -291,40 +288,16 @@ def contexts(texts: DataFrame, terms: list[tuple[str, bool]]) -> dict[tuple[str,
     them, so it counts once; a word that is used counts about as often as it is used.
     """
     words, stems = {t for t, stem in terms if not stem}, {t for t, stem in terms if stem}
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: set[tuple[str, bool, bool, str]] = set()
-            for text in batch.column("text").to_pylist():
-                said = WORD.findall(text.lower())
-                for i, w in enumerate(said):
-                    own = [(w, False)] * (w in words) + [(w[:k], True) for k in STEM_CHARS if len(w) > k and w[:k] in stems]
-                    if own:
-                        sides = ((False, " ".join(said[max(0, i - 2) : i])), (True, " ".join(said[i + 1 : i + 3])))
-                        found.update((t, stem, after, near) for t, stem in own for after, near in sides)
-            rows = sorted(found)
-            kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["term", "stem", "after", "words"])
-
-    pairs = texts.select("text").mapInArrow(read, "term string, stem boolean, after boolean, words string").distinct()
-    got = pairs.groupBy("term", "stem").agg(F.least(F.count_if("after"), F.count_if(~F.col("after"))).alias("n"))
-    return {(r["term"], r["stem"]): r["n"] for r in got.collect()}  # as many as terms at most
-
-
-def matched(some: DataFrame, model: Model) -> list[dict]:
-    """``y`` and the matches ``m`` (word, kind, window) of the rows of a bounded sample, by doc_id."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = model.reader()
-        for batch in batches:
-            got = [reader.matches(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), pa.array([[m[0] for m in g] for g in got], pa.list_(pa.string())), pa.array([[m[1] for m in g] for g in got], pa.list_(pa.int32())), pa.array([[m[2] for m in g] for g in got], pa.list_(pa.int32()))],
-                names=["doc_id", "y", "w", "k", "c"],
-            )
-
-    got = some.select("doc_id", "y", "text").mapInArrow(read, "doc_id long, y int, w array<string>, k array<int>, c array<int>").toArrow().sort_by("doc_id").to_pylist()
-    return [{"y": r["y"], "m": list(zip(r["w"], r["k"], r["c"], strict=True))} for r in got]
+    sides: dict[tuple[str, bool], tuple[set[str], set[str]]] = {}
+    for text in texts:
+        said = WORD.findall(text.lower())
+        for i, w in enumerate(said):
+            own = [(w, False)] * (w in words) + [(w[:k], True) for k in STEM_CHARS if len(w) > k and w[:k] in stems]
+            for term in own:
+                before, after = sides.setdefault(term, (set(), set()))
+                before.add(" ".join(said[max(0, i - 2) : i]))
+                after.add(" ".join(said[i + 1 : i + 3]))
+    return {term: min(len(before), len(after)) for term, (before, after) in sides.items()}
 
 
 def exact_only(got: list[dict], automaton: Automaton, n1: int, n0: int) -> frozenset[str]:
@@ -341,42 +314,80 @@ def exact_only(got: list[dict], automaton: Automaton, n1: int, n0: int) -> froze
     return frozenset(e for e, b in hits[0].items() if b > 1 and hits[1].get(e, 0) * n0 < 20 * b * n1)
 
 
-def once(rows: DataFrame) -> DataFrame:
-    """The ``rows`` (doc_id, text, y; a written, bounded sample) without near copies: of each class of
-    near-duplicates one text stays, with the label that most of the class have (ties: 1).
+SHINGLE, LIKE = 5, 0.8
+#: Bands of three draws: of two texts of similarity 0.8, one in a million pairs shares none.
+BANDS, DRAWS = 20, 3
+_ODD = np.random.default_rng(11).integers(1, 1 << 63, size=(2, BANDS * DRAWS), dtype=np.uint64) | np.uint64(1)
+
+
+def shingles(text: str) -> np.ndarray:
+    """The distinct hashes of the runs of five words of a text (of fewer, if it has no five)."""
+    words = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in text.lower().split()], np.uint64)
+    if not len(words):
+        return words
+    n = min(SHINGLE, len(words))
+    h = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        h = (h ^ words[k : len(words) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def copies(sets: list[np.ndarray]) -> list[int]:
+    """The class of each set of shingles, as the number of its first member: sets that share a band of least
+    draws with one that came before, and LIKE of all their shingles."""
+    of = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while of[i] != i:
+            of[i] = of[of[i]]
+            i = of[i]
+        return i
+
+    seen: dict[tuple[int, bytes], int] = {}
+    for i, s in enumerate(sets):
+        least = np.full(BANDS * DRAWS, np.iinfo(np.uint64).max, np.uint64)
+        for lo in range(0, len(s), 1 << 14):
+            least = np.minimum(least, (s[None, lo : lo + (1 << 14)] * _ODD[0][:, None] + _ODD[1][:, None]).min(axis=1))
+        for k, band in enumerate(least.reshape(BANDS, DRAWS)):
+            j = seen.setdefault((k, band.tobytes()), i)
+            if root(i) != root(j):
+                both = len(np.intersect1d(s, sets[j], assume_unique=True))
+                if both >= LIKE * (len(s) + len(sets[j]) - both):
+                    of[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(sets))]
+
+
+def once(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The (text, y) of a sample without near copies: of each class the first text stays, with the label that
+    most of the class have (ties: 1).
 
     All words of a text that was copied a dozen times would seem to be bound to its label.
     """
-    found = near_duplicates(rows).select(F.col("doc_id").alias("_id"), "class_id", "kept")
-    both = written(rows.join(found, F.col("doc_id") == F.col("_id")).drop("_id"), "classes")
-    label = both.groupBy("class_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
-    return written(both.filter("kept").drop("y").join(label, "class_id").select("doc_id", "text", "y"), "distinct")
+    classes: dict[int, list[int]] = {}
+    for i, c in enumerate(copies([shingles(t) for t, _ in rows])):
+        classes.setdefault(c, []).append(rows[i][1])
+    return [(rows[c][0], int(2 * sum(ys) >= len(ys))) for c, ys in classes.items()]
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """Lexicon and weights from at most ``rows`` labelled documents that aren't held out, near copies
-    counted once."""
-    some = once(written(sample(docs, labels, target, rows).withColumn("y", (F.col("y") > 0).cast("int")), "labelled"))
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), WORDS), lambda w: F.length(w) > 2))
-    per = some.select("y", words.alias("w"))
-    n0, n1 = (per.filter(F.col("y") == k).count() for k in (0, 1))
+def learn(rows: list[tuple[str, int]]) -> Model:
+    """Lexicon and weights from the (text, y) of a bounded sample; every significant term is in the lexicon."""
+    some = once(rows)
+    n1 = sum(y for _, y in some)
+    n0 = len(some) - n1
     if not n1 or not n0:
         return Model()
-    # terms are strings, stems with a mark before them, so that repeats go by hashing
-    stems = [F.transform(F.filter("w", _longer(k)), _stem(k)) for k in STEM_CHARS]
-    terms = F.array_distinct(F.concat("w", *stems))
-    tally = per.select("y", F.explode(terms).alias("t")).groupBy("t").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    tally = tally.select(F.regexp_replace("t", r"^\^", "").alias("term"), F.col("t").startswith(MARK).alias("stem"), "a", "b")
-    often = written(tally.filter(F.col("a") + F.col("b") >= 3), "terms")
-    held = often.count()
-    # what reaches the driver is bounded: the terms most bound to one side
-    top = often.filter((F.col("a") >= 3) & (F.col("a") * n0 >= F.col("b") * (20 * n1))).orderBy(F.desc("a"), "term", "stem").limit(2 * LEXICON).collect()
-    places = contexts(some.filter("y = 1"), [(r["term"], r["stem"]) for r in top])
-    found = [(r["term"], r["stem"], min(r["a"], places.get((r["term"], r["stem"]), 0)), r["b"]) for r in top]
+    tally: tuple[Counter, Counter] = (Counter(), Counter())
+    for text, y in some:
+        tally[y].update(said_terms(text))
+    often = [(t, tally[1][t], tally[0][t]) for t in sorted(tally[0].keys() | tally[1].keys()) if tally[0][t] + tally[1][t] >= 3]
+    bound = [(t.removeprefix(MARK), t.startswith(MARK), a, b) for t, a, b in often if a >= 3 and a * n0 >= b * 20 * n1]
+    places = contexts((t for t, y in some if y), [(t, stem) for t, stem, _, _ in bound])
     model = Model()
-    model.words, model.stems = lexicon([*found, *[("", False, 0, 0)] * max(0, held - len(found))], n1, n0)
+    model.words, model.stems = lexicon([(t, stem, min(a, places.get((t, stem), 0)), b) for t, stem, a, b in bound], n1, n0, len(often))
 
-    got = matched(some, model)
+    reader = model.reader()
+    got = [{"y": y, "m": reader.matches(text)} for text, y in some]
     model.exact = exact_only(got, Automaton(model.words, model.stems), n1, n0)
     automaton = Automaton(model.words, model.stems, model.exact)
     for r in got:  # what is no match any more goes
@@ -387,6 +398,20 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     return model
 
 
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
+    """Lexicon and weights from at most ``rows`` labelled documents that aren't held out, near copies
+    counted once. They are learned in one task, which gets the sample; only the model comes to the driver."""
+    some = sample(docs, labels, target, rows).select("doc_id", "text", (F.col("y") > 0).cast("int").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True)]
+        got.sort(key=lambda row: row[0])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn([(t, y) for _, t, y in got]))], pa.binary())], names=["model"])
+
+    made = some.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else Model()
+
+
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """``docs`` with score (0 to 1), predicted (1 from ``threshold`` on) and n_matches.
 

@@ -256,11 +256,36 @@ def test_toxic_scores_are_brute_force(spark):
         assert x.n_matches == len(found) and x.score == pytest.approx(1 / (1 + math.exp(-z))) and x.predicted == int(x.score >= 0.5)
 
 
-def test_lexicon_keeps_the_most_significant(monkeypatch):
-    monkeypatch.setattr(toxicity, "LEXICON", 5)
-    terms = [(f"zz{chr(97 + i)}word", False, 50 + 5 * i, 0) for i in range(20)]
-    words, _ = toxicity.lexicon(terms, 200, 2000)
-    assert words == sorted(t for t, *_ in terms[-5:])
+def test_lexicon_keeps_all_that_is_significant():
+    """A rare term that separates perfectly isn't pushed out by any number of frequent, weaker ones."""
+    weak = [(f"zz{i:05}word", False, 900, 20) for i in range(3000)]
+    words, _ = toxicity.lexicon([*weak, ("rareterm", False, 40, 0), ("chance", False, 3, 0)], 1000, 9000, 200_000)
+    assert words == sorted(["rareterm", *(t for t, *_ in weak)])
+
+
+def test_copies_are_found():
+    """Classes of a sample against all pairs; links are found through the first text of a band."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = sentence(r, 90).split()
+        for k in range(r.randint(1, 6)):
+            w = base[:]
+            for _ in range(k // 2):
+                w[r.randrange(90)] = sentence(r, 1)
+            texts.append(" ".join(w))
+    texts += ["", "", "two words", "two words", "three words here"]
+    r.shuffle(texts)
+    sets = [toxicity.shingles(t) for t in texts]
+    plain = [{" ".join(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t else set() for t in texts]
+    of = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(plain[i] & plain[j])
+            if both >= 0.8 * len(plain[i] | plain[j]):
+                a, b = max(of[i], of[j]), min(of[i], of[j])
+                of = [b if x == a else x for x in of]
+    assert toxicity.copies(sets) == of and len(set(of)) < len(texts)
 
 
 def test_weights_are_the_least_loss():
@@ -300,7 +325,7 @@ def test_copies_and_passages_are_no_lexicon(spark):
     m = toxicity.train(docs, labels)
     assert {"blockhead", "graunstein"} <= set(m.words) and m.exact == {"graunstein"}
     assert not (set(copied.split()) | set(passage.split())) & set(m.words) and not [s for s in m.stems if not "blockhead".startswith(s) and not "graunstein".startswith(s)]
-    said = toxicity.contexts(docs.filter("doc_id % 5 = 0"), [("blockhead", False), (passage.split()[5], False), ("bloc", True)])
+    said = toxicity.contexts([t for i, t in rows if i % 5 == 0], [("blockhead", False), (passage.split()[5], False), ("bloc", True)])
     assert said["blockhead", False] > 50 and said["bloc", True] >= said["blockhead", False] and said[passage.split()[5], False] <= 3
     kinds = [m.reader().matches(t) for t in ("a blockhed here", "a graunsteyn here", "a graunstein here")]
     assert [k and k[0][1] for k in kinds] in ([2, [], 0], [1, [], 0], [1, [], 1], [2, [], 1])
