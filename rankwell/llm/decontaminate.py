@@ -136,7 +136,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a window of a benchmark item go."""
+    """Pipeline stage: documents that hold a window of a benchmark item go.
+
+    Null and empty texts hold none and stay; rows that repeat a text go or stay together, also where
+    doc_id is null or repeated; an empty table, of documents or of items, takes nothing away. All columns
+    stay as they are, whatever their names.
+    """
     found = matches(docs, table(spark, sf_dir, "benchmark")).filter(F.col("start").isNotNull())
     found = found.select(F.col("doc_id").alias("_id"), "_h").distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["_h"]), "left_anti")

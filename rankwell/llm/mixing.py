@@ -192,7 +192,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document, with all its columns, as often as the mix takes it; those it
-    doesn't take go."""
+    doesn't take go.
+
+    Sizes, targets and copies are those of ``mix``: a null source is a source of its own, null and empty
+    texts have no words and follow the tilt of their source, repeated rows are documents of their own, an
+    empty table stays empty. All columns stay as they are, whatever their names.
+    """
     rest = [c for c in docs.columns if c != "doc_id"]
     taken = _mixed(docs, "doc_id", (1, 2, 3), CAP, rest)
     names = {"doc_id": "_key"} | {c: f"_carry_{k}" for k, c in enumerate(rest)}

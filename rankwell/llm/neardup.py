@@ -413,7 +413,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class one document stays, that of the least doc_id."""
+    """Pipeline stage: of each class one document stays, that of the least doc_id.
+
+    Null and empty texts are equal texts, so one of them stays; a null doc_id comes after all others; of rows
+    that repeat doc_id and text one stays; an empty table stays empty. All columns stay as they are,
+    whatever their names, nulls in them too.
+    """
     found = written(near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_t")), "kept")
     ident = F.xxhash64(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")), F.octet_length(F.coalesce(docs["text"], F.lit(""))))
     left = docs.join(found.distinct(), ident.eqNullSafe(found["_t"]) & docs["doc_id"].eqNullSafe(found["_id"]), "left_semi")

@@ -103,7 +103,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
+    """Pipeline stage: documents that the classifier rejects go.
+
+    A null text is judged as an empty one; rows that repeat a text stay or go together; an empty table
+    stays empty. All columns stay as they are, whatever their names, nulls in them too.
+    """
     held = spark.sparkContext.broadcast(train(docs, table(spark, sf_dir, "labels")))
     name = unused(docs, "_score")
     got = scored(docs, lambda texts: {name: score_texts(texts, held.value)}, f"{name} double")

@@ -85,5 +85,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with their shard, of 8; no row comes or goes."""
+    """Pipeline stage: the documents with their shard, of 8; no row comes or goes.
+
+    A column that is named shard already is replaced, in any case of its letters; all others stay. Null keys
+    share one shard, rows that repeat a key are in one; the text, null or not, has no say; an empty table
+    stays empty.
+    """
     return assign(docs.drop("shard"), "doc_id", 8)
