@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from .. import versions
 from ..functions import text as T
-from pyspark.sql import functions as F
+from ..functions.vectors import Encoder
 
 SHARED, STYLE = "shared.md", "writing_style.md"
 
@@ -38,3 +44,33 @@ def load_style(spark: SparkSession, folder: str, name: str = STYLE) -> str:
 def load_constraints(spark: SparkSession, profile: str) -> str:
     """The lines of a profile that say where its owner lives and may work."""
     return spark.range(1).select(F.array_join(T.key_value_lines(F.lit(profile)), "\n").alias("x")).first().x
+
+
+#: Vectors of this process, by what made them.
+_VECTORS: dict[str, list[float]] = {}
+
+
+def profile_vector(spark: SparkSession, profile: str, encoder: Callable[[], Encoder], model: str = "", folder: str | None = None) -> list[float]:
+    """The profile's vector. It is made once for each text and ``model`` (the encoder's name; without one nothing
+    is remembered), and with a ``folder`` once for all runs: the next one reads it and loads no model."""
+    key = hashlib.sha256(f"{model}\0{profile}".encode()).hexdigest() if model else None
+    if key in _VECTORS:
+        return _VECTORS[key]
+    path = f"{folder}/{key}.json" if folder and key else None
+    kept = _text(spark, path) if path else None
+    if kept is not None:
+        vector = json.loads(kept)
+    else:
+        encode = encoder()
+        try:
+            vector = [float(x) for x in encode([profile])[0]]
+        finally:
+            getattr(encode, "close", lambda: None)()
+        if path:
+            try:
+                versions.put(spark, path, json.dumps(vector))
+            except versions.Conflict:
+                pass  # another run has made the same
+    if key:
+        _VECTORS[key] = vector
+    return vector

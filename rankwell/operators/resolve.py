@@ -200,12 +200,13 @@ def match_replies(messages: DataFrame, applications: DataFrame) -> DataFrame:
     return by_thread.unionByName(won).withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "_order")
 
 
-def similar_applications(replies: DataFrame, applications: DataFrame, days: int = 7) -> DataFrame:
-    """``reply_id, application_id, reason``: what a reviewer should see before a new record is made.
+def similar_classes(replies: DataFrame, applications: DataFrame, days: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``similar_applications`` finds, without a row for each reply and application of an employer:
 
-    ``replies``: id, detected_company, detected_role, received_at; ``applications``: id, company,
-    title, sent_at. By employer, and by role where exactly one application has it and was sent
-    within ``days`` of the message. Candidates come from equality (see ``employers``, ``named_in``).
+    ``reply_id, employer, n_named`` for each reply that tells an employer, ``employer, application_id,
+    reason`` for the applications that all replies of that name share, and ``reply_id, application_id,
+    reason`` for those that a reply finds by its role. The size is that of replies and applications, however
+    many of both are of one employer.
     """
     a = applications.filter("sent_at IS NOT NULL").select(F.col("id").alias("application_id"), F.col("company").alias("ac"), F.col("title").alias("at"), "sent_at")
     r = replies.filter(F.coalesce(T.strip("detected_company"), F.lit("")) != "").select(F.col("id").alias("reply_id"), F.col("detected_company").alias("rc"), F.col("detected_role").alias("rr"), "received_at")
@@ -213,16 +214,29 @@ def similar_applications(replies: DataFrame, applications: DataFrame, days: int
     titles = a.select("at").distinct().withColumn("found", T.words(T.fold("at"))).filter(F.size("found") > 0)
     wanted = r.select("rc").distinct().withColumn("words", T.company_words(T.fold("rc")))
     said = named_in(titles, companies_of(r.select(F.col("reply_id").alias("app_id"), F.col("rc").alias("app_company")))).select("at", "words").join(wanted, "words").select("at", "rc").distinct()
-    by_name = r.join(same, "rc").join(a, "ac").select("reply_id", "application_id", "reason", F.lit(0).alias("_o"))
-    by_title = r.join(said, "rc").join(a, "at").select("reply_id", "application_id", F.lit("employer named in the title").alias("reason"), F.lit(1).alias("_o"))
-    named = by_name.unionByName(by_title).groupBy("reply_id", "application_id").agg(F.min_by("reason", "_o").alias("reason"))
+    by_name = same.join(a, "ac").select("rc", "application_id", "reason", F.lit(0).alias("_o"))
+    by_title = said.join(a, "at").select("rc", "application_id", F.lit("employer named in the title").alias("reason"), F.lit(1).alias("_o"))
+    named = by_name.unionByName(by_title).groupBy("rc", "application_id").agg(F.min_by("reason", "_o").alias("reason"))
     rw = r.withColumn("_w", T.role_words(T.fold("rr"))).filter("size(_w) > 0 AND received_at IS NOT NULL")
     aw = a.withColumn("_w", T.role_words(T.fold("at")))
     width = F.expr(f"INTERVAL {int(days)} DAYS")
     role = rw.join(aw, "_w").filter(F.col("sent_at").between(F.col("received_at") - width, F.col("received_at") + width))
-    role = role.groupBy("reply_id").agg(F.max("application_id").alias("application_id"), F.count(F.lit(1)).alias("n")).filter("n = 1")
-    role = role.select("reply_id", "application_id", F.lit("same role, sent the same week").alias("reason"))
-    return named.unionByName(role.join(named, ["reply_id", "application_id"], "left_anti"))
+    role = role.groupBy("reply_id", "rc").agg(F.max("application_id").alias("application_id"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    role = role.join(named, ["rc", "application_id"], "left_anti").select("reply_id", "application_id", F.lit("same role, sent the same week").alias("reason"))
+    of_reply = r.join(named.groupBy("rc").agg(F.count(F.lit(1)).alias("n_named")), "rc", "left").select("reply_id", F.col("rc").alias("employer"), F.coalesce("n_named", F.lit(0)).alias("n_named"))
+    return of_reply, named.withColumnRenamed("rc", "employer"), role
+
+
+def similar_applications(replies: DataFrame, applications: DataFrame, days: int = 7) -> DataFrame:
+    """``reply_id, application_id, reason``: what a reviewer should see before a new record is made.
+
+    ``replies``: id, detected_company, detected_role, received_at; ``applications``: id, company,
+    title, sent_at. By employer, and by role where exactly one application has it and was sent
+    within ``days`` of the message. Candidates come from equality (see ``employers``, ``named_in``).
+    All pairs are written out, which is for the replies of a page; see ``similar_classes`` for many.
+    """
+    of_reply, named, role = similar_classes(replies, applications, days)
+    return of_reply.join(named, "employer").select("reply_id", "application_id", "reason").unionByName(role)
 
 
 def sent_threads(applications: DataFrame, mail: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..schema import unused
 from ..session import cut
 from ..settings import Settings
 from ..streaming import fold, threads
-from . import guards, resolve, sets
+from . import guards, resolve, select, sets
 
 
 @dataclass
@@ -136,15 +136,18 @@ def record_applications(replies: DataFrame, jobs: DataFrame, applications: DataF
     return r.select("message_id", "_c", "_t"), plan
 
 
-def review_queue(replies: DataFrame, applications: DataFrame, days: int = 7) -> DataFrame:
+def review_queue(replies: DataFrame, applications: DataFrame, days: int = 7, page: int | None = None, size: int = 50) -> DataFrame:
     """Replies with an employer and no application, newest first, each with the applications that a
-    reviewer should see before a record is made (``similar``: application_id and reason, by id)."""
+    reviewer should see before a record is made (``similar``: application_id and reason, by id). With
+    ``page`` (from 1), those of one page, for which alone anything is looked up."""
     open_ = replies.filter("application_id IS NULL").filter(F.coalesce(T.strip("detected_company"), F.lit("")) != "")
-    like = resolve.similar_applications(open_.withColumnRenamed("message_id", "id") if "id" not in open_.columns else open_, applications, days)
     ident = "message_id" if "id" not in replies.columns else "id"
+    order = [F.desc_nulls_last("received_at"), F.asc(ident)]
+    if page is not None:
+        open_ = cut(select.page(open_, order, page, size))
+    like = resolve.similar_applications(open_.withColumnRenamed("message_id", "id") if ident == "message_id" else open_, applications, days)
     held = like.groupBy("reply_id").agg(F.array_sort(F.collect_list(F.struct("application_id", "reason"))).alias("similar"))
-    got = open_.join(held, open_[ident] == held["reply_id"], "left").drop("reply_id")
-    return got.orderBy(F.desc_nulls_last("received_at"), ident)
+    return open_.join(held, open_[ident] == held["reply_id"], "left").drop("reply_id").orderBy(*order)
 
 
 def record_selected(replies: DataFrame, ids: list, jobs: DataFrame, applications: DataFrame, manual_source: int) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from ..functions import urls as U
 from ..functions import vectors as X
 from ..operators import agent, rules
 from ..operators import select as S
+from ..operators.profile import profile_vector
 from ..session import cut
 from ..settings import Settings
 from ..sources import feeds, mail, registry  # noqa: F401  (the sources register themselves)
@@ -28,8 +29,9 @@ class Run(NamedTuple):
     errors: DataFrame
 
 
-def match(jobs: DataFrame, profile: str, encoder: Callable[[], X.Encoder] = X.hashing_encoder, settings: Settings = Settings()) -> DataFrame:
-    """Jobs with passed, blocked, embedding, score and percentile.
+def match(jobs: DataFrame, profile: str, encoder: Callable[[], X.Encoder] = X.hashing_encoder, settings: Settings = Settings(), model: str = "", vectors: str | None = None) -> DataFrame:
+    """Jobs with passed, blocked, embedding, score and percentile. The profile's vector is remembered by
+    ``model``, in the folder ``vectors`` also for later runs.
 
     Rules first, since they are cheap; vectors only for jobs that pass and have none; scores
     over all that pass, and null for the rest.
@@ -39,7 +41,7 @@ def match(jobs: DataFrame, profile: str, encoder: Callable[[], X.Encoder] = X.ha
     need = judged.filter(F.col("embedding").isNull() & F.col("passed")).withColumn("_text", T.embedding_text("title", "company", "description")).drop("embedding")
     made = X.embed(need, "_text", encoder, batch=settings.embed_batch).drop("_text")
     both = have.unionByName(made)
-    vector = [float(x) for x in encoder()([profile])[0]]
+    vector = profile_vector(jobs.sparkSession, profile, encoder, model, vectors)
     target = jobs.sparkSession.createDataFrame([(vector,)], "profile array<double>")
     # ids and scores are ranked, and meet the jobs once
     scored = X.percentile(cut(X.centred_cosine(both.filter("passed"), target).select("id", "score")))

@@ -455,3 +455,15 @@ def test_whole_way(spark, tmp_path):
     assert len(rows) == 4 and {r.status for r in rows} == {"drafted"} and "Engineer 1" not in {titles[r.job_id] for r in rows}
     again = endtoend.run(spark, {"arbeitnow": str(path)}, profile_text, calls, stored=got.jobs, settings=settings.Settings(floor=0.0))
     assert again.jobs.count() == 6
+
+
+def test_similar_applications_of_a_hot_employer(spark):
+    """Many replies and applications of one employer: classes grow with both, not with their product."""
+    apps = spark.range(300).select("id", F.lit("Octopus Energy").alias("company"), F.concat(F.lit("Dev "), F.col("id").cast("string")).alias("title"), F.lit(ts(1)).alias("sent_at"), F.lit("sent").alias("status"))
+    replies = spark.range(200).select(F.concat(F.lit("m"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("message_id"), F.lit("Octopus Energy Group").alias("detected_company"), F.lit("Cook").alias("detected_role"), F.lit(ts(9)).alias("received_at"), F.lit(None).cast("long").alias("application_id"))
+    named = replies.withColumnRenamed("message_id", "id").drop("application_id")
+    of_reply, of_employer, role = resolve.similar_classes(named, apps)
+    assert (of_reply.count(), of_employer.count(), role.count()) == (200, 300, 0) and {r.n_named for r in of_reply.collect()} == {300}
+    assert resolve.similar_applications(named.limit(3), apps).count() == 900
+    page = scan.review_queue(replies, apps, page=2, size=7).collect()
+    assert [r.message_id for r in page] == [f"m{k:03}" for k in range(7, 14)] and all(len(r.similar) == 300 for r in page)
