@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions import vocabulary as V
+from ..session import cut
 from .joins import best_by_time, contains_join
 
 LEAST_SLUG, LEAST_COMPANY, BODY_HEAD = 4, 3, 800
@@ -172,7 +173,8 @@ def match_replies(messages: DataFrame, applications: DataFrame) -> DataFrame:
     ``of_domain`` and ``named_in``); only what resolves to one company meets its applications.
     """
     apps = applications.select(F.col("id").alias("app_id"), F.col("company").alias("app_company"), F.col("thread_id").alias("app_thread"), F.col("sent_at").alias("app_sent"))
-    companies = companies_of(apps)
+    # every way to meet a company reads them, so they are worked out once
+    companies = cut(companies_of(apps))
     m = messages.select("message_id", "thread_id", "from_address", "subject", F.substring("body", 1, BODY_HEAD).alias("head"), "received_at")
     m = m.withColumn("domain", T.sender_domain("from_address")).withColumn("board", is_board_sender("from_address"))
 

@@ -10,7 +10,7 @@ from ..functions import vectors as X
 from ..operators import discover, guards, reports, vector_index
 from ..operators import select as S
 from ..session import cut
-from .base import CENTRED, POSTINGS, postings, query, table, vectors
+from .base import CENTRED, POSTINGS, postings, query, scan, table, vectors
 
 
 def scored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,20 @@ def shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("id", "company", "title", "is_remote", "score", F.round("percentile", 4).alias("percentile"), "rank_score")
 
 
+@query(
+    "embed_missing",
+    "SELECT doc_id AS id, vec_id IS NOT NULL AS stored, 64::INTEGER AS dimensions, CASE WHEN vec_id IS NULL THEN CASE WHEN trim(coalesce(text, '')) = '' THEN 0.0 ELSE 1.0 END END AS length FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
+)
+def embed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the vectors that are stored; only those without one go through the encoder, whose vectors have length 1."""
+    d, e = table(spark, sf_dir, "documents"), scan(spark, sf_dir, "embeddings")
+    both = d.join(e, d["doc_id"] == e["vec_id"], "left").select(F.col("doc_id").alias("id"), "text", "embedding")
+    have = both.filter("embedding IS NOT NULL").select("id", F.lit(True).alias("stored"), "embedding", F.lit(None).cast("double").alias("length"))
+    need = X.embed(both.filter("embedding IS NULL").select("id", "text"), "text")
+    made = need.select("id", F.lit(False).alias("stored"), "embedding", F.round(F.sqrt(X.dot(F.col("embedding"), F.col("embedding"))), 4).alias("length"))
+    return have.unionByName(made).select("id", "stored", F.size("embedding").alias("dimensions"), "length")
+
+
 @query("centered_cosine", f"WITH src AS (SELECT vec_id AS id, embedding FROM embeddings), {CENTRED} SELECT id AS vec_id, round(raw, 6) AS score FROM scored")
 def centered_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
