@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -178,15 +177,6 @@ def fingerprint_edits(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFram
     return inner.unionByName(ends.mapInArrow(close, RESULT.format(id=kind.simpleString())))
 
 
-def fingerprint_column(docs: DataFrame, out: str = "fingerprint") -> DataFrame:
-    """``docs`` with the fingerprint of its texts as a long; a null text counts as empty."""
-    @F.pandas_udf("long")
-    def make(texts: pd.Series) -> pd.Series:
-        return pd.Series(fingerprints([t or "" for t in texts]).view(np.int64))
-
-    return docs.withColumn(out, make(F.col("text")))
-
-
 def _edges(radius: int) -> list[tuple[int, int]]:
     """First bit and width of each of the radius + 2 blocks."""
     cut = [BITS * i // (radius + 2) for i in range(radius + 3)]
