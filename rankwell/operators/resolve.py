@@ -62,14 +62,18 @@ def names_company(text: Column | str, company: Column | str) -> Column:
     return names_in(T.words(T.fold(text)), T.company_words(T.fold(company)))
 
 
+def _one_employer(wa: Column, wb: Column, sa: Column, sb: Column, ia: Column, ib: Column) -> Column:
+    """The same of the words, slugs and initials of two names."""
+    within = (F.size(F.array_except(wa, wb)) == 0) | (F.size(F.array_except(wb, wa)) == 0)
+    short = lambda s, i: (F.length(s) >= 3) & (s == i)
+    return (F.size(wa) > 0) & (F.size(wb) > 0) & (within | ((F.length(sa) >= 3) & (sa == sb)) | short(sa, ib) | short(sb, ia))
+
+
 def same_company(a: Column | str, b: Column | str) -> Column:
     """Whether two names may be one employer: words of one within the other, the same slug, or
     the initials of the other."""
-    wa, wb = T.company_words(T.fold(a)), T.company_words(T.fold(b))
-    sa, sb = F.array_join(wa, ""), F.array_join(wb, "")
-    within = (F.size(F.array_except(wa, wb)) == 0) | (F.size(F.array_except(wb, wa)) == 0)
-    short = lambda s, other: (F.length(s) >= 3) & (s == T.initials(T.fold(other)))
-    return (F.size(wa) > 0) & (F.size(wb) > 0) & (within | ((F.length(sa) >= 3) & (sa == sb)) | short(sa, b) | short(sb, a))
+    (wa, sa, ia), (wb, sb, ib) = ((T.company_words(T.fold(x)), T.company_slug(T.fold(x)), T.initials(T.fold(x))) for x in (a, b))
+    return _one_employer(wa, wb, sa, sb, ia, ib)
 
 
 def employers(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -77,9 +81,11 @@ def employers(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Where the words of one are within the other, the rarest of them is a word of both; the
     other ways are equal slugs, and a slug that equals initials. So each name has its rarest
-    word and its slug for keys, and no word that many names share.
+    word and its slug for keys, and no word that many names share. What names are made of is
+    written once: inlined into each way to meet, the folds are a plan that fills the driver.
     """
-    made = lambda df, c: df.select(c).distinct().filter(F.col(c).isNotNull()).select(c, T.company_words(T.fold(c)).alias("w"), T.company_slug(T.fold(c)).alias("s"), T.initials(T.fold(c)).alias("i"))
+    names = lambda df, c: df.select(c).distinct().filter(F.col(c).isNotNull()).withColumn("f", T.fold(c))
+    made = lambda df, c: cut(names(df, c).select(c, T.company_words("f").alias("w"), T.company_slug("f").alias("s"), T.initials("f").alias("i")))
     a, b = made(left, "rc"), made(right, "ac")
     words = lambda df, c: df.select(c, F.explode(F.array_distinct("w")).alias("k"))
     often = words(a, "rc").select("k").unionByName(words(b, "ac").select("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
@@ -96,7 +102,9 @@ def employers(left: DataFrame, right: DataFrame) -> DataFrame:
     for x, y in ways:
         both = x.join(y, "k").select("rc", "ac")
         found = both if found is None else found.unionByName(both)
-    return found.distinct().filter(same_company("rc", "ac"))
+    of = lambda df, c, x: df.select(c, *[F.col(k).alias(k + x) for k in ("w", "s", "i")])
+    both = found.distinct().join(of(a, "rc", "a"), "rc").join(of(b, "ac", "b"), "ac")
+    return both.filter(_one_employer(*[F.col(k) for k in ("wa", "wb", "sa", "sb", "ia", "ib")])).select("rc", "ac")
 
 
 def companies_of(applications: DataFrame) -> DataFrame:
@@ -132,7 +140,8 @@ def named_in(texts: DataFrame, companies: DataFrame) -> DataFrame:
     at = texts.crossJoin(F.broadcast(lengths)).withColumn("_whole", F.array_join("found", "")).withColumn("_ends", ends(F.col("found")))
     runs = F.flatten(F.transform("_ends", lambda i: F.transform(F.filter("_lengths", lambda n: F.array_contains("_ends", i + n)), lambda n: F.struct(F.substring(F.col("_whole"), i + 1, n).alias("k"), F.lit(True).alias("run")))))
     said = F.transform(F.array_distinct("found"), lambda w: F.struct(w.alias("k"), F.lit(False).alias("run")))
-    each = at.withColumn("_x", F.explode(F.array_distinct(F.concat(said, runs)))).select(*cols, F.col("_x.k").alias("_key"), F.col("_x.run").alias("_run"))
+    # outer: of a plain one the planner makes a filter of the whole expression, inlined down to the text; nulls meet nothing
+    each = at.withColumn("_x", F.explode_outer(F.array_distinct(F.concat(said, runs)))).select(*cols, F.col("_x.k").alias("_key"), F.col("_x.run").alias("_run"))
     got = each.join(keyed, ["_key", "_run"]).filter(F.col("_run") | (F.size(F.array_except("words", "found")) == 0))
     return got.drop("_key", "_run").distinct()
 
@@ -210,12 +219,24 @@ def similar_classes(replies: DataFrame, applications: DataFrame, days: int = 7)
     reason`` for those that a reply finds by its role. The size is that of replies and applications, however
     many of both are of one employer.
     """
+    r, named, role = _similar(replies, applications, days)
+    of_reply = r.join(named.groupBy("rc").agg(F.count(F.lit(1)).alias("n_named")), "rc", "left").select("reply_id", F.col("rc").alias("employer"), F.coalesce("n_named", F.lit(0)).alias("n_named"))
+    return of_reply, named.withColumnRenamed("rc", "employer"), role
+
+
+def _similar(replies: DataFrame, applications: DataFrame, days: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The replies that tell an employer (``rc``), ``rc, application_id, reason`` of each name, and what is found by role.
+
+    Names, titles and companies are each folded once and written before they meet, and so are the pairs of
+    names and titles: all that is joined twice with the applications, which aren't.
+    """
     a = applications.filter("sent_at IS NOT NULL").select(F.col("id").alias("application_id"), F.col("company").alias("ac"), F.col("title").alias("at"), "sent_at")
     r = replies.filter(F.coalesce(T.strip("detected_company"), F.lit("")) != "").select(F.col("id").alias("reply_id"), F.col("detected_company").alias("rc"), F.col("detected_role").alias("rr"), "received_at")
-    same = employers(r.select("rc"), a.select("ac")).withColumn("reason", F.lit("same employer"))
-    titles = a.select("at").distinct().withColumn("found", T.words(T.fold("at"))).filter(F.size("found") > 0)
-    wanted = r.select("rc").distinct().withColumn("words", T.company_words(T.fold("rc")))
-    said = named_in(titles, companies_of(r.select(F.col("reply_id").alias("app_id"), F.col("rc").alias("app_company")))).select("at", "words").join(wanted, "words").select("at", "rc").distinct()
+    same = cut(employers(r.select("rc"), a.select("ac"))).withColumn("reason", F.lit("same employer"))
+    titles = cut(a.select("at").distinct().withColumn("found", T.words(T.fold("at")))).filter(F.size("found") > 0)
+    wanted = cut(r.select("rc").distinct().withColumn("words", T.company_words(T.fold("rc"))))
+    companies = cut(companies_of(r.select(F.col("reply_id").alias("app_id"), F.col("rc").alias("app_company"))))
+    said = cut(named_in(titles, companies).select("at", "words").join(wanted, "words").select("at", "rc").distinct())
     by_name = same.join(a, "ac").select("rc", "application_id", "reason", F.lit(0).alias("_o"))
     by_title = said.join(a, "at").select("rc", "application_id", F.lit("employer named in the title").alias("reason"), F.lit(1).alias("_o"))
     named = by_name.unionByName(by_title).groupBy("rc", "application_id").agg(F.min_by("reason", "_o").alias("reason"))
@@ -225,8 +246,7 @@ def similar_classes(replies: DataFrame, applications: DataFrame, days: int = 7)
     role = rw.join(aw, "_w").filter(F.col("sent_at").between(F.col("received_at") - width, F.col("received_at") + width))
     role = role.groupBy("reply_id", "rc").agg(F.max("application_id").alias("application_id"), F.count(F.lit(1)).alias("n")).filter("n = 1")
     role = role.join(named, ["rc", "application_id"], "left_anti").select("reply_id", "application_id", F.lit("same role, sent the same week").alias("reason"))
-    of_reply = r.join(named.groupBy("rc").agg(F.count(F.lit(1)).alias("n_named")), "rc", "left").select("reply_id", F.col("rc").alias("employer"), F.coalesce("n_named", F.lit(0)).alias("n_named"))
-    return of_reply, named.withColumnRenamed("rc", "employer"), role
+    return r, named, role
 
 
 def similar_applications(replies: DataFrame, applications: DataFrame, days: int = 7) -> DataFrame:
@@ -237,8 +257,8 @@ def similar_applications(replies: DataFrame, applications: DataFrame, days: int
     within ``days`` of the message. Candidates come from equality (see ``employers``, ``named_in``).
     All pairs are written out, which is for the replies of a page; see ``similar_classes`` for many.
     """
-    of_reply, named, role = similar_classes(replies, applications, days)
-    return of_reply.join(named, "employer").select("reply_id", "application_id", "reason").unionByName(role)
+    r, named, role = _similar(replies, applications, days)
+    return r.select("reply_id", "rc").join(named, "rc").select("reply_id", "application_id", "reason").unionByName(role)
 
 
 def sent_threads(applications: DataFrame, mail: DataFrame) -> DataFrame:

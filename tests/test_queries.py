@@ -61,3 +61,8 @@ def test_plans(spark, sf):
     assert "text#" not in p and "embedding#" not in p and "CartesianProduct" not in p
     p = plan(q.QUERIES["semi_join_in"](spark, sf))
     assert "LeftSemi" in p and "PushedFilters: [IsNotNull(c_mktsegment)" in p
+
+
+def test_plan_of_similar_applications(spark, sf):
+    """Each fold of a name is a long expression; inlined into every way to meet, their plan alone filled a driver."""
+    assert len(q.QUERIES["similar_applications"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()) < 200_000
