@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -142,14 +143,21 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 
 def hashing_encoder(dim: int = 64) -> Encoder:
-    """Words hashed to signed dimensions, of length 1: an encoder that needs no weights."""
+    """Words hashed to signed dimensions, of length 1: an encoder that needs no weights. Where words
+    cancel out, or there are none, the whole text is one word; only blank texts (spaces of any
+    width, or nothing) have no length."""
+
+    def add(v: np.ndarray, word: str) -> None:
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        v[h % dim] += 1 if h >> 63 else -1
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), np.float32)
-        for i, text in enumerate(texts):
+        for v, text in zip(out, texts):
             for w in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % dim] += 1 if h >> 63 else -1
+                add(v, w)
+            if not v.any() and any(unicodedata.category(c) != "Zs" for c in text):
+                add(v, text.lower())
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1, norms)
 

@@ -80,6 +80,22 @@ def test_status_of_a_customer_without_orders(spark, sf, tmp_path):
     assert got == want
 
 
+def test_vectors_of_texts_whose_words_cancel_out(spark, tmp_path):
+    """Words of opposite signs in one dimension, and white space that isn't a space, have a vector too."""
+    import hashlib
+
+    by = {}
+    for i in range(400):
+        h = int.from_bytes(hashlib.blake2b(f"w{i}".encode(), digest_size=8).digest(), "little")
+        by.setdefault((h % 64, h >> 63), f"w{i}")
+    d = next(d for d, _ in by if (d, 0) in by and (d, 1) in by)
+    texts = [f"{by[d, 0]} {by[d, 1]}", f"{by[d, 1]} {by[d, 0]}", "\n", "\t ", " ", "\u00a0 \u3000", "", None, "plain words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(8, [1.0] * 64)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got, want = same_as_sql(spark, tmp_path, "embed_missing")
+    assert got == want
+
+
 def test_plan_of_similar_applications(spark, sf):
     """Each fold of a name is a long expression; inlined into every way to meet, their plan alone filled a driver."""
     assert len(q.QUERIES["similar_applications"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()) < 200_000
