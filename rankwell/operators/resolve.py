@@ -122,11 +122,13 @@ def companies_of(applications: DataFrame) -> DataFrame:
 
 
 def named_in(texts: DataFrame, companies: DataFrame) -> DataFrame:
-    """``texts`` (found: words, and other columns) with the companies of ``companies_of`` that each names.
+    """``texts`` (found: words, and other columns, which are returned) with the companies of ``companies_of``
+    that each names; each row once.
 
     A company has two keys: the rarest of its words, counted over all companies, and its slug.
     A text has its words, and its runs of words of a length that some slug has. So a word that
-    many names share is nobody's key.
+    many names share is nobody's key. A key of a text moves with the text's number alone; only what
+    meets a company meets the text's words again. Texts of the same words are searched once.
     """
     able = companies.filter(F.length("slug") >= LEAST_COMPANY)
     word = able.select("words", F.explode(F.array_distinct("words")).alias("_w"))
@@ -136,14 +138,16 @@ def named_in(texts: DataFrame, companies: DataFrame) -> DataFrame:
     keyed = able.join(rarest, "words").withColumn("_x", F.explode(keys)).select(*able.columns, F.col("_x.k").alias("_key"), F.col("_x.run").alias("_run"))
     # one row; as many entries as names differ in length
     lengths = able.agg(F.collect_set(F.length("slug")).alias("_lengths"))
-    cols = texts.columns
-    at = texts.crossJoin(F.broadcast(lengths)).withColumn("_whole", F.array_join("found", "")).withColumn("_ends", ends(F.col("found")))
+    told = texts.withColumn("_no", F.xxhash64("found"))
+    apart = told.groupBy("_no").agg(F.first("found").alias("found"))
+    at = apart.crossJoin(F.broadcast(lengths)).withColumn("_whole", F.array_join("found", "")).withColumn("_ends", ends(F.col("found")))
     runs = F.flatten(F.transform("_ends", lambda i: F.transform(F.filter("_lengths", lambda n: F.array_contains("_ends", i + n)), lambda n: F.struct(F.substring(F.col("_whole"), i + 1, n).alias("k"), F.lit(True).alias("run")))))
     said = F.transform(F.array_distinct("found"), lambda w: F.struct(w.alias("k"), F.lit(False).alias("run")))
     # outer: of a plain one the planner makes a filter of the whole expression, inlined down to the text; nulls meet nothing
-    each = at.withColumn("_x", F.explode_outer(F.array_distinct(F.concat(said, runs)))).select(*cols, F.col("_x.k").alias("_key"), F.col("_x.run").alias("_run"))
-    got = each.join(keyed, ["_key", "_run"]).filter(F.col("_run") | (F.size(F.array_except("words", "found")) == 0))
-    return got.drop("_key", "_run").distinct()
+    each = at.withColumn("_x", F.explode_outer(F.array_distinct(F.concat(said, runs)))).select("_no", F.col("_x.k").alias("_key"), F.col("_x.run").alias("_run"))
+    met = each.join(keyed, ["_key", "_run"]).drop("_key").join(apart, "_no")
+    got = met.filter(F.col("_run") | (F.size(F.array_except("words", "found")) == 0)).drop("_run", "found").distinct()
+    return told.drop("found").distinct().join(got, "_no").drop("_no")
 
 
 def of_domain(senders: DataFrame, companies: DataFrame) -> DataFrame:

@@ -467,3 +467,14 @@ def test_similar_applications_of_a_hot_employer(spark):
     assert resolve.similar_applications(named.limit(3), apps).count() == 900
     page = scan.review_queue(replies, apps, page=2, size=7).collect()
     assert [r.message_id for r in page] == [f"m{k:03}" for k in range(7, 14)] and all(len(r.similar) == 300 for r in page)
+
+
+def test_keys_of_texts_move_without_their_words(spark):
+    """A key of a text is dealt with the text's number; its words, of which each key had a copy, stay behind."""
+    apps = spark.createDataFrame([(1, "Blue Ocean"), (2, "Acme")], "app_id long, app_company string")
+    texts = spark.createDataFrame([("a", "the blue ocean team"), ("b", "ocean of blue"), ("c", "blueoceans"), ("d", "the blue ocean team"), ("d", "acme"), ("a", "the blue ocean team"), ("e", "ocean")], "message_id string, t string")
+    found = texts.select("message_id", F.split("t", " ").alias("found"))
+    got = resolve.named_in(found, resolve.companies_of(apps))
+    assert sorted((r.message_id, r.company) for r in got.select("message_id", "company").collect()) == [("a", "blue ocean"), ("b", "blue ocean"), ("d", "acme"), ("d", "blue ocean")]
+    keyed = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "AS _key" in x and "Project" in x]
+    assert keyed and not any("found#" in x for x in keyed)
