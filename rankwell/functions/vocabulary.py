@@ -145,6 +145,8 @@ LANGUAGE_REQUIRED = (
     r"|\b(?:" + LANGUAGES + r")[-\s]speaking\b(?!\s+(?:market|clients?|customers?|countries))"
     r"|\b(?:" + LANGUAGES + r")kenntnisse\b|znajomo\w*\s+j[eę]zyka\s+(?:polskiego|niemieckiego)"
 )
+#: What every match of LANGUAGE_REQUIRED holds.
+LANGUAGE_NAMED = r"\b(?:" + LANGUAGES + r")"
 LANGUAGE_OPTIONAL = (
     r"\b(?:is|are|would be|as)\s+(?:a\s+)?(?:plus|bonus|advantage|nice[- ]to[- ]have|beneficial|welcome|appreciated"
     r"|desirable|helpful|optional)\b|\bnot\s+(?:required|mandatory|necessary|a must)\b|von vorteil|w[uü]nschenswert"

@@ -61,9 +61,11 @@ def clearance_required() -> Column:
 
 
 def language_required() -> Column:
-    """A clause that demands a language and doesn't take it back itself."""
+    """A clause that demands a language and doesn't take it back itself. Texts, and then clauses, that
+    name no language are left out by that alone."""
     both = F.concat(_text("title"), F.lit("\n"), _text("description"))
-    return F.exists(T.clauses(both), lambda c: c.rlike("(?iU)" + V.LANGUAGE_REQUIRED) & ~c.rlike("(?iU)" + V.LANGUAGE_OPTIONAL))
+    named, demands, optional = ("(?iU)" + x for x in (V.LANGUAGE_NAMED, V.LANGUAGE_REQUIRED, V.LANGUAGE_OPTIONAL))
+    return both.rlike(named) & F.exists(T.clauses(both), lambda c: c.rlike(named) & c.rlike(demands) & ~c.rlike(optional))
 
 
 def below_middle() -> Column:
@@ -118,7 +120,9 @@ def judged(postings: DataFrame) -> DataFrame:
     missing = {"title", "description", "location", "is_remote"} - set(postings.columns)
     if missing:
         raise ValueError(f"postings lack {sorted(missing)}")
-    return postings.withColumn("passed", passes()).withColumn("reasons", reasons())
+    # each rule is tried once: what nothing stopped passes
+    got = postings.withColumn("reasons", reasons()).withColumn("passed", F.size("reasons") == 0)
+    return got.select(*[c for c in got.columns if c != "reasons"], "reasons")
 
 
 def looks_remote(title: Column | str, location: Column | str, description: Column | str) -> Column:

@@ -478,3 +478,26 @@ def test_keys_of_texts_move_without_their_words(spark):
     assert sorted((r.message_id, r.company) for r in got.select("message_id", "company").collect()) == [("a", "blue ocean"), ("b", "blue ocean"), ("d", "acme"), ("d", "blue ocean")]
     keyed = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "AS _key" in x and "Project" in x]
     assert keyed and not any("found#" in x for x in keyed)
+
+
+def test_rules_are_tried_once(spark):
+    """What passes is what no rule stopped; the rules are in the plan once."""
+    from rankwell.operators import rules
+
+    df = spark.createDataFrame([("a", "Fluent German is required", None, None)], "title string, description string, location string, is_remote boolean")
+    judged = rules.judged(df).select("passed", "reasons")
+    assert judged.first().asDict() == {"passed": False, "reasons": ["language"]}
+    assert judged._jdf.queryExecution().optimizedPlan().toString().count("speaking") == 1
+
+
+def test_languages_by_clause(spark):
+    """Left out by naming no language is only what the demand doesn't match."""
+    from rankwell.functions import text as T
+    from rankwell.functions import vocabulary as V
+    from rankwell.operators import rules
+
+    texts = ["Fluent German is required.", "Fl\u00fcssig; sehr gute Deutschkenntnisse", "Germankenntnisse", "German-speaking", "German-speaking clients", "znajomo\u015b\u0107 j\u0119zyka niemieckiego", "znajomo\u015b\u0107 j\u0119zyka polskiego", "must speak FRENCH", "x\u2022Polish C1", "x.german (B2)", "Nongerman required", "POL\u017fKIEGO required", "Turki\u017fh a must", "\u212aorean level B1", "Polish required, a plus is a plus", "Dutch\nrequired", "no language", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, description string").withColumn("title", F.lit(""))
+    plain = F.exists(T.clauses(F.concat(F.lit("\n"), "description")), lambda c: c.rlike("(?iU)" + V.LANGUAGE_REQUIRED) & ~c.rlike("(?iU)" + V.LANGUAGE_OPTIONAL))
+    rows = df.select("description", rules.language_required().alias("got"), plain.alias("want")).collect()
+    assert [r.description for r in rows if r.got != r.want] == [] and sum(r.got for r in rows) > 6
